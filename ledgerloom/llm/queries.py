@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, packing, simhash, tokenfile
+from ledgerloom.llm import decontam, langid, linededup, packing, simhash, tokenfile
 from ledgerloom.llm._common import crc_bucket, table
 
 
@@ -30,5 +30,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op8_simhash)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = docs.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "text")
+    model = langid.fit(langid.learnable(docs))
+    return langid.predicted(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op7_line_dedup, op8_simhash, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
