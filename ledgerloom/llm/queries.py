@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, langid, linededup, packing, simhash, tokenfile
+from ledgerloom.llm import decontam, langid, linededup, packing, simhash, tokencount, tokenfile
 from ledgerloom.llm._common import crc_bucket, table
 
 
@@ -30,6 +30,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,5 +46,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op7_line_dedup, op8_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op7_line_dedup, op8_simhash, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
