@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, langid, linededup, packing, simhash, tokencount, tokenfile
+from ledgerloom.llm import decontam, knn, langid, linededup, packing, quality, simhash, tokencount, tokenfile
 from ledgerloom.llm._common import crc_bucket, table
 
 
@@ -35,10 +35,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = (crc_bucket("doc_id", 5) == 0).alias("held_out")
+    model = quality.fit(docs, labels.where(crc_bucket("doc_id", 5) != 0))
+    return quality.scored(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = docs.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "text")
@@ -46,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op7_line_dedup, op8_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op6_nearest_neighbours, op7_line_dedup, op8_simhash, op9_quality, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
