@@ -8,6 +8,8 @@ their weights become one column expression, so scoring runs inside Spark's gener
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -56,13 +58,13 @@ class RuleModel:
 
     def score(self, stats: dict[str, Column]) -> Column:
         """Probability of label 1 as a column expression over columns of statistics."""
-        total = F.lit(self.bias)
+        terms = [F.lit(self.bias)]
         for rule, weight in self.rules:
-            held = None
-            for name, above, at in rule:
-                one = stats[name] > at if above else stats[name] <= at
-                held = one if held is None else held & one
-            total = total + F.when(held, F.lit(weight)).otherwise(F.lit(0.0))
+            held = [stats[name] > at if above else stats[name] <= at for name, above, at in rule]
+            terms.append(F.when(reduce(and_, held), F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # in pairs, so that the expression stays shallow
+            terms = [reduce(add, terms[k : k + 2]) for k in range(0, len(terms), 2)]
+        total = terms[0]
         return 1 / (1 + F.exp(-total))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, knn, langid, linededup, packing, quality, simhash, tokencount, tokenfile
+from ledgerloom.llm import decontam, knn, langid, linededup, packing, pseudonym, quality, simhash, tokencount, tokenfile
 from ledgerloom.llm._common import crc_bucket, table
 
 
@@ -35,6 +35,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonym.pseudonymise(docs, "a-key-of-the-caller").select("doc_id", "text", "n_values", "changed")
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -57,5 +62,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op6_nearest_neighbours, op7_line_dedup, op8_simhash, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op5_pseudonyms, op6_nearest_neighbours, op7_line_dedup, op8_simhash, op9_quality, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
