@@ -31,10 +31,10 @@ class PieceEncoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers in bytes; null encodes as the empty text.
 
     Equal to Tokenizer.encode(text, add_special_tokens=False) for every text. `limit` bounds the number of remembered pieces
-    (about 200 bytes each): those not seen for that many new ones are forgotten, which costs time only.
+    (about 150 bytes each): those not seen for that many new ones are forgotten, which costs time only.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 2_400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,58 +78,64 @@ class PieceEncoder:
     def _fits(self, piece: str) -> bool:
         return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece of settled characters: split by the vocabulary's pattern, each part merged by the library's model."""
-        if max(piece, default="") >= SETTLED:
-            return None
-        text = unicodedata.normalize("NFC", piece).lower() if self.kind == "bare" else piece[1:] if piece[0] == "\0" else " " + piece
+    def _merged(self, part: str) -> bytes:
+        """Ids of one part that the splitter doesn't cut, merged by the library's model."""
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece. One of settled characters is split by the vocabulary's pattern; any other goes to the library."""
+        led = self.kind == "led"
+        text = piece if not led else piece[1:] if piece[0] == "\0" else " " + piece
+        if not piece.isascii() and max(piece) >= SETTLED:
+            return self._ids([text])[0]
+        if not led:
+            text = unicodedata.normalize("NFC", piece).lower()
+        if (piece if led else text).isalpha():
+            return self._merged(text)
         out = []
         for part in self.split(text):
-            ids = self.parts.get(part)
+            word = led and part[0] == " " and len(part) > 1
+            memo, key = (self.known, part[1:]) if word else (self.parts, part)
+            ids = memo.get(key)
             if ids is None:
-                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))
-                ids = struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
-                if len(part) < 24:
-                    self.parts[part] = ids
+                ids = self._merged(part)
+                if len(part) < 32:
+                    memo[key] = ids
             out.append(ids)
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [x or "" for x in texts]
         if len(self.known) > self.limit // 2:
             self.before, self.known = self.known, {}
         if len(self.parts) > self.limit // 2:
             self.parts.clear()
-        get, cut, wanted, whole = self.known.get, [], set(), []
-        for k, text in enumerate(texts):
-            pieces = self._pieces(text)
-            if pieces is not None:
-                missing = {p for p in pieces if get(p) is None}
-                if missing and self.kind == "led" and not all(map(self._fits, missing)):
-                    pieces = CUT.split(text)
-                    pieces[0] = "\0" + pieces[0]
-                    missing = {p for p in pieces if get(p) is None}
-                wanted |= missing
-            else:
-                whole.append(k)
-            cut.append(pieces)
-        found: dict[str, bytes] = {}
-        rest = []
-        for p in wanted:
-            ids = self.before.get(p)
-            ids = self._piece(p) if ids is None else ids
-            if ids is None:
-                rest.append(p)
-            else:
-                found[p] = ids
-        lead = (lambda p: p[1:] if p[0] == "\0" else " " + p) if self.kind == "led" else (lambda p: p)
-        found.update(zip(rest, self._ids([lead(p) for p in rest]), strict=True))
-        self.known.update((p, x) for p, x in found.items() if len(p) <= 48 and (self.kind == "bare" or self._fits(p)))
-        either = lambda p: found[p] if p in found else get(p)
-        out = [b"" if c is None else b"".join(map(either, c)) if wanted else b"".join(map(get, c)) for c in cut]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        return out
+        return [self._text(x or "") for x in texts]
+
+    def _text(self, text: str) -> bytes:
+        pieces = self._pieces(text)
+        if pieces is None:
+            return self._ids([text])[0]
+        known = self.known
+        ids = list(map(known.get, pieces))
+        if None not in ids:
+            return b"".join(ids)
+        if self.kind == "led" and not all(self._fits(p) for p, x in zip(pieces, ids, strict=True) if x is None):
+            pieces = CUT.split(text)
+            pieces[0] = "\0" + pieces[0]
+            ids = list(map(known.get, pieces))
+        for k, x in enumerate(ids):
+            if x is None:
+                p = pieces[k]
+                x = self.before.get(p)
+                if x is None:
+                    x = known.get(p)  # met earlier in this text
+                    if x is None:
+                        x = self._piece(p)
+                if len(p) <= 48 and (self.kind == "bare" or self._fits(p)):
+                    known[p] = x
+                ids[k] = x
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
