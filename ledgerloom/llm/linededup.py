@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import fresh
+from ledgerloom.llm._common import fresh, materialize
 
 LEAD, GENERAL = 2, 8
 #: White space within a line.
@@ -45,9 +45,15 @@ def _line_templates(text: Column) -> Column:
     return F.transform(F.transform(F.split(text, "\n"), _tokens), _templates)  # a lambda's variable is evaluated once
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5) -> DataFrame:
-    """(template, n_docs, first_id): templates found in at least min_docs rows of docs; a row counts once for each template."""
-    each = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(_line_templates(F.col(text_col))))).alias("template"))
+def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table (id, mark, templates): a row for each of docs with a hash of its text and the templates of its lines.
+    Texts are parsed once; counting and flagging read hashes only."""
+    return materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _line_templates(F.col(text_col)).alias("templates")), "templates")
+
+
+def recurring(parsed: DataFrame, min_docs: int = 5) -> DataFrame:
+    """(template, n_docs, first_id): templates found in at least min_docs rows of parse_lines; a row counts once for each."""
+    each = parsed.select("id", F.explode(F.array_distinct(F.flatten("templates"))).alias("template"))
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") >= min_docs)
 
 
@@ -60,8 +66,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text are treated alike. A line of any length is one line. Text is shuffled once, to meet its dropped line numbers.
     """
     total, gone, mark, of_id, of_mark, at = fresh(docs, "n_lines", "n_dropped", "line_mark", "line_id", "of_mark", "line_at")
-    known = recurring(docs, id_col, text_col, min_docs).select("template", "first_id")
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(_line_templates(F.col(text_col))).alias("line_no", "templates"))
+    parsed = parse_lines(docs, id_col, text_col)
+    known = recurring(parsed, min_docs).select("template", "first_id")
+    lines = parsed.select("id", "mark", F.posexplode("templates").alias("line_no", "templates"))
     flagged = lines.select("id", "mark", "line_no", F.explode("templates").alias("template")).join(known, "template").where(~F.col("id").eqNullSafe(F.col("first_id")))
     dropped = flagged.groupBy(F.col("id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.collect_set("line_no").alias(at))
     joined = docs.withColumn(mark, F.xxhash64(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left")
