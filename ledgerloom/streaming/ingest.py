@@ -10,7 +10,7 @@ from ledgerloom.sources.payloads import scan_company_facts
 
 def stream_company_facts(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Facts of company payload files that arrive in a folder, one row per fact."""
-    raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(path)
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     return scan_company_facts(raw.select(F.col("value").alias("payload")))
 
 
