@@ -3,6 +3,11 @@
 A fingerprint's ball of radius r/2 holds every value that differs in at most r/2 bits. Two fingerprints within r bits have
 such a value in common, so emitting the ball and grouping on its members finds every pair; for r = 2 that is 65 rows for
 each different fingerprint, and a group can't hold more than 65 of them however large the input is.
+
+near_duplicates links whole-document fingerprints and nothing else. Texts whose five-word shingles agree to 0.8 often differ in
+three to eleven bits of a whole-document fingerprint, out of reach of any ball that can be emitted. near_copies therefore also
+fingerprints passages: the ANCHORS shingles of smallest hash, of which two such texts share none with a probability of about
+0.2 ** ANCHORS. Pairs from both kinds of fingerprint are verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from ledgerloom.llm._common import fresh, materialize, small_batches
 from ledgerloom.llm.components import components
 
 BITS = 64
+#: Passages of a document that are fingerprinted for near_copies, and members of one passage's group that one task puts in order.
+ANCHORS, CHAIN = 8, 4096
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -91,6 +98,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 7) -> np.ndarray:
+    """Sorted different hashes of a text's word shingles; of all its words if there are fewer, none without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id): classes of rows whose shingle sets have a Jaccard similarity of at least `similarity`, closed over
+    links; component_id is the smallest id of the class.
+
+    Rows of equal sets (so all texts without words) are one class from the start, by a 128-bit digest. Each passage's group is
+    linked to its smallest id and along one order, in parts of at most about CHAIN rows, so a passage that a third of all rows
+    share costs two links a row and no task gets its whole group. Every link is verified on whole sets. Null ids take part in
+    no link: each such row has component_id null. Other columns are not read.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    id_type = source.schema["id"].dataType
+
+    def sketch(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:ANCHORS].view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "same", "fp", "n", "anchors"])
+
+    ddl = [T.StructField("id", id_type), T.StructField("same", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("anchors", T.ArrayType(T.LongType()))]
+    marked = materialize(source.mapInArrow(sketch, T.StructType(ddl)), "sketches")
+    reps = materialize(marked.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("fp", "n", "anchors"), "id").alias("x")).select("id", "same", "x.*"), "representatives")
+    of_fp = reps.groupBy("fp").agg(F.min("id").alias("head"))
+    balls = close_pairs(of_fp).join(of_fp.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(of_fp.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
+    equal = reps.join(of_fp, "fp").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    members = reps.select("id", "n", F.explode("anchors").alias("anchor"))
+    heads = members.groupBy("anchor").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = members.join(heads, "anchor").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHAIN)).cast("int"))
+    before = F.lag("id").over(Window.partitionBy("anchor", "part").orderBy("n", "id"))
+    passages = grouped.select("id", "head", before.alias("before")).select(F.explode(F.array("head", "before")).alias("a"), F.col("id").alias("b"))
+    pairs = balls.unionByName(equal).unionByName(passages).where("a is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "set"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = source.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, T.StructType([ddl[0], T.StructField("set", T.ArrayType(T.LongType()))]))
+    wanted = materialize(wanted, "sets")
+    both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(wanted.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = components(links)
+    classes = reps.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("same", F.coalesce("label", "id").alias("component_id"))
+    found = marked.join(classes, "same").select(F.col("id").alias(id_col), "component_id")
+    none = docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(id_type).alias("component_id"))
+    return found.unionByName(none)
+
+
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is the smallest of its class of near_copies, and those without an id; columns as in docs."""
+    key, = fresh(docs, "near_id")
+    first = near_copies(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(first, docs[id_col] == first[key], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is the smallest of its class; columns as in docs.
 
