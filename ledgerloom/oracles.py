@@ -6,7 +6,7 @@ from ledgerloom.functions import registry
 from ledgerloom.operators.reconcile import AVERAGES, FAIR, PARTIAL_YEAR, STATEMENT_STYLE
 from ledgerloom.operators.review import CRITICAL
 from ledgerloom.queries import DEBT_LABELS, FLOW_LABELS, LABELS
-from ledgerloom.sources.views import BALANCE_TAGS, HTML_CONTEXTS, HTML_LABELS, HTML_METRICS, SEGMENTS, TAGS
+from ledgerloom.sources.views import BALANCE_TAGS, DURATION_METRICS, HTML_CONTEXTS, HTML_LABELS, HTML_METRICS, SEGMENTS, TAGS
 
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
 
@@ -86,7 +86,7 @@ html0 AS (
   SELECT f.*, l.*, {among(HTML_METRICS, 'l_partkey')} AS metric_id, make_date(year(filing_date) - 1, 12, 31) AS "end" FROM lineitem l JOIN filings f ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
 html AS (
   SELECT lpad((cik::BIGINT % 50)::VARCHAR, 10, '0') AS cik, metric_id, CASE WHEN {SEG} THEN {among(SEGMENTS, 'l_suppkey')} END AS segment_name,
-    CASE WHEN metric_id LIKE 'derivatives%' THEN date_trunc('year', "end")::DATE END AS period_start, "end" AS period_end, accession, form_type,
+    CASE WHEN metric_id IN ({', '.join(map(q, DURATION_METRICS))}) THEN date_trunc('year', "end")::DATE END AS period_start, "end" AS period_end, accession, form_type,
     CASE WHEN {RATE} OR l_quantity < 10 THEN l_quantity ELSE round(l_extendedprice / 1000) * 100 END AS amount, 'currency' AS unit_kind, 'raw' AS scale,
     {among(HTML_LABELS, 'l_linenumber')} AS row_label, {among(HTML_CONTEXTS, 'l_suppkey + l_linenumber')} AS table_name, CASE WHEN l_linenumber % 2 = 0 THEN 'Revenues' END AS xbrl_tag, 'html' AS source,
     lpad(l_orderkey::VARCHAR, 9, '0') || '/' || lpad(l_linenumber::VARCHAR, 3, '0') || '/' || lpad(l_partkey::VARCHAR, 9, '0') || '/' || lpad(l_suppkey::VARCHAR, 9, '0') AS pos
@@ -331,7 +331,7 @@ UNION ALL SELECT accession, 'debt_and_credit.interest_rate', (l_suppkey % 10)::D
     "gross_profit": w(f"{RUN},{FORMULAS}", "SELECT cik, metric_id, period_key, round(amount, 2) AS amount FROM gross"),
     "share_change": w(f"{RUN},{FORMULAS}", "SELECT cik, metric_id, period_key, round(amount, 2) AS amount FROM shares"),
     "owners_earnings": w(f"{RUN},{FORMULAS}", "SELECT cik, period_key, net_income, owners_status, CASE WHEN owners_status = 'ok' THEN round(owners_earnings, 2) END AS owners_earnings, ratio_status, CASE WHEN ratio_status = 'ok' THEN round(earnings_ratio, 6) END AS earnings_ratio FROM formulas"),
-    "fx_convert": f"WITH rates AS (SELECT {among(['EUR', 'GBP', 'JPY', 'CHF'], 'user_id')} AS from_currency, ts::DATE AS date, avg(value::DECIMAL(18, 2))::DECIMAL(18, 4)::DOUBLE AS rate FROM events GROUP BY ALL), a AS (SELECT o_orderkey, {among(['EUR', 'GBP', 'JPY', 'CHF', 'SEK'], 'o_custkey')} AS from_currency, o_totalprice AS amount, (SELECT min(ts::DATE) FROM events) + (o_orderkey % 40)::INT AS date FROM orders) SELECT o_orderkey, a.from_currency, a.date, amount, rate, round(amount * rate, 2) AS converted_amount, CASE WHEN rate IS NULL THEN 'rate_unavailable' ELSE 'ok' END AS status FROM a LEFT JOIN rates r ON a.from_currency = r.from_currency AND a.date = r.date",
+    "fx_convert": f"WITH rates AS (SELECT {among(['EUR', 'GBP', 'JPY', 'CHF'], 'user_id')} AS from_currency, ts::DATE AS date, avg(value::DECIMAL(18, 2))::DECIMAL(18, 4)::DOUBLE AS rate FROM events GROUP BY ALL), a AS (SELECT o_orderkey, {among(['EUR', 'GBP', 'JPY', 'CHF', 'SEK'], 'o_custkey')} AS from_currency, o_totalprice AS amount, (SELECT min(ts::DATE) FROM events) + (o_orderkey % 40)::INT AS date FROM orders) SELECT o_orderkey, a.from_currency, a.date, amount, rate, amount * rate AS converted_amount, CASE WHEN rate IS NULL THEN 'rate_unavailable' ELSE 'ok' END AS status FROM a LEFT JOIN rates r ON a.from_currency = r.from_currency AND a.date = r.date",
     "period_columns": w(f"{BASE},{EXTRACT}, labels AS (SELECT cik, period_key, min(CASE WHEN period_label = 'FY' THEN 'FY' || fiscal_year ELSE fiscal_quarter || ' ' || fiscal_year END) AS l FROM candidates GROUP BY ALL)", "SELECT cik, period_key, CASE WHEN count(*) OVER (PARTITION BY cik, l) > 1 THEN l || ' (' || period_key || ')' ELSE l END AS column_label FROM labels"),
     "domain_pivot": w(RUN, "SELECT p.cik, p.metric_id AS row_id, r.metric_name AS row_label, " + ", ".join(f"max(amount) FILTER (period_key = '{y}-12-31') AS p_{y}_12_31" for y in range(2012, 2019)) + " FROM primary_values p JOIN registry r ON r.metric_id = p.metric_id WHERE r.domain = 'balance_sheet' GROUP BY ALL"),
     "duplicate_candidates": w(RUN_BOTH, f"SELECT {G}, source, accession, amount, review_note FROM source_values WHERE NOT selected_as_primary"),

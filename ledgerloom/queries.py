@@ -344,7 +344,7 @@ def fx_convert(spark, sf_dir):
     days = views.read(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("date")).alias("first"))
     amounts = amounts.join(F.broadcast(days)).withColumn("date", F.date_add("first", (F.col("o_orderkey") % 40).cast("int"))).drop("first")
     out = derive.convert_currency(amounts, views.fx_rates(spark, sf_dir))
-    return out.select("o_orderkey", "from_currency", "date", "amount", "rate", F.round("converted_amount", 2).alias("converted_amount"), "status")
+    return out.select("o_orderkey", "from_currency", "date", "amount", "rate", "converted_amount", "status")
 
 
 @query

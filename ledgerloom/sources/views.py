@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 TAGS = ["Assets", "Liabilities", "RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "CostOfGoodsSold", "NetIncomeLoss", "DepreciationDepletionAndAmortization", "PaymentsToAcquirePropertyPlantAndEquipment", "ShareBasedCompensation", "CommonStockSharesOutstanding"]
 BALANCE_TAGS = ["Assets", "Liabilities", "CommonStockSharesOutstanding"]
 HTML_METRICS = ["income_statement.cost_of_goods_sold", "balance_sheet.long_term_debt", "debt_and_credit.interest_rate", "debt_and_credit.notes_and_bonds", "segment_data.segment_revenue", "derivatives_and_securities.derivative_gain_loss", "income_statement.revenue", "debt_and_credit.detail_senior_notes", "debt_and_credit.detail_other_borrowed_funds", "income_statement.net_income"]
+DURATION_METRICS = ["derivatives_and_securities.derivative_gain_loss", "income_statement.revenue", "income_statement.net_income"]
 HTML_LABELS = ["Total revenue", "Net sales", "Weighted average rate", "Senior notes", "Fixed rate debt", "Cost of sales", "Total senior notes"]
 HTML_CONTEXTS = ["Consolidated balance sheet", "Three months ended", "Six months ended", "Percent of net sales", "Fair value hierarchy", "Statement of income", "Statement of income (continued)", "Average balance sheets", "Year quarter", "inline_xbrl_segment", "Notes"]
 SEGMENTS = ["Consumer Reportable Segment", "Consumer Segment", "Industrial & Energy Segment Member", "Boeing Defense Segment", "Healthc Care"]
@@ -96,7 +97,7 @@ def html_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         cik.alias("cik"),
         metric.alias("metric_id"),
         F.when(metric.startswith("segment_data"), segment).alias("segment_name"),
-        F.when(metric.startswith("derivatives"), F.trunc(end, "year")).alias("period_start"),
+        F.when(metric.isin(*DURATION_METRICS), F.trunc(end, "year")).alias("period_start"),
         end.alias("period_end"),
         "accession",
         F.when(F.col("form_text").startswith("10-K"), "10-K").when(F.col("form_text").startswith("10-Q"), "10-Q").otherwise(F.col("form_text")).alias("form_type"),
