@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,14 +24,21 @@ from ledgerloom.llm.tokenized import encoder
 #: lengths of the four values of each control byte, lowest bits first
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 BLOCK_TOKENS = 1 << 18
+#: Files whose first positions are broadcast to readers; of more they are joined.
+MOST_BROADCAST = 500_000
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values; the last control byte is padded with zero bits."""
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit values. counts: how many of them each document has (default: one document);
+    a document's last control byte is padded with zero bits."""
     ranks = np.asarray(ranks, dtype="<u4")
-    size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
-    code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    code[: len(ranks)] = size - 1
+    counts = np.array([len(ranks)]) if counts is None else np.asarray(counts)
+    size = np.ones(len(ranks), dtype=np.uint8)
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += ranks > top
+    room = -(-counts // 4) * 4
+    code = np.zeros(int(room.sum()), dtype=np.uint8)
+    code[np.arange(len(ranks)) + np.repeat(np.cumsum(room - counts) - (room - counts), counts)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
@@ -60,9 +68,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Writes a file set of all documents (token ids, then end_id) in ascending id order, nulls first.
 
     Null and empty texts are documents of end_id alone. Documents that share an id stay apart, in an order that their ids'
-    hash gives. The corpus is tokenised once, into a written table; ranks come from counts over all of it, summed in each
-    task and then by id. The codebook has a row for each different id, at most the vocabulary's size, which is also the bound
-    of what is broadcast. Files are ranges of ids of about file_tokens tokens.
+    hash gives. The corpus is tokenised once, into a written table that also gets each task's token counts; ranks come from
+    the sum of these, so from all of the corpus. The codebook has a row for each different id, at most the vocabulary's size,
+    which is also the bound of what is broadcast. Files are ranges of ids of about file_tokens tokens; what is shuffled to
+    form them is compressed, and ranked and coded only once it is in its place.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -71,62 +80,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def tokenise(batches):
-        encode = encoder(tokenizer).encode
+        encode, press, total, kind = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1).compress, np.zeros(0, dtype=np.int64), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             ids = [x + end for x in encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], names=["id", "n", "ids"])
-
-    def narrow(ids: bytes) -> bytes:
-        """Low halves, then high halves: the latter are mostly alike and compress well."""
-        halves = np.frombuffer(ids, dtype="<u2").reshape(-1, 2)
-        low = halves[:, 0].copy().view(np.uint8).reshape(-1, 2).T.tobytes()
-        return low + (halves[:, 1].tobytes() if halves[:, 1].any() else b"")
-
-    def wide(x: bytes, n: int) -> np.ndarray:
-        b = np.frombuffer(x, dtype=np.uint8)
-        out = b[:n].astype(np.uint32) | b[n : 2 * n].astype(np.uint32) << np.uint32(8)
-        return out | np.frombuffer(x[2 * n :], dtype="<u2").astype(np.uint32) << np.uint32(16) if len(x) > 2 * n else out
-
-    tokens = materialize(source.mapInArrow(tokenise, T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])), "tokens")
-
-    def count(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.bincount(wide(x, n))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
-
-    counts = tokens.select("n", "ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+            seen = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
+            total, seen = (total, seen) if len(total) >= len(seen) else (seen, total)
+            total[: len(seen)] += seen
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press(planes(x)) for x in ids], pa.binary()), pa.nulls(n, pa.int64())], names=["id", "n", "ids", "token"])
+        if kind is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.array(total[some], pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64())], names=["id", "n", "ids", "token"])
+
+    def planes(ids: bytes) -> bytes:
+        """First bytes of all ids, then second bytes, and so on, without the last ones if they are all zero."""
+        x = np.frombuffer(ids, dtype=np.uint8).reshape(-1, 4).T
+        return x[: max(1, 4 - next((k for k in range(4) if x[3 - k].any()), 3))].tobytes()
+
+    def joined(x: bytes, n: int) -> np.ndarray:
+        out = np.zeros((4, n), dtype=np.uint8)
+        got = np.frombuffer(x, dtype=np.uint8).reshape(-1, n)
+        out[: len(got)] = got
+        return np.ascontiguousarray(out.T).view("<u4")[:, 0]
+
+    tokens = materialize(source.mapInArrow(tokenise, T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("token", T.LongType())])), "tokens")
+    counts = tokens.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     ranked = counts.toPandas().sort_values(["n", "token"], ascending=[False, True])  # one row for each id of the vocabulary
     book, total = ranked["token"].to_numpy(dtype=np.int64), int(ranked["n"].sum())
     spark.createDataFrame([(r, int(t)) for r, t in enumerate(book)], "rank int, token bigint").coalesce(1).write.parquet(f"{path}/codebook")
     rank_of = np.zeros(int(book.max(initial=0)) + 1, dtype=np.uint32)
     rank_of[book] = np.arange(len(book), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank_of)
-
-    def encode(batches):
-        for batch in batches:
-            n = batch.column(1).to_pylist()
-            coded = [encode_ranks(ranks.value[wide(x, k)]) for k, x in zip(n, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=["id", "n", "control", "data"])
-
     names = ["file_no", "block_no", "first_token", "ids", "counts", "control", "data"]
 
     def block(batches):
-        file_no, block_no, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
-        kind = None
+        file_no, block_no, first, held, size, kind = TaskContext.get().partitionId(), 0, 0, [], 0, None
+        unpress = zstandard.ZstdDecompressor().decompress
 
         def made():
-            ids, n, control, data = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([block_no], pa.int64()), pa.array([first], pa.int64()), pa.array([list(ids)], pa.list_(kind)), pa.array([list(n)], pa.list_(pa.int64())), pa.array([b"".join(control)], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=names)
+            n = np.array([k for _, k, _ in held], dtype=np.int64)
+            control, data = encode_ranks(ranks.value[np.concatenate([joined(unpress(x), k) for _, k, x in held])], n)
+            return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([block_no], pa.int64()), pa.array([first], pa.int64()), pa.array([[i for i, _, _ in held]], pa.list_(kind)), pa.array([n], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 held.append(row)
                 size += row[1]
                 if size >= BLOCK_TOKENS:
@@ -135,9 +134,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         if held:
             yield made()
 
-    coded = tokens.mapInArrow(encode, T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]))
-    tie = F.xxhash64("data")
-    dealt = coded.withColumn("tie", tie).repartitionByRange(max(1, -(-total // file_tokens)), F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").drop("tie")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("ids")]
+    dealt = tokens.where("token is null").select("id", "n", "ids").repartitionByRange(max(1, -(-total // file_tokens)), *order).sortWithinPartitions(*order)
     blocks = dealt.mapInArrow(block, T.StructType([*[T.StructField(x, T.LongType()) for x in names[:3]], T.StructField("ids", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]))
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
@@ -165,6 +163,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     source = blocks.select("file_no", "first_token", "ids", "counts", "control", "data")
     out = T.StructType([T.StructField("file_no", T.LongType()), T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     rows = source.mapInArrow(decode, out)
+    base = F.broadcast(base) if sums.count() <= MOST_BROADCAST else base  # two numbers for each file
     return rows.join(base, "file_no").select(F.col("id").alias(id_col), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
