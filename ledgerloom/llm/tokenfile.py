@@ -41,7 +41,13 @@ def encode_ranks(ranks: np.ndarray, counts: np.ndarray | None = None) -> tuple[b
     code[np.arange(len(ranks)) + np.repeat(np.cumsum(room - counts) - (room - counts), counts)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    start, octets = ends - size, ranks.view(np.uint8).reshape(-1, 4)
+    data[start] = octets[:, 0]
+    for j in (1, 2, 3):
+        longer = np.flatnonzero(size > j)
+        data[start[longer] + j] = octets[longer, j]
     return control.tobytes(), data.tobytes()
 
 

@@ -70,7 +70,11 @@ class PieceEncoder:
         if self.kind == "whole" or any(x in text for x in self.special) or any(x in text for x in ODD):
             return None
         if self.kind == "bare":
-            return text.split()
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split()
+            return text.lower().split()  # such texts are composed; fewer different pieces are left
         pieces = text.split(" ")
         pieces[0] = "\0" + pieces[0]
         return pieces
@@ -91,7 +95,7 @@ class PieceEncoder:
             return self._ids([text])[0]
         if not led:
             text = unicodedata.normalize("NFC", piece).lower()
-        if (piece if led else text).isalpha():
+        if led and piece.isalpha():
             return self._merged(text)
         out = []
         for part in self.split(text):
