@@ -5,14 +5,17 @@ such a value in common, so emitting the ball and grouping on its members finds e
 each different fingerprint, and a group can't hold more than 65 of them however large the input is.
 
 near_duplicates links whole-document fingerprints and nothing else. Texts whose five-word shingles agree to 0.8 often differ in
-three to eleven bits of a whole-document fingerprint, out of reach of any ball that can be emitted. near_copies therefore also
-fingerprints passages: the ANCHORS shingles of smallest hash, of which two such texts share none with a probability of about
-0.2 ** ANCHORS. Pairs from both kinds of fingerprint are verified by the exact similarity of the shingle sets.
+three to eleven bits of a whole-document fingerprint, out of reach of any ball that can be emitted. near_copies therefore works
+in two steps. Fingerprints and passages (the ANCHORS shingles of smallest hash) give a few pairs a row that join most copies.
+Then every pair of rows that those left in different classes is found by prefix filtering: in one order of all shingles, rare
+ones first, two sets of enough similarity share one of their first n - ceil(similarity * n) + 1 shingles, whatever the order.
+Pairs of both steps are verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ from ledgerloom.llm.components import components
 BITS = 64
 #: Passages of a document that are fingerprinted for near_copies, and members of one passage's group that one task puts in order.
 ANCHORS, CHAIN = 8, 4096
+#: Rows (about) whose shingles are counted to order shingles by frequency, and shingles that are held as frequent. The result
+#: is the same for any order; a poor one costs candidates.
+COUNTED, FREQUENT = 16_384, 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -107,14 +113,69 @@ def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 7) -> np.ndarr
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype=np.uint64, count=n))
 
 
+def frequent_shingles(source: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that repeat in about COUNTED rows of source(id, t), and in how many rows they stand."""
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t, shingle).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["set"])
+
+    parts = max(1, source.count() // COUNTED)
+    some = source.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == 0).select("t").mapInArrow(sets, "set array<bigint>")
+    counts = some.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    keys, n = counts["s"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def rare_first(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set of which every set of at least `similarity` has one among its own: rare ones first, ties by hash."""
+    if not len(s):
+        return s
+    rank = np.zeros(len(s), dtype=np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        rank = np.where(keys[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))][: len(s) - ceil(similarity * len(s) - 1e-9) + 1]
+
+
+def prefix_pairs(source: DataFrame, known: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): all pairs of ids of known(id, comp) with different comp that can have the similarity, with their comps.
+
+    A pair meets at each shingle that both prefixes hold; at the first one, the shingles from there on bound what they share.
+    A shingle whose rows are all of one class is dropped before rows meet, and where most are of one class the others look for
+    partners, so a group of near copies that is joined already costs its rows and not their pairs.
+    """
+    keys, counts = frequent_shingles(source, shingle)
+
+    def prefixes(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            firsts = [rare_first(s, keys, counts, similarity).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+
+    ddl = T.StructType([source.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    members = source.mapInArrow(prefixes, ddl).join(known.select("id", "comp").distinct(), "id").select("id", "n", "comp", F.posexplode("prefix").alias("at", "shingle"))
+    group = Window.partitionBy("shingle")
+    mixed = members.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).where("lo <> hi").drop("lo", "hi")
+    mixed = materialize(mixed, "mixed")
+    most = mixed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    asking = mixed.join(most, "shingle").where("comp <> most")
+    length = f"least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-6"
+    position = f"least(x.n - x.at, y.n - y.at) >= {similarity / (1 + similarity)} * (x.n + y.n) - 1e-6"
+    met = asking.alias("x").join(mixed.alias("y"), F.expr(f"x.shingle = y.shingle and x.comp <> y.comp and (y.comp = x.most or x.id < y.id) and {length} and {position}"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id): classes of rows whose shingle sets have a Jaccard similarity of at least `similarity`, closed over
     links; component_id is the smallest id of the class.
 
     Rows of equal sets (so all texts without words) are one class from the start, by a 128-bit digest. Each passage's group is
     linked to its smallest id and along one order, in parts of at most about CHAIN rows, so a passage that a third of all rows
-    share costs two links a row and no task gets its whole group. Every link is verified on whole sets. Null ids take part in
-    no link: each such row has component_id null. Other columns are not read.
+    share costs two links a row and no task gets its whole group. Pairs of rows that these links leave apart then meet in
+    prefix_pairs, none left out. Every link is verified on whole sets. Null ids take part in no link: each such row has
+    component_id null. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -145,14 +206,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = source.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, T.StructType([ddl[0], T.StructField("set", T.ArrayType(T.LongType()))]))
-    wanted = materialize(wanted, "sets")
-    both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(wanted.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = components(links)
-    classes = reps.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("same", F.coalesce("label", "id").alias("component_id"))
+    def verified(pairs):
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = source.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, T.StructType([ddl[0], T.StructField("set", T.ArrayType(T.LongType()))]))
+        wanted = materialize(wanted, "sets")
+        both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(wanted.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared))
+
+    labels = components(verified(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    known = materialize(reps.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "same", F.coalesce("label", "id").alias("comp")), "known")
+    rest = materialize(prefix_pairs(source, known, shingle, similarity), "rest")
+    labels = components(verified(rest).select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+    classes = known.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("same", F.coalesce("label", "comp").alias("component_id"))
     found = marked.join(classes, "same").select(F.col("id").alias(id_col), "component_id")
     none = docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(id_type).alias("component_id"))
     return found.unionByName(none)

@@ -156,6 +156,20 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted((r.doc_id is None, r.text) for r in nulls.collect()) == [(False, "a b"), (True, "a b"), (True, "c")]
 
 
+def test_near_copies_that_share_a_long_passage(spark):
+    rnd = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(200))
+    own = [[f"w{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(2000)]
+    own += [[*w[:k], "new", *w[k + 1 :]] for w in own[:200] for k in [rnd.randrange(6, 34)]]
+    rnd.shuffle(own)
+    texts = [f"{passage} {' '.join(w)}" for w in own]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts)).collect()}
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]))]
+    assert len(alike) == 200 and sum(got[i] != got[j] for i, j in alike) == 0
+    assert len(set(got.values())) == 2000
+
+
 def test_wider_ball(spark):
     fps = spark.createDataFrame([(0,), (0b1111,), (0b111100000,), (-1,)], "fp long")
     assert {frozenset((r.src, r.dst)) for r in simhash.close_pairs(fps.where("fp >= 0 or fp = -1"), distance=4).collect()} == {frozenset((0, 15)), frozenset((0, 480))}
