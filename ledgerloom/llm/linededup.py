@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._common import fresh, materialize
 
 LEAD, GENERAL = 2, 8
+#: Lines of so many tokens are passages: see without_repeated_passages.
+PASSAGE = 20
 #: White space within a line.
 BLANK = r"[ \t\r\f\x0B]"
 
@@ -41,14 +43,20 @@ def _templates(tokens: Column) -> Column:
     return F.when(blank, F.expr("cast(array() as array<bigint>)")).when(n < GENERAL, F.array(whole)).otherwise(F.array_compact(F.array(whole, *open_)))
 
 
-def _line_templates(text: Column) -> Column:
-    return F.transform(F.transform(F.split(text, "\n"), _tokens), _templates)  # a lambda's variable is evaluated once
+def _passages(tokens: Column) -> Column:
+    """The hash of a long line as a whole, with its variable fields masked; none for other lines."""
+    n = F.size(tokens)
+    return F.when(n >= PASSAGE, F.array(F.xxhash64(n, F.lit(-1), F.array_join(tokens, " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _line_templates(text: Column, of_line=_templates) -> Column:
+    return F.transform(F.transform(F.split(text, "\n"), _tokens), of_line)  # a lambda's variable is evaluated once
 
 
-def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_line=_templates) -> DataFrame:
     """Written table (id, mark, templates): a row for each of docs with a hash of its text and the templates of its lines.
     Texts are parsed once; counting and flagging read hashes only."""
-    return materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _line_templates(F.col(text_col)).alias("templates")), "templates")
+    return materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _line_templates(F.col(text_col), of_line).alias("templates")), "templates")
 
 
 def recurring(parsed: DataFrame, min_docs: int = 5) -> DataFrame:
@@ -57,7 +65,7 @@ def recurring(parsed: DataFrame, min_docs: int = 5) -> DataFrame:
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates) -> DataFrame:
     """docs with recurring lines dropped from text_col, and two columns more: n_lines and n_dropped (numbered further if docs
     has such names: then with leading underscores).
 
@@ -66,7 +74,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text are treated alike. A line of any length is one line. Text is shuffled once, to meet its dropped line numbers.
     """
     total, gone, mark, of_id, of_mark, at = fresh(docs, "n_lines", "n_dropped", "line_mark", "line_id", "of_mark", "line_at")
-    parsed = parse_lines(docs, id_col, text_col)
+    parsed = parse_lines(docs, id_col, text_col, of_line)
     known = recurring(parsed, min_docs).select("template", "first_id")
     lines = parsed.select("id", "mark", F.posexplode("templates").alias("line_no", "templates"))
     flagged = lines.select("id", "mark", "line_no", F.explode("templates").alias("template")).join(known, "template").where(~F.col("id").eqNullSafe(F.col("first_id")))
@@ -81,11 +89,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates) -> DataFrame:
     """The documents after dedup_lines, without those that had lines and lost all of them; columns as in docs, n_chars counted anew."""
-    cleaned = dedup_lines(docs, id_col, text_col, min_docs)
+    cleaned = dedup_lines(docs, id_col, text_col, min_docs, of_line)
     total, gone = cleaned.columns[-2:]
     kept = cleaned.where((F.col(gone) == 0) | (F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(gone) > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.drop(total, gone)
+
+
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As without_recurring_lines, for lines of at least PASSAGE tokens that stand in two documents or more, whole and with numbers
+    masked. For documents without near copies: those would be left with the lines in which they differ."""
+    return without_recurring_lines(docs, id_col, text_col, 2, _passages)

@@ -236,6 +236,24 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_repeated_passages(spark):
+    passage = " ".join(f"{w}{'abcde'[k % 5]}" for k, w in enumerate(["word"] * 50))
+    texts = [f"first\n{passage}\nshort line", f"second\n{passage}\nshort line", passage, None, "", "third\nshort line"]
+    got = {r.doc_id: r.text for r in linededup.without_repeated_passages(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "second\nshort line", 3: None, 4: "", 5: texts[5]}
+
+
+def test_near_dedup_drops_passages_of_other_documents(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{'abcdefghijklmnop'[rnd.randrange(16)]}{'abcdefghijklmnop'[rnd.randrange(16)]}" for _ in range(n))
+    passage, own = line(60), [line(200) for _ in range(3)]
+    texts = [f"{own[0]}\n{passage}", f"{own[1]}\n{passage}", own[2], f"{own[2]}\none more short line"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: own[1], 2: own[2]}
+
+
 def test_language_id(spark):
     rnd = random.Random(8)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["shu", "ber", "ung"], "cc": ["ción", "que", "ñal"]}
