@@ -52,6 +52,11 @@ def domain_pivot(rows: DataFrame, domain: str, periods: list[str]) -> DataFrame:
     return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label").pivot("period_key", periods).agg(F.max("value"))
 
 
+def domain_long(rows: DataFrame, domain: str) -> DataFrame:
+    """A domain's values of every period there is, a row for each: what domain_pivot shows for the periods it is given."""
+    return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label", "period_key").agg(F.max("value").alias("value"))
+
+
 def provenance_records(source_values: DataFrame) -> DataFrame:
     return source_values.select("cik", "metric_id", "period_key", "segment_key", "source", "accession", "form_type", "amount", "unit_kind", "scale", "row_label", "xbrl_tag", "selected_as_primary", "review_note")
 

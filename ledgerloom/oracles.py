@@ -334,6 +334,7 @@ UNION ALL SELECT accession, 'debt_and_credit.interest_rate', (l_suppkey % 10)::D
     "fx_convert": f"WITH rates AS (SELECT {among(['EUR', 'GBP', 'JPY', 'CHF'], 'user_id')} AS from_currency, ts::DATE AS date, avg(value::DECIMAL(18, 2))::DECIMAL(18, 4)::DOUBLE AS rate FROM events GROUP BY ALL), a AS (SELECT o_orderkey, {among(['EUR', 'GBP', 'JPY', 'CHF', 'SEK'], 'o_custkey')} AS from_currency, o_totalprice AS amount, (SELECT min(ts::DATE) FROM events) + (o_orderkey % 40)::INT AS date FROM orders) SELECT o_orderkey, a.from_currency, a.date, amount, rate, amount * rate AS converted_amount, CASE WHEN rate IS NULL THEN 'rate_unavailable' ELSE 'ok' END AS status FROM a LEFT JOIN rates r ON a.from_currency = r.from_currency AND a.date = r.date",
     "period_columns": w(f"{BASE},{EXTRACT}, labels AS (SELECT cik, period_key, min(CASE WHEN period_label = 'FY' THEN 'FY' || fiscal_year ELSE fiscal_quarter || ' ' || fiscal_year END) AS l FROM candidates GROUP BY ALL)", "SELECT cik, period_key, CASE WHEN count(*) OVER (PARTITION BY cik, l) > 1 THEN l || ' (' || period_key || ')' ELSE l END AS column_label FROM labels"),
     "domain_pivot": w(RUN, "SELECT p.cik, p.metric_id AS row_id, r.metric_name AS row_label, " + ", ".join(f"max(amount) FILTER (period_key = '{y}-12-31') AS p_{y}_12_31" for y in range(2012, 2019)) + " FROM primary_values p JOIN registry r ON r.metric_id = p.metric_id WHERE r.domain = 'balance_sheet' GROUP BY ALL"),
+    "domain_periods": w(RUN, "SELECT p.cik, p.metric_id AS row_id, r.metric_name AS row_label, period_key, max(amount) AS amount FROM primary_values p JOIN registry r ON r.metric_id = p.metric_id WHERE r.domain = 'balance_sheet' GROUP BY ALL"),
     "duplicate_candidates": w(RUN_BOTH, f"SELECT {G}, source, accession, amount, review_note FROM source_values WHERE NOT selected_as_primary"),
     "coverage": w(f"{RUN},{FORMULAS},{COVERAGE}", "SELECT * FROM covered UNION ALL " + " UNION ALL ".join(f"SELECT cik, '{metric}', 1, n, n, 0, 1, 'computed_placeholder' FROM (SELECT cik, {' + '.join(f'({c} IS NOT NULL)::INT' for c, _ in names)} AS n FROM formulas WHERE {status} = 'ok')" for _, status, metric, names in FORMULA_INPUTS)),
     "missing_metrics": w(f"{RUN},{COVERAGE}", "SELECT cik, metric_id, status FROM covered WHERE status <> 'found'"),

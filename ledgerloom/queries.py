@@ -360,6 +360,12 @@ def domain_pivot(spark, sf_dir):
     return wide.select("cik", "row_id", "row_label", *[F.col(f"`{p}`").cast("double").alias(f"p_{p.replace('-', '_')}") for p in periods])
 
 
+@query
+def domain_periods(spark, sf_dir):
+    rows = report.domain_long(report.metric_rows(FilingReport.over(spark, sf_dir).primary), "balance_sheet")
+    return rows.select("cik", "row_id", "row_label", "period_key", F.col("value").cast("double").alias("amount"))
+
+
 @query
 def duplicate_candidates(spark, sf_dir):
     run = FilingReport.over(spark, sf_dir, html_policy="keep_all")
