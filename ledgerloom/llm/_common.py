@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch that goes to a Python worker. Texts are long, so the default of 10,000 rows would need too much memory.
-BATCH_ROWS = 256
+#: Rows and bytes that a Python worker handles at a time. Spark bounds what it sends at once by bytes (64 MB by default); what
+#: a worker makes of texts is several times as large, so it takes slices.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,16 +33,45 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
+def materialize(df: DataFrame, label: str, held: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. The path is added to
+    `held`; see discard."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Deletes written tables and empties the list. Only for tables of which nothing is read any more: those whose result is
+    itself written."""
+    for path in held:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    held.clear()
+
+
+def slices(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """Arrow batches cut to at most `rows` rows and about `size` bytes (one row at least), without copying. An operator's memory so
+    depends on no setting of the session, and it leaves all of them as they are."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def runs(texts: list, size: int = SLICE_BYTES):
+    """Consecutive parts of a list of texts (or nulls) of at most SLICE_ROWS texts and about `size` characters."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text or "")
+        if n >= size or len(part) >= SLICE_ROWS:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import fresh, materialize, small_batches
+from ledgerloom.llm._common import fresh, materialize, slices
 
 #: Positions between two documents of a block; a proximity search may not reach over more.
 GAP = 1024
@@ -41,7 +41,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole: a document longer than a block makes a block alone.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     id_type = source.schema["id"].dataType.simpleString()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import crc_bucket, fresh, small_batches
+from ledgerloom.llm._common import crc_bucket, fresh, slices
 
 UNKNOWN = "und"
 #: Hashed n-gram features and the longest n-gram.
@@ -146,12 +146,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fits on at most `sample` rows with a text, an id and a label. Rows without letters teach nothing; without any usable row
     the model has no label and predicts `und`."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("id is not null and lang is not null and t is not null")
     picked = rows.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(sample).dropDuplicates(["id"])
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [ngram_counts(x) for x in batch.column(2).to_pylist()]
             at = [None if c is None else np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([None if c is None else c[a] for a, c in zip(at, found, strict=True)], pa.list_(pa.int32()))], names=["id", "lang", "at", "n"])
@@ -177,7 +176,6 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     A null text or one without a letter is `und` with score 0; a text of any length is read whole; repeated rows and null ids
     stay. The broadcast model has a fixed number of features for each label.
     """
-    small_batches(docs.sparkSession)
     got, = fresh(docs, "predicted")
     out = docs.withColumn(got, _predict_column(docs.sparkSession, model, F.col(text_col)))
     return out.withColumns({"lang_pred": F.col(f"{got}.lang_pred"), "score": F.col(f"{got}.score")}).drop(got)
@@ -189,6 +187,5 @@ def learnable(docs: DataFrame, id_col: str = "doc_id", folds: int = 3, held_out:
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
     """The rows of docs whose language is known with at least min_score; columns as in docs. Scored in place, without a join."""
-    small_batches(docs.sparkSession)
     got, = fresh(docs, "predicted")
     return docs.withColumn(got, _predict_column(docs.sparkSession, model, F.col(text_col))).where(F.col(f"{got}.score") >= min_score).drop(got)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm._common import fresh, small_batches
+from ledgerloom.llm._common import fresh, runs
 from ledgerloom.llm.tokenized import BYTE_CHARS
 
 # Character classes. A space or other white space is "last" if no white space follows it; an apostrophe opens a contraction of
@@ -233,12 +233,14 @@ class Merger:
         return arc
 
     def count(self, word: bytes) -> int:
-        if len(self.states) > self.limit:
-            self.reset()
         arcs, s, n = self.arcs, 0, 0
         for b in word:
             arc = arcs[s].get(b)
             if arc is None:
+                if len(self.states) > self.limit:  # within a word too: the state it is in is numbered anew
+                    here = self.states[s]
+                    self.reset()
+                    arcs, s = self.arcs, self.at(here)
                 arc = self.compile(s, b)
             s = arc[0]
             n += arc[1]
@@ -319,7 +321,8 @@ def counter(path: str) -> TokenCounter:
 def token_count(tokenizer: str, text: Column) -> Column:
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(counter(tokenizer).count(list(texts)), dtype="int64")
+        count = counter(tokenizer).count
+        return pd.Series([n for part in runs(list(texts)) for n in count(part)], dtype="int64")
 
     return count(text.cast("string"))
 
@@ -327,7 +330,6 @@ def token_count(tokenizer: str, text: Column) -> Column:
 def with_token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 1024) -> DataFrame:
     """docs and the columns n_bytes, n_tokens, over_limit (in their place if docs has such). Null and empty texts count 0; every
     row is counted by itself over its whole text, so repeated rows, null ids and an empty table need no care. No shuffle."""
-    small_batches(docs.sparkSession)
     n, = fresh(docs, "token_n")
     counted = docs.withColumn(n, token_count(tokenizer, F.col(text_col)))
     return counted.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "n_tokens": F.col(n), "over_limit": F.col(n) > limit}).drop(n)

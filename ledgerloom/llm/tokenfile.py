@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._common import materialize, scratch_path, small_batches
+from ledgerloom.llm._common import materialize, scratch_path, slices
 from ledgerloom.llm.tokenized import encoder
 
 #: lengths of the four values of each control byte, lowest bits first
@@ -80,14 +80,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     form them is compressed, and ranked and coded only once it is in its place.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     id_type = source.schema["id"].dataType
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def tokenise(batches):
         encode, press, total, kind = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1).compress, np.zeros(0, dtype=np.int64), None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             ids = [x + end for x in encode(batch.column(1).to_pylist())]
             seen = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
@@ -129,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             control, data = encode_ranks(ranks.value[np.concatenate([joined(unpress(x), k) for _, k, x in held])], n)
             return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([block_no], pa.int64()), pa.array([first], pa.int64()), pa.array([[i for i, _, _ in held]], pa.list_(kind)), pa.array([n], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 held.append(row)
@@ -149,7 +148,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids): the documents of a file set. start counts the ids of all documents before it; ids are
     little-endian unsigned 32-bit integers in a byte string. The sizes of earlier files come from one number for each file."""
-    small_batches(spark, 4)  # a block is up to a megabyte
     blocks = spark.read.parquet(f"{path}/blocks")
     id_type = blocks.schema["ids"].dataType.elementType
     book = np.array([r.token for r in spark.read.parquet(f"{path}/codebook").orderBy("rank").collect()], dtype=np.uint32)

@@ -86,10 +86,30 @@ def test_token_files_roundtrip(spark, texts):
         at += r.n_tokens
 
 
-@pytest.mark.parametrize("n", [1, 2, 67, 1023, 1025, 2047, 2048, 2049, 9999])
-def test_cut_keeps_all(n):
-    pieces = packing.cut(n)
-    assert sum(a for a, _ in pieces) == n and all(0 < a <= 2048 // k for a, k in pieces)
+@pytest.mark.parametrize("lengths", [[], [7], [2048] * 3, [1, 1], [9999, 2049, 1], [1025] * 300, list(range(1, 2300, 3)), [random.Random(k).randint(1, 900) for k in range(5000)]])
+def test_bins_keep_all_and_cut_little(lengths):
+    bins = packing.Bins(2048)
+    sequences = [s for i, n in enumerate(lengths) for s in bins.add(i, np.arange(n, dtype="<u4").tobytes())]
+    assert all(sum(len(p[3]) for p in s) == 4 * 2048 for s in sequences) and len(bins.waiting) <= packing.WAITING + 1
+    sequences += bins.close()
+    pieces = {}
+    for s in sequences:
+        assert sum(len(p[3]) for p in s) <= 4 * 2048
+        for doc, start, n, ids in s:
+            assert n == lengths[doc]
+            pieces.setdefault(doc, []).append((start, ids))
+    for doc, n in enumerate(lengths):
+        assert b"".join(ids for _, ids in sorted(pieces[doc])) == np.arange(n, dtype="<u4").tobytes()
+    assert len(sequences) == -(-sum(lengths) // 2048)
+    if len(lengths) == 5000:
+        assert sum(len(p) > 1 for p in pieces.values()) < 0.12 * len(lengths)
+
+
+def test_classes_are_reciprocals():
+    bins = packing.Bins(2048)
+    for n in (1025, 1024, 683, 682, 3):
+        bins.add(n, bytes(4 * n))
+    assert sorted(len(p) for _, _, p in bins.waiting) == [1, 2] and set(bins.open) == {3, 682}  # 1,025 alone; 1,024 and 683 make a pair
 
 
 def test_packing(spark):
