@@ -6,7 +6,9 @@ also four generalised ones, each of which leaves one quarter of the line open (n
 differ in names or words of one field meet. A template that occurs in at least `min_docs` documents recurs; its lines are
 dropped everywhere but in the document of smallest id, so no text is lost.
 
-Templates are 64-bit hashes: what is shuffled is a hash and an id for each line and template, pre-aggregated for counting.
+Templates are 96-bit hashes (two of different kinds): what is shuffled is a hash and an id for each line and template,
+pre-aggregated for counting. Were 10**9 of 10**12 different lines recurring, about one in 10**8 corpora would lose a line to a
+collision.
 """
 
 from __future__ import annotations
@@ -24,29 +26,38 @@ BLANK = r"[ \t\r\f\x0B]"
 
 
 def _tokens(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, rf"^{BLANK}+|{BLANK}+$", "")
-    masked = F.regexp_replace(trimmed, rf"[^ \t\r\f\x0B]*[0-9][^ \t\r\f\x0B]*", "<*>")
+    """The line's tokens, those with a digit masked; one empty token for a blank line. Linear in the line's length: a run of
+    characters is only looked at from its start, and without going back."""
+    trimmed = F.btrim(line, F.lit(" \t\r\f\x0b"))
+    masked = F.regexp_replace(trimmed, r"(?<![^ \t\r\f\x0B])[^ \t\r\f\x0B0-9]*+[0-9][^ \t\r\f\x0B]*+", "<*>")
     return F.split(masked, rf"{BLANK}+")
 
 
+def _hashed(*parts: Column) -> Column:
+    return F.struct(F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("c"))
+
+
+NONE = "cast(array() as array<struct<h:bigint,c:int>>)"
+
+
 def _templates(tokens: Column) -> Column:
     """Hashes of a line's templates; none for a blank line."""
     n = F.size(tokens)
     join = lambda lo, k: F.array_join(F.slice(tokens, lo, k), " ")
-    whole = F.xxhash64(n, F.lit(-1), F.array_join(tokens, " "))
+    whole = _hashed(n, F.lit(-1), F.array_join(tokens, " "))
     open_ = []
     for j in range(4):
         lo = F.floor(n * j / 4).cast("int") if j else F.lit(LEAD)
         hi = F.floor(n * (j + 1) / 4).cast("int")
-        open_.append(F.when(hi > lo, F.xxhash64(n, F.lit(j), join(F.lit(1), lo), join(hi + 1, n - hi))))
+        open_.append(F.when(hi > lo, _hashed(n, F.lit(j), join(F.lit(1), lo), join(hi + 1, n - hi))))
     blank = (n == 1) & (tokens[0] == "")
-    return F.when(blank, F.expr("cast(array() as array<bigint>)")).when(n < GENERAL, F.array(whole)).otherwise(F.array_compact(F.array(whole, *open_)))
+    return F.when(blank, F.expr(NONE)).when(n < GENERAL, F.array(whole)).otherwise(F.array_compact(F.array(whole, *open_)))
 
 
 def _passages(tokens: Column) -> Column:
     """The hash of a long line as a whole, with its variable fields masked; none for other lines."""
     n = F.size(tokens)
-    return F.when(n >= PASSAGE, F.array(F.xxhash64(n, F.lit(-1), F.array_join(tokens, " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.when(n >= PASSAGE, F.array(_hashed(n, F.lit(-1), F.array_join(tokens, " ")))).otherwise(F.expr(NONE))
 
 
 def _line_templates(text: Column, of_line=_templates) -> Column:
@@ -65,21 +76,27 @@ def recurring(parsed: DataFrame, min_docs: int = 5) -> DataFrame:
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates, among: DataFrame | None = None) -> DataFrame:
     """docs with recurring lines dropped from text_col, and two columns more: n_lines and n_dropped (numbered further if docs
     has such names: then with leading underscores).
 
     Null texts stay null with 0 lines, empty texts stay empty with 1. A blank line is never dropped. The first document of a
     template (smallest id) keeps its lines; rows that share that id all do; with null ids only, all do. Rows that repeat both
     id and text are treated alike. A line of any length is one line. Text is shuffled once, to meet its dropped line numbers.
+    among: a table of ids (its first column); rows of docs with other ids are left out and count for nothing.
     """
     total, gone, mark, of_id, of_mark, at = fresh(docs, "n_lines", "n_dropped", "line_mark", "line_id", "of_mark", "line_at")
     parsed = parse_lines(docs, id_col, text_col, of_line)
+    if among is not None:
+        parsed = parsed.join(among.select(F.col(among.columns[0]).alias("wanted")), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     known = recurring(parsed, min_docs).select("template", "first_id")
     lines = parsed.select("id", "mark", F.posexplode("templates").alias("line_no", "templates"))
     flagged = lines.select("id", "mark", "line_no", F.explode("templates").alias("template")).join(known, "template").where(~F.col("id").eqNullSafe(F.col("first_id")))
     dropped = flagged.groupBy(F.col("id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.collect_set("line_no").alias(at))
-    joined = docs.withColumn(mark, F.xxhash64(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left")
+    if among is not None:
+        rows = parsed.select("id", "mark").distinct()
+        dropped = rows.join(dropped, F.col("id").eqNullSafe(F.col(of_id)) & (F.col("mark") == F.col(of_mark)), "left").select(F.col("id").alias(of_id), F.col("mark").alias(of_mark), at)
+    joined = docs.withColumn(mark, F.xxhash64(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left" if among is None else "inner")
     text = F.split(F.col(text_col), "\n")
     kept = F.filter(text, lambda line, i: ~F.array_contains(F.col(at), i))
     return joined.select(
@@ -89,9 +106,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, of_line=_templates, among: DataFrame | None = None) -> DataFrame:
     """The documents after dedup_lines, without those that had lines and lost all of them; columns as in docs, n_chars counted anew."""
-    cleaned = dedup_lines(docs, id_col, text_col, min_docs, of_line)
+    cleaned = dedup_lines(docs, id_col, text_col, min_docs, of_line, among)
     total, gone = cleaned.columns[-2:]
     kept = cleaned.where((F.col(gone) == 0) | (F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
@@ -99,7 +116,7 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return kept.drop(total, gone)
 
 
-def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
     """As without_recurring_lines, for lines of at least PASSAGE tokens that stand in two documents or more, whole and with numbers
     masked. For documents without near copies: those would be left with the lines in which they differ."""
-    return without_recurring_lines(docs, id_col, text_col, 2, _passages)
+    return without_recurring_lines(docs, id_col, text_col, 2, _passages, among)
