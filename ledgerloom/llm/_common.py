@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +36,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for one job; it is put back afterwards, whatever happens."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str, held: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. The path is added to
-    `held`; see discard."""
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. While it is written,
+    Spark sends Python workers little at a time. The path is added to `held`; see discard."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES)):
+        df.write.parquet(path)
     if held is not None:
         held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -45,33 +60,30 @@ def materialize(df: DataFrame, label: str, held: list[str] | None = None) -> Dat
 
 def discard(spark: SparkSession, held: list[str]) -> None:
     """Deletes written tables and empties the list. Only for tables of which nothing is read any more: those whose result is
-    itself written."""
+    itself written. Shuffle files of finished jobs go too: Spark deletes them once the driver's collector has seen that nobody
+    uses them, which may be long after."""
     for path in held:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     held.clear()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slices(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
     """Arrow batches cut to at most `rows` rows and about `size` bytes (one row at least), without copying. An operator's memory so
-    depends on no setting of the session, and it leaves all of them as they are."""
+    depends on no setting of the session, and it leaves all of them as they were."""
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
 
-def runs(texts: list, size: int = SLICE_BYTES):
-    """Consecutive parts of a list of texts (or nulls) of at most SLICE_ROWS texts and about `size` characters."""
-    part, n = [], 0
-    for text in texts:
-        part.append(text)
-        n += len(text or "")
-        if n >= size or len(part) >= SLICE_ROWS:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def runs(texts: pa.Array, size: int = SLICE_BYTES):
+    """Consecutive parts of an Arrow array of texts as lists of at most SLICE_ROWS texts and about `size` bytes on average."""
+    step = max(1, min(SLICE_ROWS, len(texts) * size // max(texts.nbytes, 1)))
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -148,7 +148,10 @@ def search(index: DataFrame, items: list[tuple[object, bytes]], width: int = 10,
             owners.setdefault(p, set()).update([] if item is None else [str(item)])
     asked = sorted({w for p in owners for w in p})
     number = {w: i for i, w in enumerate(asked)}
-    queries = [(np.array([number[w] for w in p]), sorted(ids)) for p, ids in sorted(owners.items())]
+    by_width: dict[int, list] = {}
+    for p, ids in sorted(owners.items()):
+        by_width.setdefault(len(p), []).append(([number[w] for w in p], sorted(ids)))
+    queries = [(np.array([terms for terms, _ in some], dtype=np.int32), [ids for _, ids in some]) for some in by_width.values()]
     shared = spark.sparkContext.broadcast((queries, number))
     vocabulary = spark.createDataFrame([(bytearray(w),) for w in asked], "term binary")
     kept = index.join(F.broadcast(vocabulary), "term", "left_semi").select("block", "term", "positions", F.lit(None).cast("array<bigint>").alias("starts"), F.lit(None).cast("array<bigint>").alias("lengths"))
@@ -169,17 +172,17 @@ def search(index: DataFrame, items: list[tuple[object, bytes]], width: int = 10,
             n[k] = len(v)
         found: dict[int, list] = {}
         for terms, ids in queries:
-            if n[terms].min() == 0:
-                continue
-            s, e = intersect([lists[t] for t in terms.tolist()], slop)
-            if len(s):
+            for k in np.flatnonzero(n[terms].min(axis=1)).tolist():  # windows whose rarest term stands in the block, and so all
+                s, e = intersect([lists[t] for t in terms[k].tolist()], slop)
+                if not len(s):
+                    continue
                 of = np.searchsorted(starts, s, side="right") - 1
                 for d in np.unique(of).tolist():
                     mine = of == d
                     x = found.setdefault(d, [[], [], set()])
                     x[0].append(s[mine] - starts[d])
                     x[1].append(e[mine] - starts[d])
-                    x[2].update(ids)
+                    x[2].update(ids[k])
         docs = sorted(found)
         spans = [[{"start": a, "stop": b} for a, b in _merged(np.concatenate(found[d][0]), np.concatenate(found[d][1]))] for d in docs]
         return pa.table([pa.array([block] * len(docs), pa.string()), pa.array(docs, pa.int32()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(found[d][2]) for d in docs], pa.list_(pa.string()))], names=names)

@@ -12,12 +12,11 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import crc_bucket, fresh, slices
+from ledgerloom.llm._common import crc_bucket, fresh, runs, slices
 
 UNKNOWN = "und"
 #: Hashed n-gram features and the longest n-gram.
@@ -163,9 +162,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _predict_column(spark, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [shared.value.predict(x) for part in runs(texts) for x in part]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
 
     return predict(text.cast("string"))
 

@@ -20,7 +20,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -319,10 +319,9 @@ def counter(path: str) -> TokenCounter:
 
 
 def token_count(tokenizer: str, text: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        count = counter(tokenizer).count
-        return pd.Series([n for part in runs(list(texts)) for n in count(part)], dtype="int64")
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([n for part in runs(texts) for n in counter(tokenizer).count(part)], pa.int64())
 
     return count(text.cast("string"))
 

@@ -30,11 +30,12 @@ ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\0")
 class PieceEncoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers in bytes; null encodes as the empty text.
 
-    Equal to Tokenizer.encode(text, add_special_tokens=False) for every text. `limit` bounds the number of remembered pieces
-    (about 150 bytes each): those not seen for that many new ones are forgotten, which costs time only.
+    Equal to Tokenizer.encode(text, add_special_tokens=False) for every text. `limit` bounds the number of remembered pieces, at
+    half as many in each of three tables (about 300 bytes a piece, so 400 to 600 MB at most): those not seen for half as many
+    new ones are forgotten, which costs time only.
     """
 
-    def __init__(self, path: str, limit: int = 2_400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
