@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Metric id | display name | statement | subdomain | sort order | preferred tags | alternate tags | unit hint.
@@ -169,6 +169,20 @@ def metric_by_id(spark: SparkSession, metric_id: str) -> DataFrame:
     return metric_registry(spark).where(F.col("metric_id") == metric_id)
 
 
+#: Labels of the statements.
+STATEMENT_LABELS = ["balance_sheet", "income_statement", "cash_flow", "shareholders_equity", "segment_footnote", "debt_footnote", "derivative_footnote", "equity_comp_footnote", "notes", "mda", "other"]
+
+
+def sheet_name(domain: Column) -> Column:
+    """The report sheet of a domain: its own name; risk factors are a skeleton with that name."""
+    return F.when(domain == "risk_factors_skeleton", "risk_factors").otherwise(domain)
+
+
+def statement_label(statement: Column) -> Column:
+    """The label of a statement; 'other' for one that is unknown or null."""
+    return F.when(statement.isin(*STATEMENT_LABELS), statement).otherwise("other")
+
+
 def match_tag(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
     """tags and the metrics each names, ignoring case; a tag may name several. The registry side is a fixed 140 rows or so."""
     spark = tags.sparkSession

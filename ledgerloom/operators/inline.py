@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as X
 from ledgerloom.sources.documents import period_from_context_id
 
+#: Axes and tags of embedded facts that are read.
 SEGMENT_AXIS = "StatementBusinessSegmentsAxis"
 HEDGE_AXES = ("DerivativeInstrumentRiskAxis", "DerivativeInstrumentsGainLossByHedgingRelationshipAxis", "HedgingDesignationAxis")
 REVENUE_TAGS = ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet", "SalesRevenueServicesNet"]

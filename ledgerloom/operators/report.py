@@ -32,37 +32,82 @@ def period_columns(values: DataFrame) -> DataFrame:
 
 
 def metric_rows(primary: DataFrame, formulas: DataFrame | None = None, narratives: DataFrame | None = None) -> DataFrame:
-    """Long rows of all domains: cik, domain, row_id, row_label, period_key, value."""
-    names = metric_registry(primary.sparkSession).select("metric_id", F.col("metric_name").alias("label"), "domain", "position")
-    own = primary.drop("metric_name", "domain", "subdomain", "position").join(F.broadcast(names), "metric_id")
-    named = F.col("metric_id").startswith("segment_data.") & F.col("segment_name").isNotNull()
+    """Long rows of all domains: cik, domain, row_id, row_label, subdomain, period_key, seq, value. seq orders rows of one id and
+    period (segments whose names make one id; sections of one kind): the last one is the one a sheet shows."""
+    names = metric_registry(primary.sparkSession).select("metric_id", F.col("metric_name").alias("label"), "domain", "subdomain")
     key = F.regexp_replace(X.ascii_lower(F.col("segment_name")), "[^a-z0-9]", "_")
-    out = own.select("cik", "domain", F.when(named, F.concat_ws("::", "metric_id", key)).otherwise(F.col("metric_id")).alias("row_id"), F.when(named, F.concat_ws(" | ", "segment_name", "label")).otherwise(F.col("label")).alias("row_label"), "period_key", F.col("amount").cast("string").alias("value"))
+    named = F.col("metric_id").startswith("segment_data.") & F.col("segment_name").isNotNull()
+
+    def rows(of: DataFrame, row_id, row_label, seq, value) -> DataFrame:
+        own = of.drop("metric_name", "domain", "subdomain", "position").join(F.broadcast(names), "metric_id")
+        return own.select("cik", "domain", row_id.alias("row_id"), row_label.alias("row_label"), "subdomain", "period_key", seq.alias("seq"), value.cast("string").alias("value"))
+
+    plain = F.col("metric_id"), F.col("label")
+    segments = primary if "segment_name" in primary.columns else primary.withColumn("segment_name", F.lit(None).cast("string"))
+    seq = F.coalesce("segment_key", F.lit("")) if "segment_key" in primary.columns else F.lit("")
+    out = rows(segments, F.when(named, F.concat_ws("::", "metric_id", key)).otherwise(plain[0]), F.when(named, F.concat_ws(" | ", "segment_name", "label")).otherwise(plain[1]), seq, F.col("amount"))
     if formulas is not None:
-        more = formulas.where("status = 'ok'").join(F.broadcast(names), "metric_id")
-        out = out.unionByName(more.select("cik", "domain", F.col("metric_id").alias("row_id"), F.col("label").alias("row_label"), "period_key", F.col("amount").cast("string").alias("value")))
+        out = out.unionByName(rows(formulas.where("status = 'ok'"), *plain, F.lit(""), F.col("amount")))
     if narratives is not None:
-        more = narratives.join(F.broadcast(names), "metric_id")
-        out = out.unionByName(more.select("cik", "domain", F.col("metric_id").alias("row_id"), F.col("label").alias("row_label"), "period_key", F.col("content").alias("value")))
+        place = F.concat_ws("/", "accession", F.lpad(F.col("section_no").cast("string"), 6, "0"))
+        out = out.unionByName(rows(narratives, *plain, place, F.col("content")))
     return out
 
 
 def domain_pivot(rows: DataFrame, domain: str, periods: list[str]) -> DataFrame:
-    """Wide rows of a domain with a column for each of `periods`, a list fixed for the run; the last value wins."""
-    return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label").pivot("period_key", periods).agg(F.max("value"))
+    """Wide rows of a domain with a column for each of `periods`, a list fixed for the run; of rows with one id and period the
+    last one (by seq) wins."""
+    return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label").pivot("period_key", periods).agg(F.max_by("value", "seq"))
 
 
 def domain_long(rows: DataFrame, domain: str) -> DataFrame:
     """A domain's values of every period there is, a row for each: what domain_pivot shows for the periods it is given."""
-    return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label", "period_key").agg(F.max("value").alias("value"))
+    return rows.where(F.col("domain") == domain).groupBy("cik", "row_id", "row_label", "period_key").agg(F.max_by("value", "seq").alias("value"))
 
 
-def provenance_records(source_values: DataFrame) -> DataFrame:
-    return source_values.select("cik", "metric_id", "period_key", "segment_key", "source", "accession", "form_type", "amount", "unit_kind", "scale", "row_label", "xbrl_tag", "selected_as_primary", "review_note")
+def _with(df: DataFrame, *names: str) -> DataFrame:
+    """df with text columns of nulls for those of names that it lacks."""
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+
+
+def provenance_records(source_values: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+    """Every source value with where it comes from; filing_url is the primary document's if filings(accession, url_primary) are given."""
+    v = _with(source_values, "segment_name", "source_method", "filing_label", "section_name", "table_name", "decision", "xbrl_tag", "row_label")
+    names = metric_registry(v.sparkSession).select("metric_id", F.col("metric_name").alias("metric_label"), F.col("domain").alias("metric_domain"))
+    v = v.join(F.broadcast(names), "metric_id", "left")
+    if filings is not None:
+        v = v.join(filings.select("accession", F.col("url_primary").alias("filing_url")).dropDuplicates(["accession"]), "accession", "left")
+    method = F.coalesce("source_method", F.when(F.col("source") == "xbrl", "api_xbrl_facts").otherwise("filing_html"))
+    return _with(v, "filing_url").select(
+        "cik", "metric_id", "metric_label", F.col("metric_domain").alias("domain"), "period_key", "segment_key", "segment_name", "selected_as_primary", "source", "decision", "amount", "unit_kind", "scale",
+        "accession", "form_type", method.alias("source_method"), "xbrl_tag", "filing_url", F.coalesce("filing_label", "row_label").alias("filing_label"), "section_name", "table_name", "row_label", "review_note",
+    )
 
 
 def duplicate_candidates(records: DataFrame) -> DataFrame:
-    return records.where(~F.col("selected_as_primary") & F.col("review_note").isNotNull()).orderBy("cik", "metric_id", "period_key", "accession", "amount")
+    """Records that were not selected; their order is the sink's affair."""
+    return records.where(~F.col("selected_as_primary") & F.col("review_note").isNotNull())
+
+
+def expected_source(domain) -> F.Column:
+    return F.when(domain.isin("footnotes", "mda", "risk_factors"), "html_narrative").when(domain == "valuation", "valuation_formula").otherwise("xbrl_primary_html_fallback")
+
+
+#: What an analyst is told about each coverage status.
+STATUS_NOTES = {
+    "found": "At least one primary value was found.",
+    "computed_placeholder": "A placeholder formula gave this value.",
+    "placeholder_not_extracted": "Risk factors are not extracted.",
+    "formula_not_computed": "No formula output: a required input is missing; see formula_inputs and the coverage of critical metrics.",
+    "narrative_placeholder": "No section of this kind was found in the filing documents.",
+    "missing_extraction": "Neither structured facts nor filing documents gave a primary value.",
+}
+
+
+def with_notes(covered: DataFrame) -> DataFrame:
+    """covered with expected_source and status_note."""
+    notes = F.create_map(*[F.lit(x) for pair in STATUS_NOTES.items() for x in pair])
+    return covered.withColumns({"expected_source": expected_source(F.col("domain")), "status_note": notes[F.col("status")]})
 
 
 def coverage(companies: DataFrame, source_values: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
@@ -90,8 +135,16 @@ def missing_metrics(covered: DataFrame) -> DataFrame:
     return covered.where(~F.col("status").isin("found", "computed_placeholder"))
 
 
-def formula_input_records(outputs: DataFrame) -> DataFrame:
-    return outputs.where("status = 'ok'").select("cik", "period_key", F.col("metric_id").alias("formula"), F.posexplode("inputs").alias("input_no", "i")).select("cik", "period_key", "formula", "input_no", "i.*")
+def formula_input_records(outputs: DataFrame, primary: DataFrame | None = None) -> DataFrame:
+    """A row for each input of each computed formula, with names and, if primary values are given, where the input comes from
+    (nulls for derived ones)."""
+    each = outputs.where("status = 'ok'").select("cik", "period_key", F.col("metric_id").alias("formula"), F.posexplode("inputs").alias("input_no", "i")).select("cik", "period_key", "formula", "input_no", "i.*")
+    names = metric_registry(outputs.sparkSession).select("metric_id", F.col("metric_name").alias("metric_name"))
+    each = each.join(F.broadcast(names), "metric_id", "left").join(F.broadcast(names.select(F.col("metric_id").alias("formula"), F.col("metric_name").alias("formula_name"))), "formula", "left")
+    if primary is not None:
+        own = _with(primary, "source_method", "xbrl_tag").where("segment_key = ''").groupBy("cik", "metric_id", "period_key").agg(*[F.max(c).alias(c) for c in ("accession", "source", "source_method", "xbrl_tag")])
+        each = each.join(own, ["cik", "metric_id", "period_key"], "left")
+    return each
 
 
 def run_summary(filings: DataFrame, candidates: DataFrame, source_values: DataFrame, issues: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -120,6 +173,14 @@ def company_overview(issuers: DataFrame) -> DataFrame:
     return issuers.unpivot("cik", fields, "field", "value")
 
 
+def company_summary(issuers: DataFrame) -> DataFrame:
+    return issuers.select("cik", "issuer_name", "ticker")
+
+
+def filing_summary(filings: DataFrame) -> DataFrame:
+    return filings.select("cik", F.col("accession").alias("accession_number"), "form_type")
+
+
 def filing_index(filings: DataFrame) -> DataFrame:
     return filings.select("cik", "accession", "form_type", "filing_date", "period_end", "fiscal_year", "fiscal_quarter", "url_primary")
 

@@ -16,7 +16,7 @@ from ledgerloom.functions.registry import metric_aliases, metric_registry
 
 TABLE = ["accession", "table_no"]
 DEBT = "debt_and_credit."
-#: What a table's context must name for a metric of a domain; other domains and empty contexts fit always.
+#: What a table's context must name for a metric of a domain; other domains and empty contexts fit always.
 DOMAIN_CONTEXTS = {
     "balance_sheet": ("balance sheet", "financial position"),
     "income_statement": ("statement of income", "statements of income", "statement of operations", "statements of operations", "results of operations", "earnings"),
@@ -26,6 +26,7 @@ DOMAIN_CONTEXTS = {
     "derivatives_and_securities": ("derivative", "securities", "fair value", "hedging"),
     "equity_compensation": ("share based", "stock based", "equity compensation", "stock compensation"),
 }
+#: Contexts of tables that hold no values of their own.
 SKIPPED = ("reference", "assets and liabilities measured at fair value on a recurring basis", "derivative netting adjustments", "fair value hierarchy", "free standing derivative receivables and payables")
 
 
@@ -47,7 +48,9 @@ def column_periods(cells: DataFrame, contexts: DataFrame, filings: DataFrame) ->
     context = F.when(F.trim("caption") == "", F.col("header_context")).otherwise(F.col("caption"))
     head = cells.where("row_no < 4").join(contexts.drop("caption"), TABLE).join(filings.select("accession", "form_type", "period_end"), "accession")
     period = X.header_period(F.col("text"), F.col("form_type"), F.col("period_end"), X.allows_bare_years(context.cast("string")))
-    found = head.withColumn("caption", F.coalesce("caption", F.lit(""))).withColumn("p", period).where(F.col("p").isNotNull() & ~X.is_reference_header(F.col("text")))
+    n = X.normalize_label(F.col("text"))
+    dated = F.col("text").rlike("[0-9]") & (n.rlike("(^| )(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)") | n.rlike("^[0-9]{4}$"))  # others have no period
+    found = head.where(dated).withColumn("caption", F.coalesce("caption", F.lit(""))).withColumn("p", period).where(F.col("p").isNotNull() & ~X.is_reference_header(F.col("text")))
     counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*TABLE, "row_no")))
     best = counted.withColumn("best", F.max(F.struct("n", (-F.col("row_no")).alias("r"))).over(Window.partitionBy(*TABLE))).where((F.col("n") == F.col("best.n")) & (F.col("row_no") == -F.col("best.r")))
     return best.select(*TABLE, F.col("cell_no").alias("period_no"), F.col("col_start").alias("from_col"), F.col("col_end").alias("to_col"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"))

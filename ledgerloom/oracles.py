@@ -5,7 +5,7 @@ from __future__ import annotations
 from ledgerloom.functions import registry
 from ledgerloom.operators.reconcile import AVERAGES, FAIR, PARTIAL_YEAR, STATEMENT_STYLE
 from ledgerloom.operators.review import CRITICAL
-from ledgerloom.queries import DEBT_LABELS, FLOW_LABELS, LABELS
+from ledgerloom.queries import DEBT_LABELS, DOCUMENT_ROWS, FLOW_LABELS, LABELS
 from ledgerloom.sources.views import BALANCE_TAGS, DURATION_METRICS, HTML_CONTEXTS, HTML_LABELS, HTML_METRICS, SEGMENTS, TAGS
 
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
@@ -85,7 +85,7 @@ facts AS (
 html0 AS (
   SELECT f.*, l.*, {among(HTML_METRICS, 'l_partkey')} AS metric_id, make_date(year(filing_date) - 1, 12, 31) AS "end" FROM lineitem l JOIN filings f ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
 html AS (
-  SELECT lpad((cik::BIGINT % 50)::VARCHAR, 10, '0') AS cik, metric_id, CASE WHEN {SEG} THEN {among(SEGMENTS, 'l_suppkey')} END AS segment_name,
+  SELECT lpad((cik::BIGINT // 30)::VARCHAR, 10, '0') AS cik, metric_id, CASE WHEN {SEG} THEN {among(SEGMENTS, 'l_suppkey')} END AS segment_name,
     CASE WHEN metric_id IN ({', '.join(map(q, DURATION_METRICS))}) THEN date_trunc('year', "end")::DATE END AS period_start, "end" AS period_end, accession, form_type,
     CASE WHEN {RATE} OR l_quantity < 10 THEN l_quantity ELSE round(l_extendedprice / 1000) * 100 END AS amount, 'currency' AS unit_kind, 'raw' AS scale,
     {among(HTML_LABELS, 'l_linenumber')} AS row_label, {among(HTML_CONTEXTS, 'l_suppkey + l_linenumber')} AS table_name, CASE WHEN l_linenumber % 2 = 0 THEN 'Revenues' END AS xbrl_tag, 'html' AS source,
@@ -305,7 +305,7 @@ ORACLE_SQL = {
     "best_segment_fact": w(f"{BASE}, known AS (SELECT *, 'segment_data.' || tag AS metric_id, coalesce({SEGMENT_FROM_FRAME}, '__default__') AS segment_key FROM facts WHERE tag IN ('Revenues', 'Assets')), scored AS ({matched('known')})", "SELECT accession, metric_id, segment_key, accn, pos, val, score::INT AS score FROM scored QUALIFY row_number() OVER (PARTITION BY accession, metric_id, tag, unit, segment_key ORDER BY score DESC, filed DESC, period_end DESC, accn, pos) = 1"),
     "label_functions": f"SELECT p_partkey, {label(chr(39) + 'Total ' + chr(39) + ' || p_name || ' + chr(39) + ' - (In Millions) & ' + chr(39) + ' || p_type')} AS label, -(p_size * 1000)::DOUBLE AS number, 'millions' AS scale, {humanize('regexp_replace(p_brand, ' + chr(39) + '[^A-Za-z0-9]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ') || ' + chr(39) + 'Segment' + chr(39))} AS segment, {canonical('p_brand || ' + chr(39) + ' & ' + chr(39) + ' || p_type || ' + chr(39) + ' & Reportable Segment' + chr(39))} AS canonical, length({label('p_type')}) BETWEEN 4 AND 140 AND NOT regexp_matches({label('p_type')}, '^[0-9]+$') AS usable, 'xml' AS format, p_size * 1000.0::DOUBLE AS scaled FROM part",
     "header_periods": f"WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), e AS (SELECT o_orderkey, {HEADER_DAY} AS e, {MONTHS_BACK} AS m, {among(['Year ended ', 'Three months ended ', 'Six months ended ', '', 'Maybe ', 'May be '], 'o_orderkey')} AS words FROM o) SELECT o_orderkey, words || {SHOWN} AS header, CASE WHEN o_orderkey % 6 <> 5 AND e = last_day(e) AND m IS NOT NULL THEN date_trunc('month', e - to_months(m - 1))::DATE END AS period_start, CASE WHEN o_orderkey % 6 <> 5 AND (m IS NULL OR e = last_day(e)) THEN e END AS period_end FROM e",
-    "table_cells": w(f"{BASE},{RENDERED}", f"SELECT accession, row_no, 0 AS cell_no, {among(LABELS, 'l_partkey')} AS text, 0 AS col_start, 0 AS col_end FROM doc_lines UNION ALL SELECT accession, row_no, 1, '$ (' || format('{{:,}}', q * 1000) || ')', 1, 2 FROM doc_lines UNION ALL SELECT accession, row_no, 2, l_linenumber::VARCHAR, 3, 3 FROM doc_lines"),
+    "table_cells": w(f"{BASE},{RENDERED}", f"SELECT accession, 0 AS row_no, unnest([0, 1, 2]) AS cell_no, unnest(['', strftime(period_end, '%B ') || day(period_end) || ', ' || year(period_end), 'Ref']) AS text, unnest([0, 1, 3]) AS col_start, unnest([0, 2, 3]) AS col_end FROM (SELECT DISTINCT accession, period_end FROM doc_lines) UNION ALL SELECT accession, row_no, 0 AS cell_no, {among(LABELS, 'l_partkey')} AS text, 0 AS col_start, 0 AS col_end FROM doc_lines UNION ALL SELECT accession, row_no, 1, '$ (' || format('{{:,}}', q * 1000) || ')', 1, 2 FROM doc_lines UNION ALL SELECT accession, row_no, 2, l_linenumber::VARCHAR, 3, 3 FROM doc_lines"),
     "inline_segment_values": w(f"{BASE},{RENDERED}", f"SELECT cik, accession, CASE l_partkey % 3 WHEN 0 THEN 'segment_data.segment_revenue' ELSE 'segment_data.segment_assets' END AS metric_id, 'Consumer Segment' AS segment_name, {fact_amount('l_suppkey % 4 = 1 AND l_partkey % 3 <> 1')}"),
     "inline_core_revenue": w(f"{BASE},{RENDERED}", f"SELECT cik, accession, 'income_statement.revenue' AS metric_id, {fact_amount('l_suppkey % 4 = 0 AND l_partkey % 3 = 0 AND CASE form_type WHEN ' + q('10-Q') + ' THEN period_end - date_trunc(' + q('year') + ', period_end)::DATE <= 100 WHEN ' + q('10-K') + ' THEN period_end - date_trunc(' + q('year') + ', period_end)::DATE >= 300 ELSE true END')}"),
     "derivative_sum": w(f"{BASE},{RENDERED}", "SELECT cik, accession, 'derivatives_and_securities.derivative_gain_loss' AS metric_id, date_trunc('year', period_end)::DATE AS period_start, period_end, sum(q)::DOUBLE AS amount, 'millions' AS scale, count(*) AS n_facts FROM doc_lines WHERE l_suppkey % 4 = 2 AND l_partkey % 3 = 1 GROUP BY cik, accession, period_end"),
@@ -343,3 +343,62 @@ UNION ALL SELECT accession, 'debt_and_credit.interest_rate', (l_suppkey % 10)::D
     "slowest_documents": "SELECT user_id AS document_id, sum(value::DECIMAL(18, 2))::DOUBLE AS total_ms FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "company_overview": w(BASE, " UNION ALL ".join(f"SELECT cik, '{c}' AS field, {c} AS value FROM issuers" for c in ("ticker", "issuer_name", "exchange", "reported_currency"))),
 }
+
+# documents of five kinds, and what every extractor finds in them
+STATEMENT = {"Net income": "income_statement.net_income", "Revenues": "income_statement.revenue", "Cost of sales": "income_statement.cost_of_goods_sold", "Gross profit": "income_statement.gross_profit"}
+DOCUMENT_LINES = "dl AS (SELECT f.*, l_quantity::INT AS q, l_linenumber, l_suppkey, o_orderkey % 5 AS kind, CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {among(v, 'l_partkey')}" for k, v in DOCUMENT_ROWS.items()) + " END AS lab, coalesce(period_end, filing_date) AS own_end, row_number() OVER (PARTITION BY accession ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS row_no FROM lineitem JOIN described f ON l_orderkey = o_orderkey WHERE period_end IS NOT NULL OR o_orderkey % 5 <> 0)"
+FLOWS = "fl AS (SELECT *, last_value(CASE lab WHEN 'Issuance' THEN 'issuance' WHEN 'Maturities and redemptions' THEN 'maturities' END IGNORE NULLS) OVER (PARTITION BY accession ORDER BY row_no) AS flow FROM dl WHERE kind = 2)"
+
+
+def found(metric: str, amount: str, source: str, row_label: str = "lab", start: str = "NULL::DATE", end: str = "own_end", unit: str = "currency", scale: str = "raw", kind: str = "NULL", method: str = "filing_html", distinct: str = "") -> str:
+    return f"SELECT {distinct} cik, accession, form_type, {metric} AS metric_id, {start} AS period_start, {end} AS period_end, ({amount})::DOUBLE AS amount, {q(unit)} AS unit_kind, {q(scale)} AS scale, {row_label} AS row_label, {kind}::VARCHAR AS source_type, {q(method)} AS source_method FROM {source}"
+
+
+def _metric_of(labels: dict) -> str:
+    return "CASE lab " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in labels.items()) + " END"
+
+
+YEAR_START = "date_trunc('year', period_end)::DATE"
+NOTE_ROWS, DUE = "lab IN ('Senior notes series', 'Bonds due later')", "'debt_and_credit."
+DETAILS = "CASE lab WHEN 'Senior notes series' THEN 'debt_and_credit.detail_senior_notes' ELSE 'debt_and_credit.detail_subordinated_debt' END"
+DOCUMENT_VALUES = " UNION ALL ".join([
+    found(_metric_of(STATEMENT), "q * 1000", "dl WHERE kind = 0 AND lab <> 'Not a metric'", end="period_end", scale="thousands"),
+    found("'income_statement.revenue'", "o_orderkey", f"dl WHERE kind = 0 AND CASE form_type WHEN '10-Q' THEN period_end - {YEAR_START} <= 100 WHEN '10-K' THEN period_end - {YEAR_START} >= 300 ELSE true END", "'us-gaap:Revenues'", YEAR_START, "period_end", scale="thousands", kind="'xbrl'", distinct="DISTINCT"),
+    found("'cash_flow.share_issuance_proceeds'", "o_orderkey % 1000", "dl WHERE kind = 0", "'us-gaap:ProceedsFromStockOptionsExercised'", YEAR_START, "period_end", scale="thousands", kind="'xbrl'", distinct="DISTINCT"),
+    found(f"{DUE}notes_and_bonds'", "notes", f"(SELECT cik, accession, form_type, own_end, sum(q) AS notes FROM dl WHERE kind = 1 AND {NOTE_ROWS} GROUP BY ALL)", "'aggregated debt note instruments'", scale="millions"),
+    found(DETAILS, "q", "dl WHERE kind = 1 AND lab IN ('Senior notes series', 'Subordinated debt tranche')", scale="millions"),
+    found(f"{DUE}revolver_balance'", "q", "(SELECT * FROM dl WHERE kind = 1 AND lab = 'Revolving credit facility drawn' QUALIFY row_number() OVER (PARTITION BY accession ORDER BY row_no DESC) = 1)", scale="millions"),
+    found(f"{DUE}interest_rate'", "l_suppkey % 10", f"(SELECT * FROM dl WHERE kind = 1 AND ({NOTE_ROWS} OR lab LIKE 'Revolving%' OR lab LIKE 'Weighted%') QUALIFY row_number() OVER (PARTITION BY accession ORDER BY CASE WHEN lab LIKE 'Weighted%' THEN 0 WHEN lab LIKE 'Revolving%' THEN 3 ELSE 4 END, row_no) = 1)", unit="percentage"),
+    found(f"{DETAILS} || '_' || flow", "q", "fl WHERE flow IS NOT NULL AND lab IN ('Senior notes series', 'Subordinated debt tranche')"),
+    found(f"{DUE}detail_secured_borrowings_issuance'", "q", "dl WHERE kind = 3 AND lab LIKE 'Federal%'"),
+    found(f"{DUE}detail_secured_borrowings_maturities'", "l_linenumber", "dl WHERE kind = 3 AND lab LIKE 'Federal%'"),
+    found(f"{DUE}detail_other_borrowed_funds'", "q", "dl WHERE kind = 3 AND lab LIKE 'Other%'"),
+    found(f"{DUE}revolver_balance'", "0", "dl WHERE kind = 3 AND o_orderkey % 2 = 0 AND period_end IS NOT NULL", "NULL::VARCHAR", end="period_end", method="filing_text", distinct="DISTINCT"),
+    found(_metric_of(STATEMENT), "q", "dl WHERE kind = 4"),
+])
+DOCUMENTS = f"{BASE},{DOCUMENT_LINES},{FLOWS}"
+CELL_TEXT = "CASE l_linenumber % 5 WHEN 0 THEN format('{:,}', q * 1000) WHEN 1 THEN '(' || q || ')' WHEN 2 THEN q || '%' WHEN 3 THEN '$ ' || q || '.5' ELSE 'n/a' END"
+CELL_NUMBER = "CASE l_linenumber % 5 WHEN 0 THEN q * 1000.0 WHEN 1 THEN -q WHEN 2 THEN q WHEN 3 THEN q + 0.5 END"
+SOURCE_OF = "CASE WHEN domain IN ('footnotes', 'mda', 'risk_factors') THEN 'html_narrative' WHEN domain = 'valuation' THEN 'valuation_formula' ELSE 'xbrl_primary_html_fallback' END"
+
+ORACLE_SQL |= {
+    "historical_submissions": w(BASE, "SELECT cik, 'ok' AS status, accession, form_text, filing_date, period_end, primary_document FROM filings"),
+    "ticker_index": w(BASE, "SELECT cik::BIGINT::VARCHAR AS position, cik::BIGINT::VARCHAR AS cik, ticker, issuer_name AS title FROM issuers"),
+    "company_identity": w(BASE, "SELECT cik, issuer_name, CASE WHEN cik::BIGINT % 3 <> 0 THEN ticker END AS ticker, CASE WHEN cik::BIGINT % 3 <> 0 THEN exchange END AS exchange, '1231' AS fiscal_year_end FROM issuers"),
+    "company_summary": w(BASE, "SELECT cik, issuer_name, ticker FROM issuers"),
+    "filing_summary": w(BASE, "SELECT cik, accession AS accession_number, form_type FROM selected"),
+    "filing_index": w(BASE, "SELECT cik, accession, form_type, filing_date, period_end, fiscal_year, fiscal_quarter, url_primary FROM selected"),
+    "registry_labels": w(BASE, "SELECT r.metric_id, coalesce(statement, 'other') AS statement_label, domain AS sheet, (SELECT count(*) FROM facts f JOIN tags t ON lower(f.tag) = lower(t.tag) WHERE t.metric_id = r.metric_id) AS n_facts FROM registry r WHERE domain = 'balance_sheet' OR r.metric_id = 'income_statement.net_income'"),
+    "extract_facts_exact": w(f"{BASE},{EXTRACT.replace('score DESC', 'score')}", "SELECT cik, metric_id, accession, period_key, amount, xbrl_tag, score::INT AS score, pos FROM candidates"),
+    "numeric_cells": f"WITH l AS (SELECT *, l_quantity::INT AS q, {among(['balance_sheet.long_term_debt', 'debt_and_credit.interest_rate', 'income_statement.revenue'], 'l_partkey')} AS metric_id, {among(['currency', 'percentage', 'ratio', 'shares', 'text', 'per_share'], 'l_suppkey')} AS hint FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {CELL_TEXT} AS text, ({CELL_NUMBER})::DOUBLE AS number, l_linenumber % 5 = 2 AS percentage, CASE WHEN hint IN ('percentage', 'ratio', 'shares', 'text') THEN hint ELSE 'other' END AS unit, hint, metric_id <> 'debt_and_credit.interest_rate' OR abs({CELL_NUMBER}) <= 100 AS plausible, metric_id FROM l",
+    "bare_years": w(BASE, "SELECT accession, CASE WHEN o_orderkey % 5 = 0 THEN 'Reference 2011' WHEN o_orderkey % 7 = 0 THEN 'Year' ELSE year(filing_date)::VARCHAR END AS header, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND form_type = '10-K' AND o_orderkey % 3 <> 1 AND period_end IS NOT NULL THEN make_date(year(filing_date), month(period_end), day(period_end)) END AS period_end, o_orderkey % 5 = 0 AS reference FROM described"),
+    "truncated_texts": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'x' || repeat(chr(233), least(p_size, 19)) ELSE repeat(chr(233), least(p_size, 20)) END AS text FROM part",
+    "fx_scan": f"SELECT {among(['EUR', 'GBP', 'JPY', 'CHF'], 'user_id')} AS from_currency, 'USD' AS to_currency, ts::DATE AS date, (avg(value::DECIMAL(18, 2)))::DECIMAL(18, 4)::DOUBLE AS rate, 'given' AS provider_name FROM events GROUP BY 1, 3",
+    "document_values": w(DOCUMENTS, DOCUMENT_VALUES),
+    "issue_counts": w(f"{RUN},{FORMULAS},{RULES}", f"SELECT cik, code, count(*) AS n FROM (SELECT cik, code FROM ({CONFLICTS}) UNION ALL SELECT cik, code FROM ({ISSUES_CRITICAL}) UNION ALL SELECT cik, 'valuation_placeholder_skipped' FROM issuers WHERE cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio_status = 'ok') UNION ALL SELECT cik, 'duplicate_source_values' FROM flags WHERE n > 1 AND NOT identical AND NOT ({SUPPRESSED})) GROUP BY ALL"),
+    "provenance_sheet": w(RUN, "SELECT s.cik, s.metric_id, r.metric_name AS metric_label, r.domain, period_key, segment_key, selected_as_primary, source, decision, amount, s.accession, CASE source WHEN 'xbrl' THEN 'api_xbrl_facts' ELSE 'filing_html' END AS source_method, xbrl_tag, f.url_primary AS filing_url, review_note FROM source_values s LEFT JOIN registry r ON r.metric_id = s.metric_id LEFT JOIN (SELECT accession, url_primary FROM selected QUALIFY max(year(period_end)) OVER (PARTITION BY cik) IS NULL OR period_end IS NULL OR year(period_end) > max(year(period_end)) OVER (PARTITION BY cik) - 10) f ON f.accession = s.accession"),
+    "provenance_of_assets": w(RUN, "SELECT cik, period_key, source, accession, amount FROM source_values WHERE metric_id = 'balance_sheet.total_assets'"),
+    "coverage_sheet": w(f"{RUN},{COVERAGE}", f"SELECT c.cik, r.domain, c.metric_id, r.metric_name, {SOURCE_OF} AS expected_source, status, found_primary_values, period_count FROM covered c JOIN registry r ON r.metric_id = c.metric_id"),
+    "formula_inputs_sheet": w(f"{RUN},{FORMULAS}", "SELECT i.*, r.metric_name, n.metric_name AS formula_name, p.source FROM (" + " UNION ALL ".join(f"SELECT cik, period_key, '{metric}' AS formula, {k} AS input_no, '{m}' AS metric_id, round({c}, 2) AS amount FROM formulas WHERE {status} = 'ok' AND {c} IS NOT NULL" for _, status, metric, names in FORMULA_INPUTS for k, (c, m) in enumerate(names)) + ") i LEFT JOIN registry r ON r.metric_id = i.metric_id LEFT JOIN registry n ON n.metric_id = i.formula LEFT JOIN primary_values p ON p.cik = i.cik AND p.metric_id = i.metric_id AND p.period_key = i.period_key AND p.segment_key = ''"),
+    "report_roundtrip": w(BASE, "SELECT * FROM (VALUES (0, 'schema', 3::BIGINT)) t(place, sheet, n) UNION ALL SELECT 1, 'company_overview', 4 * count(*) FROM issuers UNION ALL SELECT 2, 'filing_index', count(*) FROM selected"),
+}

@@ -7,41 +7,56 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import derive, discovery, facts, reconcile, report, review
+from ledgerloom.operators import derive, discovery, document_values, facts, reconcile, report, review
 from ledgerloom.sources import views
+from ledgerloom.sources.documents import parsed_once
+from ledgerloom.sources.scratch import written
 
 
 class FilingReport:
-    """Tables of one run, each built lazily from its inputs: issuers, filings, facts and document-side candidates.
+    """Tables of one run, each built lazily from its inputs: issuers, filings, facts, and documents(accession, html) or ready
+    document-side candidates.
 
-    What several tables read is persisted (memory and disk; a lost part is computed again); release() frees it.
+    What several tables read is written once to the shared folder: the parse of the documents, candidates of both sides, and
+    ranked values. A lost executor loses nothing of it, and nothing stays in memory after a run.
     """
 
-    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04) -> None:
-        self.issuers, self.all_filings, self.fact_rows, self.html = issuers, filings, fact_rows, html
+    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame | None = None, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04, documents: DataFrame | None = None) -> None:
+        if (html is None) == (documents is None):
+            raise ValueError("give documents or document-side candidates, not both")
+        self.issuers, self.all_filings, self.fact_rows, self.documents = issuers, filings, fact_rows, documents
+        if html is not None:
+            self.html = html
         self.years, self.html_policy, self.treasury_yield = years, html_policy, treasury_yield
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str, **how) -> FilingReport:
         return cls(views.issuers(spark, sf_dir), discovery.describe_filings(views.filings(spark, sf_dir)), views.facts(spark, sf_dir), views.html_candidates(spark, sf_dir), **how)
 
-    def release(self) -> None:
-        for name in ("candidates", "ranked"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
-
     @cached_property
     def filings(self) -> DataFrame:
         return discovery.limit_years(discovery.original_filings(self.all_filings), self.years)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return facts.extract_facts(self.fact_rows, self.filings).persist()  # read by reconciliation, cover and summaries
+        return written(facts.extract_facts(self.fact_rows, self.filings), "candidates")
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return parsed_once(self.documents.join(self.filings.select("accession"), "accession", "left_semi"))
+
+    @cached_property
+    def html(self) -> DataFrame:
+        return written(document_values.extract_document_values(self.parsed, self.documents, self.filings), "document-values")
+
+    @cached_property
+    def narratives(self) -> DataFrame | None:
+        return None if self.documents is None else document_values.document_narratives(self.parsed, self.filings)
 
     @cached_property
     def ranked(self) -> DataFrame:
         html = reconcile.drop_covered_html(self.candidates, self.html) if self.html_policy == "fallback_only" else self.html
-        return reconcile.ranked_values(self.candidates.unionByName(html, allowMissingColumns=True)).persist()
+        return written(reconcile.ranked_values(self.candidates.unionByName(html, allowMissingColumns=True)), "ranked")
 
     @cached_property
     def source_values(self) -> DataFrame:
@@ -58,6 +73,17 @@ class FilingReport:
         own = self.primary.select(*columns)
         return own.unionByName(derive.derive_gross_profit(own).select(*columns)).unionByName(derive.derive_share_change(own).select(*columns))
 
+    @cached_property
+    def reported_values(self) -> DataFrame:
+        """Source values and derived ones, which are primary by themselves: what sheets and coverage count."""
+        derived = self.metrics.join(self.primary.select("cik", "metric_id", "period_key").distinct(), ["cik", "metric_id", "period_key"], "left_anti")
+        derived = derived.withColumns({"segment_key": F.lit(""), "source": F.lit("derived"), "selected_as_primary": F.lit(True)})
+        out = self.source_values.unionByName(derived, allowMissingColumns=True)
+        if self.narratives is None:
+            return out
+        prose = self.narratives.select("cik", "accession", "metric_id", "period_key").withColumns({"segment_key": F.lit(""), "source": F.lit("html"), "selected_as_primary": F.lit(True)})
+        return out.unionByName(prose, allowMissingColumns=True)
+
     @cached_property
     def formulas(self) -> DataFrame:
         return derive.compute_formulas(self.metrics, self.treasury_yield)
@@ -65,6 +91,8 @@ class FilingReport:
     @cached_property
     def issues(self) -> DataFrame:
         parts = [review.duplicate_values(self.ranked).drop("source"), review.value_conflicts(self.ranked), review.critical_metric_missing(self.issuers, self.primary), review.critical_metric_html_only(self.primary), review.formulas_skipped(self.issuers, self.formulas)]
+        if self.documents is not None:
+            parts.append(review.documents_skipped(self.parsed, self.filings))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -73,7 +101,9 @@ class FilingReport:
     def tables(self, periods: list[str]) -> dict[str, DataFrame]:
         """All report sheets; wide sheets have a column for each of `periods`."""
         spark = self.issuers.sparkSession
-        rows, records, covered = report.metric_rows(self.primary, self.formulas), report.provenance_records(self.source_values), report.coverage(self.issuers, self.source_values, self.formulas)
+        records = report.provenance_records(self.source_values, self.filings)
+        covered = report.with_notes(report.coverage(self.issuers, self.reported_values, self.formulas))
+        rows = report.metric_rows(self.reported_values.where("selected_as_primary and amount is not null"), self.formulas, self.narratives)
         return {
             "schema": report.schema_sheet(spark, len(periods)),
             "company_overview": report.company_overview(self.issuers),
@@ -84,7 +114,7 @@ class FilingReport:
             "review_warnings": self.issues,
             "coverage_summary": covered,
             "missing_metrics": report.missing_metrics(covered),
-            "formula_inputs": report.formula_input_records(self.formulas),
+            "formula_inputs": report.formula_input_records(self.formulas, self.primary),
         }
 
 

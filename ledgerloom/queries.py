@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import registry
 from ledgerloom.functions import text as X
-from ledgerloom.operators import derive, discovery, facts, inline, narrative, reconcile, report, review, tables
+from ledgerloom.operators import derive, discovery, document_values as values_of, facts, inline, narrative, reconcile, report, review, tables
 from ledgerloom.plans.filing_report import FilingReport, owners_earnings_by_period
 from ledgerloom.sources import documents, payloads, views
+from ledgerloom.sources.scratch import scratch_path
 
 QUERIES: dict = {}
 
@@ -151,9 +152,14 @@ def header_periods(spark, sf_dir):
     return o.select("o_orderkey", header.alias("header"), p["start"].alias("period_start"), p["end"].alias("period_end"))
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """Lines dealt by filing to a number of partitions that isn't reduced by bytes: parsing costs far more than its bytes say."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "accession")
+
+
 def _rendered(spark, sf_dir):
     """Filings as documents: a captioned statement of the order's lines, embedded facts with contexts, and prose."""
-    line = views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir).where("period_end is not null"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = _spread(views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir).where("period_end is not null"), F.col("l_orderkey") == F.col("o_orderkey")))
     entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
     by = line.groupBy("accession", "cik", "form_type", "filing_date", "period_end").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     end = F.col("period_end")
@@ -175,13 +181,13 @@ LABELS = ["Net income", "Revenues", "Cost of sales", "Gross profit", "Not a metr
 @query
 def table_cells(spark, sf_dir):
     cells = documents.table_cells(documents.parse_documents(_rendered(spark, sf_dir)))
-    return cells.where("row_no > 0").select("accession", "row_no", "cell_no", "text", "col_start", "col_end")
+    return cells.select("accession", "row_no", "cell_no", "text", "col_start", "col_end")
 
 
 @query
 def table_values(spark, sf_dir):
     docs = _rendered(spark, sf_dir)
-    cells = documents.table_cells(documents.parse_documents(docs))
+    cells = documents.table_cells(documents.parsed_once(docs))
     return tables.extract_table_values(cells, docs.drop("html")).select("cik", "accession", "metric_id", "period_start", "period_end", "amount", "scale", "row_label", "row_no")
 
 
@@ -208,7 +214,7 @@ def derivative_sum(spark, sf_dir):
 
 def _debt_documents(spark, sf_dir):
     """Debt note tables rendered from the order's lines."""
-    line = views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = _spread(views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")))
     entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
     by = line.groupBy("accession", "cik", "form_type", "filing_date", "period_end").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     labels = F.array(*[F.lit(x) for x in DEBT_LABELS])
@@ -222,19 +228,19 @@ DEBT_LABELS = ["Senior notes", "Subordinated debt", "Revolving credit facility",
 
 @query
 def debt_note_values(spark, sf_dir):
-    cells = documents.table_cells(documents.parse_documents(_debt_documents(spark, sf_dir)))
+    cells = documents.table_cells(documents.parsed_once(_debt_documents(spark, sf_dir)))
     return tables.debt_note_values(cells, tables.table_contexts(cells)).select("accession", "metric_id", "amount", "row_label", "row_no")
 
 
 @query
 def funding_flow(spark, sf_dir):
-    line = views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = _spread(views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")))
     entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
     by = line.groupBy("accession", "cik", "form_type", "filing_date", "period_end").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     labels = F.array(*[F.lit(x) for x in FLOW_LABELS])
     row = lambda x: F.concat(F.lit("<tr><td>"), F.get(labels, (x["l_partkey"] % len(FLOW_LABELS)).cast("int")), F.lit("</td><td>"), x["q"].cast("string"), F.lit("</td></tr>"))
     docs = by.select("accession", "cik", "form_type", "filing_date", "period_end", F.concat(F.lit("<table><caption>Long-term unsecured funding</caption>"), F.array_join(F.transform("l", row), ""), F.lit("</table>")).alias("html"))
-    cells = documents.table_cells(documents.parse_documents(docs))
+    cells = documents.table_cells(documents.parsed_once(docs))
     return tables.funding_flow_values(cells, tables.table_contexts(cells), docs.drop("html")).select("accession", "metric_id", "amount", "row_label", "row_no")
 
 
@@ -341,8 +347,8 @@ def owners_earnings(spark, sf_dir):
 def fx_convert(spark, sf_dir):
     o = views.read(spark, sf_dir, "orders")
     amounts = o.select("o_orderkey", views.pick(["EUR", "GBP", "JPY", "CHF", "SEK"], F.col("o_custkey")).alias("from_currency"), F.lit("USD").alias("to_currency"), F.col("o_totalprice").alias("amount"))
-    days = views.read(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("date")).alias("first"))
-    amounts = amounts.join(F.broadcast(days)).withColumn("date", F.date_add("first", (F.col("o_orderkey") % 40).cast("int"))).drop("first")
+    first = views.read(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("date")).alias("first")).scalar()
+    amounts = amounts.withColumn("date", F.date_add(first, (F.col("o_orderkey") % 40).cast("int")))
     out = derive.convert_currency(amounts, views.fx_rates(spark, sf_dir))
     return out.select("o_orderkey", "from_currency", "date", "amount", "rate", "converted_amount", "status")
 
@@ -404,3 +410,204 @@ def slowest_documents(spark, sf_dir):
 @query
 def company_overview(spark, sf_dir):
     return report.company_overview(views.issuers(spark, sf_dir))
+
+
+@query
+def historical_submissions(spark, sf_dir):
+    """History payloads: the bare lists of a company's filings."""
+    by = views.filings(spark, sf_dir).groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("accession", F.col("filing_date").cast("string").alias("d"), F.coalesce(F.col("period_end").cast("string"), F.lit("")).alias("r"), "form_text", "primary_document"))).alias("l"))
+    of = {"accessionNumber": "accession", "filingDate": "d", "reportDate": "r", "form": "form_text", "primaryDocument": "primary_document"}
+    pick = lambda n: F.transform("l", lambda x: x[n])
+    lists = F.struct(*[pick(n).alias(k) for k, n in of.items()])
+    return payloads.scan_historical_submissions(by.select("cik", F.to_json(lists).alias("payload")))
+
+
+@query
+def ticker_index(spark, sf_dir):
+    """One payload for each exchange: a map of records, keyed by their place."""
+    record = F.struct(F.col("cik").cast("long").cast("string").alias("cik_str"), "ticker", F.col("issuer_name").alias("title"))
+    i = views.issuers(spark, sf_dir).groupBy("exchange").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cik").cast("long").cast("string"), record))).alias("m"))
+    return payloads.scan_ticker_index(i.select(F.to_json("m").alias("payload")))
+
+
+@query
+def company_identity(spark, sf_dir):
+    i = views.issuers(spark, sf_dir)
+    both = lambda c: F.when(F.col("cik").cast("long") % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.col(c), F.lit("second")))
+    text = i.select(F.to_json(F.struct("cik", F.col("issuer_name").alias("name"), both("ticker").alias("tickers"), both("exchange").alias("exchanges"), F.lit("1231").alias("fiscalYearEnd"))).alias("payload"))
+    return discovery.company_identity(payloads.submission_headers(text))
+
+
+@query
+def company_summary(spark, sf_dir):
+    return report.company_summary(views.issuers(spark, sf_dir))
+
+
+@query
+def filing_summary(spark, sf_dir):
+    return report.filing_summary(_selected(spark, sf_dir))
+
+
+@query
+def filing_index(spark, sf_dir):
+    return report.filing_index(_selected(spark, sf_dir))
+
+
+@query
+def registry_labels(spark, sf_dir):
+    """Balance-sheet metrics and net income with their labels, and how many facts use each one's tags."""
+    wanted = registry.metrics_by_domain(spark, "balance_sheet").unionByName(registry.metric_by_id(spark, "income_statement.net_income"))
+    n = registry.match_tag(views.facts(spark, sf_dir).select("tag")).groupBy("metric_id").agg(F.count(F.lit(1)).alias("n_facts"))
+    return wanted.join(n, "metric_id", "left").select("metric_id", registry.statement_label(F.col("statement")).alias("statement_label"), registry.sheet_name(F.col("domain")).alias("sheet"), F.coalesce("n_facts", F.lit(0)).cast("long").alias("n_facts"))
+
+
+@query
+def extract_facts_exact(spark, sf_dir):
+    """As extract_facts, but a fact of the filing itself comes before those that only fit its date."""
+    out = facts.extract_facts(views.facts(spark, sf_dir), _selected(spark, sf_dir), match_order="exact_first")
+    return out.select("cik", "metric_id", "accession", "period_key", "amount", "xbrl_tag", "score", "pos")
+
+
+@query
+def numeric_cells(spark, sf_dir):
+    """Cell texts of lines: number, whether they look like a percentage, unit by hint, and whether a metric may have the value."""
+    line = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    text = F.element_at(F.array(F.format_string("%,d", F.col("q") * 1000), F.format_string("(%d)", "q"), F.concat(F.col("q").cast("string"), F.lit("%")), F.concat(F.lit("$ "), F.col("q").cast("string"), F.lit(".5")), F.lit("n/a")), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    metric = views.pick(["balance_sheet.long_term_debt", "debt_and_credit.interest_rate", "income_statement.revenue"], F.col("l_partkey"))
+    hint = views.pick(["currency", "percentage", "ratio", "shares", "text", "per_share"], F.col("l_suppkey"))
+    number = X.parse_number(text)
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"), number.alias("number"), X.looks_like_percentage(text).alias("percentage"), X.unit_from_hint(hint).alias("unit"), hint.alias("hint"), X.is_plausible(metric, number).alias("plausible"), metric.alias("metric_id"))
+
+
+@query
+def bare_years(spark, sf_dir):
+    """Headers that are a year and nothing else, and which of them name a period; reference headers name none."""
+    f = _filings(spark, sf_dir)
+    header = F.when(F.col("o_orderkey") % 5 == 0, F.lit("Reference 2011")).when(F.col("o_orderkey") % 7 == 0, F.lit("Year")).otherwise(F.year("filing_date").cast("string"))
+    allowed = X.allows_bare_years(views.pick(["Consolidated Statements of Income", "Selected data", "Balance sheets"], F.col("o_orderkey")))
+    return f.select("accession", header.alias("header"), X.bare_year_date(header, F.col("form_type"), F.col("period_end"), allowed).alias("period_end"), X.is_reference_header(header).alias("reference"))
+
+
+@query
+def truncated_texts(spark, sf_dir):
+    """Texts of two-byte characters, cut to 40 bytes at a character boundary."""
+    p = views.read(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "x").otherwise(""), F.repeat(F.lit("\u00e9"), F.col("p_size"))).alias("text"))
+    return p.select("p_partkey", X.truncate_bytes(F.col("text"), 40).alias("text"))
+
+
+@query
+def fx_scan(spark, sf_dir):
+    """Rates written as a CSV file set, scanned again."""
+    path = scratch_path(spark, "fx")
+    columns = ["from_currency", "to_currency", "date", "rate", "provider_name"]
+    views.fx_rates(spark, sf_dir).withColumn("provider_name", F.lit("given")).select(*columns).write.option("header", True).csv(path)
+    return payloads.scan_fx_rates(spark, path, "csv")
+
+
+SECURED = ["Issuance", "Maturities"]
+DOCUMENT_ROWS = {
+    0: ["Net income", "Revenues", "Cost of sales", "Gross profit", "Not a metric"],
+    1: ["Senior notes series", "Subordinated debt tranche", "Revolving credit facility drawn", "Weighted average rate paid", "Bonds due later", "Common stock issued shares"],
+    2: ["Issuance", "Senior notes series", "Maturities and redemptions", "Subordinated debt tranche", "Other lines"],
+    3: ["Federal home loan bank advances", "Other borrowed funds line", "Deposits of others"],
+    4: ["Net income", "Revenues"],
+}
+
+
+def _filing_documents(spark, sf_dir):
+    """Filings as documents of five kinds, by order: an annual statement with embedded facts; a debt note; unsecured funding;
+    secured funding, short-term funding and a sentence on an undrawn facility; a reference table and an undated one."""
+    line = _spread(views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")))
+    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    by = line.groupBy("accession", "cik", "form_type", "filing_date", "period_end", "o_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    end, text = F.col("period_end"), lambda x: x.cast("string")
+    tr = lambda *cells: F.concat(F.lit("<tr><td>"), *[x for k, c in enumerate(cells) for x in ([F.lit("</td><td>")] if k else []) + [c]], F.lit("</td></tr>"))
+    label = lambda kind, x: F.get(F.array(*[F.lit(v) for v in DOCUMENT_ROWS[kind]]), (x["l_partkey"] % len(DOCUMENT_ROWS[kind])).cast("int"))
+    rows = lambda f: F.array_join(F.transform("l", f), "")
+    table = lambda caption, *parts: F.concat(F.lit(f"<table><caption>{caption}</caption>"), *parts, F.lit("</table>"))
+    day = F.coalesce(F.date_format(end, "MMMM d, yyyy"), F.lit("no date"))
+    context = lambda name, member: F.concat(F.lit(f'<xbrli:context id="{name}"><xbrli:entity>{member}</xbrli:entity><xbrli:period><xbrli:startDate>'), F.trunc(end, "year").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), text(end), F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"))
+    award = context("c_award", '<xbrldi:explicitMember dimension="us-gaap:AwardTypeAxis">x:OptionMember</xbrldi:explicitMember>')
+    core = context("c_core", "")
+    fact = lambda name, where, value: F.concat(F.lit(f'<ix:nonFraction unitRef="usd" contextRef="{where}" name="us-gaap:{name}" scale="3">'), value, F.lit("</ix:nonFraction>"))
+    statement = table("Consolidated Statements of Income (in thousands)", tr(F.lit("&nbsp;"), day), rows(lambda x: tr(label(0, x), F.format_string("%,d", x["q"] * 1000))))
+    kinds = [
+        F.concat(core, award, fact("Revenues", "c_core", text(F.col("o_orderkey"))), fact("ProceedsFromStockOptionsExercised", "c_award", text(F.col("o_orderkey") % 1000)), statement),
+        table("Debt (in millions)", tr(F.lit("Instrument"), F.lit("Interest rate"), F.lit("Carrying value")), rows(lambda x: tr(label(1, x), F.concat(text(x["l_suppkey"] % 10), F.lit("%")), text(x["q"])))),
+        table("Long-term unsecured funding", rows(lambda x: tr(label(2, x), text(x["q"])))),
+        F.concat(
+            table("Long-term secured funding", tr(F.lit("Source"), *[F.lit(c) for c in SECURED]), rows(lambda x: tr(label(3, x), text(x["q"]), text(x["l_linenumber"])))),
+            table("Short-term unsecured funding", tr(F.lit("Source"), F.lit("Amount")), rows(lambda x: tr(label(3, x), text(x["q"])))),
+            F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<p>The credit facility was undrawn at "), day, F.lit(".</p>"))).otherwise(""),
+        ),
+        F.concat(table("Reference", tr(F.lit("a"), F.lit("b")), rows(lambda x: tr(label(4, x), text(x["q"])))), table("Statement of income", tr(F.lit("a"), F.lit("Reference")), rows(lambda x: tr(label(4, x), text(x["q"]))))),
+    ]
+    html = F.element_at(F.array(*[F.concat(F.lit("<html><body>"), k, F.lit("</body></html>")) for k in kinds]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return by.where("period_end is not null or o_orderkey % 5 <> 0").select("accession", "cik", "form_type", "filing_date", "period_end", html.alias("html"))
+
+
+@query
+def document_values(spark, sf_dir):
+    """All extractors over one parse of all documents."""
+    docs = _filing_documents(spark, sf_dir)
+    found = values_of.extract_document_values(documents.parsed_once(docs), docs, docs.drop("html"))
+    return found.select("cik", "accession", "form_type", "metric_id", "period_start", "period_end", "amount", "unit_kind", "scale", "row_label", "source_type", "source_method")
+
+
+def _document_run(spark, sf_dir) -> FilingReport:
+    docs = _filing_documents(spark, sf_dir).select("accession", "html")
+    return FilingReport(views.issuers(spark, sf_dir), _filings(spark, sf_dir), views.facts(spark, sf_dir), documents=docs)
+
+
+@query
+def document_report(spark, sf_dir):
+    """The whole program with its document side from filing documents: what coverage says of each company and metric."""
+    run = _document_run(spark, sf_dir)
+    covered = report.with_notes(report.coverage(run.issuers, run.reported_values, run.formulas))
+    return covered.select("cik", "metric_id", "expected_source", "status", "found_primary_values", "html_source_values")
+
+
+@query
+def issue_counts(spark, sf_dir):
+    """Issues of all kinds by company and code."""
+    return FilingReport.over(spark, sf_dir).issues.groupBy("cik", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def provenance_sheet(spark, sf_dir):
+    run = FilingReport.over(spark, sf_dir)
+    rows = report.provenance_records(run.source_values, run.filings)
+    return rows.select("cik", "metric_id", "metric_label", "domain", "period_key", "segment_key", "selected_as_primary", "source", "decision", "amount", "accession", "source_method", "xbrl_tag", "filing_url", "review_note")
+
+
+@query
+def provenance_of_assets(spark, sf_dir):
+    run = FilingReport.over(spark, sf_dir)
+    return report.provenance_lookup(report.provenance_records(run.source_values), "balance_sheet.total_assets").select("cik", "period_key", "source", "accession", "amount")
+
+
+@query
+def coverage_sheet(spark, sf_dir):
+    run = FilingReport.over(spark, sf_dir)
+    return report.with_notes(report.coverage(run.issuers, run.source_values)).select("cik", "domain", "metric_id", "metric_name", "expected_source", "status", "found_primary_values", "period_count")
+
+
+@query
+def formula_inputs_sheet(spark, sf_dir):
+    run = FilingReport.over(spark, sf_dir)
+    rows = report.formula_input_records(run.formulas, run.primary)
+    return rows.select("cik", "period_key", "formula", "formula_name", F.col("input_no").cast("int").alias("input_no"), "metric_id", "metric_name", "source", F.round("amount", 2).alias("amount"))
+
+
+@query
+def report_roundtrip(spark, sf_dir):
+    """Sheets written as datasets and imported again: rows of each."""
+    issuers, filings = views.issuers(spark, sf_dir), _selected(spark, sf_dir)
+    path = scratch_path(spark, "report")
+    report.write_report({"schema": report.schema_sheet(spark, 3), "company_overview": report.company_overview(issuers), "filing_index": report.filing_index(filings)}, path)
+    sheets = report.import_report(spark, path)
+    out = None
+    for k, (name, df) in enumerate(sheets.items()):
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("place"), F.lit(name).alias("sheet"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

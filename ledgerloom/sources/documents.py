@@ -5,11 +5,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import text as X
+from ledgerloom.sources.payloads import read_payloads
+from ledgerloom.sources.scratch import written
 
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "div", "span")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -84,42 +85,65 @@ def clean(parts: list[str] | None) -> str | None:
     return None if parts is None else " ".join(" ".join(parts).split())
 
 
+#: Pages whose rows are made before they go back to Spark.
+PAGES = 64
+
+
 def parse_documents(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
-    """One row per cell (kind 'cell': table_no, row_no, cell_no, text, colspan, caption) and per block (kind 'block': row_no its
-    place, tag, text). A document that is null gives nothing; one that can't be parsed gives one row of kind 'error'."""
-    ints = ["table_no", "row_no", "cell_no", "colspan"]
+    """One row per cell (kind 'cell': table_no, row_no, cell_no, text, col_start and colspan, caption) and per block (kind 'block':
+    row_no its place, tag, text). col_start is the sum of the spans before a cell in its row. A document that is null gives
+    nothing; one that can't be parsed, whatever the reason, gives one row of kind 'error'."""
+    ints = ["table_no", "row_no", "cell_no", "col_start", "colspan"]
     names = [key, "kind", *ints, "tag", "text", "caption"]
 
+    def page_rows(k, page: str) -> list[tuple]:
+        doc = _Document()
+        try:
+            doc.feed(page)
+            doc.close()
+        except Exception as e:  # noqa: BLE001 - one bad document must not end the job
+            return [(k, "error", *[None] * len(ints), None, f"{type(e).__name__}: {e}", None)]
+        rows: list[tuple] = []
+        for t, table in enumerate(doc.tables):
+            caption = clean(table["caption"])
+            for r, row in enumerate(table["rows"]):
+                at = 0
+                for c, (text, span) in enumerate(row):
+                    rows.append((k, "cell", t, r, c, at, span, None, clean(text), caption))
+                    at += span
+        return rows + [(k, "block", None, b, None, None, None, tag, clean(text), None) for b, (tag, text) in enumerate(doc.blocks)]
+
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if page is None:
-                    continue
-                doc = _Document()
-                try:
-                    doc.feed(page)
-                    doc.close()
-                except (ValueError, AssertionError) as e:
-                    rows.append((k, "error", None, None, None, None, None, str(e), None))
-                    continue
-                for t, table in enumerate(doc.tables):
-                    caption = clean(table["caption"])
-                    rows += [(k, "cell", t, r, c, span, None, clean(text), caption) for r, row in enumerate(table["rows"]) for c, (text, span) in enumerate(row)]
-                rows += [(k, "block", None, b, None, None, tag, clean(text), None) for b, (tag, text) in enumerate(doc.blocks)]
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [batch.schema.field(0).type, pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            kinds = [batch.schema.field(0).type, pa.string(), *[pa.int32()] * len(ints), pa.string(), pa.string(), pa.string()]
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                pages = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                rows = [row for k, page in pages if page is not None for row in page_rows(k, page)]
+                cols = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     source = documents.select(F.col(key), F.col(html).cast("string").alias("html"))
     out = T.StructType([T.StructField(key, source.schema[key].dataType), T.StructField("kind", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ints], *[T.StructField(n, T.StringType()) for n in ("tag", "text", "caption")]])
     return source.mapInArrow(run, out)
 
 
+def parsed_once(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
+    """parse_documents as a written table, for all operators that read cells or blocks of the same documents."""
+    return written(parse_documents(documents, key, html), "parsed")
+
+
+def scan_documents(spark: SparkSession, path: str) -> DataFrame:
+    """accession, html, path of a folder of filing documents, one a file: <cik>/<accession without dashes>/<name>, or files named
+    by their accession. A file whose path has no accession gets a null one."""
+    plain = F.regexp_extract("path", r"([0-9]{10})-?([0-9]{2})-?([0-9]{6})(?:/[^/]*|[^/0-9][^/]*)?$", 0)
+    part = lambda k: F.regexp_extract("path", r"([0-9]{10})-?([0-9]{2})-?([0-9]{6})(?:/[^/]*|[^/0-9][^/]*)?$", k)
+    return read_payloads(spark, path).select(F.when(plain != "", F.concat_ws("-", part(1), part(2), part(3))).alias("accession"), F.col("payload").alias("html"), "path")
+
+
 def table_cells(parsed: DataFrame, key: str = "accession") -> DataFrame:
-    """Cells with the display columns they span: col_start to col_end, from the widths of the cells before them."""
-    row = Window.partitionBy(key, "table_no", "row_no").orderBy("cell_no").rowsBetween(Window.unboundedPreceding, -1)
-    return parsed.where("kind = 'cell'").withColumn("col_start", F.coalesce(F.sum("colspan").over(row), F.lit(0)).cast("int")).withColumn("col_end", (F.col("col_start") + F.col("colspan") - 1).cast("int")).select(key, "table_no", "row_no", "cell_no", "text", "col_start", "col_end", "caption")
+    """Cells with the display columns they span: col_start to col_end."""
+    return parsed.where("kind = 'cell'").select(key, "table_no", "row_no", "cell_no", "text", "col_start", (F.col("col_start") + F.col("colspan") - 1).cast("int").alias("col_end"), "caption")
 
 
 def heading_blocks(parsed: DataFrame, key: str = "accession") -> DataFrame:
