@@ -142,7 +142,7 @@ def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000) -> Model:
-    """Fits on at most `sample` rows with a text, an id and a label. Rows without letters teach nothing; without any usable row
+    """Fits on at most `sample` ids with a text and a label; of rows that share one, the first by label and n-grams. Rows without letters teach nothing; without any usable row
     the model has no label and predicts `und`."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("id is not null and lang is not null and t is not null")
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([None if c is None else c[a] for a, c in zip(at, found, strict=True)], pa.list_(pa.int32()))], names=["id", "lang", "at", "n"])
 
     texts = rows.join(F.broadcast(picked.select("id")), "id", "left_semi").select("id", "lang", "t")
-    got = texts.mapInArrow(count, "id string, lang string, at array<int>, n array<int>").where("at is not null").toPandas().sort_values(["id", "lang"])
+    got = texts.mapInArrow(count, "id string, lang string, at array<int>, n array<int>").where("at is not null").groupBy("id").agg(F.min(F.struct("lang", "at", "n")).alias("x")).select("id", "x.*").toPandas().sort_values("id")
     return fit_counts([(r.lang, np.asarray(r.at), np.asarray(r.n, dtype=np.int64)) for r in got.itertuples()])
 
 

@@ -141,12 +141,13 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, bias: float, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000) -> RuleModel:
     """Fits on at most `sample` labelled rows, those of smallest id hash. The sample's ids are broadcast (a bounded number), so
-    statistics are computed for sampled documents only; the driver gets one row of statistics for each."""
-    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    statistics are computed for sampled documents only; the driver gets one row of statistics for each, whatever repeats: of an id's labels
+    the smallest counts, of its texts the one with the smallest statistics."""
+    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample)
     stats = statistics(F.col("t"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id").select("id", "y", *[c.alias(n) for n, c in stats.items()])
-    got = rows.toPandas().sort_values("id", kind="stable")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id").select("id", "y", F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s"))
+    got = rows.groupBy("id", "y").agg(F.min("s").alias("s")).select("id", "y", "s.*").toPandas().sort_values("id", kind="stable")
     return fit_rules(got[list(stats)].to_numpy(dtype=float), got["y"].to_numpy(dtype=float), list(stats))
 
 
