@@ -33,35 +33,38 @@ def _tokens(line: Column) -> Column:
     return F.split(masked, rf"{BLANK}+")
 
 
-def _hashed(*parts: Column) -> Column:
-    return F.struct(F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("c"))
+def _hashed(templates: Column) -> Column:
+    """Two hashes of each text of an array; a lambda's variable is evaluated once."""
+    return F.transform(templates, lambda t: F.struct(F.xxhash64(t).alias("h"), F.hash(t).alias("c")))
 
 
-NONE = "cast(array() as array<struct<h:bigint,c:int>>)"
+def _whole(tokens: Column) -> Column:
+    return F.concat_ws("|", F.size(tokens).cast("string"), F.lit("-1"), F.array_join(tokens, " "))
+
+
+NONE = "cast(array() as array<string>)"
 
 
 def _templates(tokens: Column) -> Column:
-    """Hashes of a line's templates; none for a blank line."""
+    """A line's templates as texts; none for a blank line."""
     n = F.size(tokens)
     join = lambda lo, k: F.array_join(F.slice(tokens, lo, k), " ")
-    whole = _hashed(n, F.lit(-1), F.array_join(tokens, " "))
     open_ = []
     for j in range(4):
         lo = F.floor(n * j / 4).cast("int") if j else F.lit(LEAD)
         hi = F.floor(n * (j + 1) / 4).cast("int")
-        open_.append(F.when(hi > lo, _hashed(n, F.lit(j), join(F.lit(1), lo), join(hi + 1, n - hi))))
+        open_.append(F.when(hi > lo, F.concat_ws("|", n.cast("string"), F.lit(str(j)), join(F.lit(1), lo), join(hi + 1, n - hi))))
     blank = (n == 1) & (tokens[0] == "")
-    return F.when(blank, F.expr(NONE)).when(n < GENERAL, F.array(whole)).otherwise(F.array_compact(F.array(whole, *open_)))
+    return F.when(blank, F.expr(NONE)).when(n < GENERAL, F.array(_whole(tokens))).otherwise(F.array_compact(F.array(_whole(tokens), *open_)))
 
 
 def _passages(tokens: Column) -> Column:
-    """The hash of a long line as a whole, with its variable fields masked; none for other lines."""
-    n = F.size(tokens)
-    return F.when(n >= PASSAGE, F.array(_hashed(n, F.lit(-1), F.array_join(tokens, " ")))).otherwise(F.expr(NONE))
+    """A long line as a whole, with its variable fields masked; none for other lines."""
+    return F.when(F.size(tokens) >= PASSAGE, F.array(_whole(tokens))).otherwise(F.expr(NONE))
 
 
 def _line_templates(text: Column, of_line=_templates) -> Column:
-    return F.transform(F.transform(F.split(text, "\n"), _tokens), of_line)  # a lambda's variable is evaluated once
+    return F.transform(F.transform(F.transform(F.split(text, "\n"), _tokens), of_line), _hashed)
 
 
 def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_line=_templates) -> DataFrame:
