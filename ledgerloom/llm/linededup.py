@@ -75,7 +75,8 @@ def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def recurring(parsed: DataFrame, min_docs: int = 5) -> DataFrame:
     """(template, n_docs, first_id): templates found in at least min_docs rows of parse_lines; a row counts once for each."""
-    each = parsed.select("id", F.explode(F.array_distinct(F.flatten("templates"))).alias("template"))
+    once = F.transform(F.array(F.sort_array(F.flatten("templates"))), lambda a: F.filter(a, lambda t, i: (i == 0) | (t != F.get(a, i - 1))))[0]
+    each = parsed.select("id", F.explode(once).alias("template"))  # array_distinct compares structs pair by pair
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") >= min_docs)
 
 
@@ -101,7 +102,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dropped = rows.join(dropped, F.col("id").eqNullSafe(F.col(of_id)) & (F.col("mark") == F.col(of_mark)), "left").select(F.col("id").alias(of_id), F.col("mark").alias(of_mark), at)
     joined = docs.withColumn(mark, F.xxhash64(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left" if among is None else "inner")
     text = F.split(F.col(text_col), "\n")
-    kept = F.filter(text, lambda line, i: ~F.array_contains(F.col(at), i))
+    kept = F.transform(F.array(text), lambda t: F.transform(F.array_except(F.sequence(F.lit(0), F.size(t) - 1), F.col(at)), lambda i: F.get(t, i)))[0]
     return joined.select(
         *[F.when(F.col(at).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(text)).cast("long").alias(total),

@@ -357,6 +357,9 @@ def test_long_lines_are_read_once(spark):
     texts = [long + "\nshared line of this site", "\t" * 300_000 + "z\nshared line of this site", None, "shared line of this site"] + ["shared line of this site"] * 4
     got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(frame(spark, texts, [0, 1, 2, None, 4, 4, 5, 6]), min_docs=5).collect()}
     assert got[0] == 0 and got[1] == got[5] == got[6] == got[None] == 1 and time.time() - began < 60
+    many = "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)} of many" for k in range(60_000))
+    rows = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(frame(spark, [many] * 5 + [f"own\n{many}"]), min_docs=5).collect()}
+    assert rows[0] == (many, 0) and rows[4] == ("", 60_000) and rows[5] == ("own", 60_000) and time.time() - began < 120
 
 
 def test_transducer_states_are_bounded():
