@@ -116,8 +116,8 @@ FACTS = """{"cik": 55021, "entityName": "E", "facts": {"us-gaap": {"NetIncomeLos
 
 def test_facts_payload_and_match(spark, tmp_path):
     f = payloads.scan_company_facts(spark.createDataFrame([(FACTS,), ("not json",), (None,)], "payload string"))
-    assert sorted((r.cik, r.tag, r.val) for r in f.collect()) == [("000055021", "Assets", 2351815000.0), ("000055021", "NetIncomeLoss", 41250.0)]
-    filings = spark.sql("select '000055021' cik, 'x-25-1' accession, '10-K' form_type, date'2025-02-01' filing_date, date'2024-12-31' period_end")
+    assert sorted((r.cik, r.tag, r.val) for r in f.collect()) == [("0000055021", "Assets", 2351815000.0), ("0000055021", "NetIncomeLoss", 41250.0)]
+    filings = spark.sql("select '0000055021' cik, 'x-25-1' accession, '10-K' form_type, date'2025-02-01' filing_date, date'2024-12-31' period_end")
     got = {r.xbrl_tag: (r.amount, r.score) for r in facts.extract_facts(f, filings).collect()}
     assert got == {"NetIncomeLoss": (41250.0, 0), "Assets": (2351815000.0, 2)}
     (tmp_path / "in").mkdir()
