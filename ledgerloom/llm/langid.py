@@ -2,8 +2,9 @@
 
 Weights are learned by follow-the-regularised-leader (FTRL-Proximal) with elastic-net penalties, which leaves most of them
 zero; a temperature fitted on a part of the sample that training doesn't see turns scores into calibrated probabilities.
-The model is fitted on a bounded sample of labelled documents (`sample` rows, those of smallest id hash) whose n-gram counts
-executors extract; every document is then scored over its whole text.
+Document frequencies are counted over all labelled documents; the weights are fitted on a bounded sample of them (`sample` ids,
+the labels in turn) whose n-gram counts executors extract; every document is then scored over its whole text. A text is
+accepted by how familiar its n-grams are, not by its score: that is at least 1/K for K labels, whatever the text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._common import crc_bucket, fresh, runs, slices
@@ -104,30 +105,37 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    most_surprise: float
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Label, calibrated score, and whether the text's n-grams are familiar: an answer that doesn't depend on the number of
+        labels, as a score does."""
         counts = ngram_counts(text) if self.labels else None
         if counts is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         at, v = weigh(counts, self.idf)
         p = softmax(v @ self.weights[at] / self.temperature)
         k = int(p.argmax())  # ties: the first label in text order
-        return self.labels[k], float(p[k])
+        return self.labels[k], float(p[k]), surprise(at, counts[at], self.idf) <= self.most_surprise
 
 
-def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3) -> Model:
-    """Model from (label, n-gram numbers, counts); every fifth row is kept for the temperature."""
+def surprise(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> float:
+    """Mean inverse document frequency of a text's n-grams: low where they are those of the documents learned from."""
+    return float(n @ idf[at] / n.sum())
+
+
+def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_docs: int, epochs: int = 3) -> Model:
+    """Model from (label, n-gram numbers, counts) and the document frequencies of all learnable documents; every fifth row is
+    kept for the temperature and for the bound on surprise. That bound lies halfway from the kept rows' median to the mean over
+    all n-gram numbers, which a text of unknown n-grams has, and is at least as high as every kept row's."""
     labels = sorted({r[0] for r in rows})
-    df = np.zeros(WIDTH)
-    for _, at, _ in rows:
-        df[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    if not labels:
+        return Model([], idf, np.zeros((WIDTH, 0)), 1.0, 0.0)
     made = []
     for label, at, n in rows:
         v = (1 + np.log(n)) * idf[at]
         made.append((labels.index(label), at, v / np.sqrt(v @ v)))
-    if not labels:
-        return Model([], idf, np.zeros((WIDTH, 0)), 1.0)
     learner, order = Ftrl(len(labels)), np.random.default_rng(7)
     learned, kept = [x for k, x in enumerate(made) if k % 5], made[::5]
     for _ in range(epochs):
@@ -138,15 +146,43 @@ def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3)
     y = np.array([label for label, _, _ in kept])
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     grid = np.geomspace(0.05, 5, 60)
-    return Model(labels, idf, w, float(min(grid, key=loss)))
+    seen = np.array([surprise(at, n, idf) for _, at, n in rows[::5]])
+    bound = max(seen.max(), (np.median(seen) + idf.mean()) / 2)
+    return Model(labels, idf, w, float(min(grid, key=loss)), float(bound))
+
+
+def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each n-gram number stands, over all texts, and how many hold a letter. Tasks add up their texts before
+    anything is shuffled; the driver gets one row for each number."""
+
+    def count(batches):
+        df, n = np.zeros(WIDTH, dtype=np.int64), 0
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                counts = ngram_counts(text)
+                if counts is not None:
+                    df += counts > 0
+                    n += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, WIDTH), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["number", "docs"])
+
+    df = np.zeros(WIDTH + 1, dtype=np.int64)
+    for r in texts.mapInArrow(count, "number int, docs bigint").groupBy("number").agg(F.sum("docs").alias("docs")).collect():
+        df[r.number] = r.docs
+    return df[:WIDTH], int(df[WIDTH])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000) -> Model:
-    """Fits on at most `sample` ids with a text and a label; of rows that share one, the first by label and n-grams. Rows without letters teach nothing; without any usable row
-    the model has no label and predicts `und`."""
-    spark = docs.sparkSession
+    """Document frequencies come from all rows with an id, a text and a label; weights from at most `sample` ids of these, dealt
+    to the labels in turn (smallest id hash first), so that a rare label is learned beside a hot one. An id's label is its
+    smallest; of rows that share an id, one counts. Rows without letters teach nothing; without any usable row the model has no
+    label and predicts `und`."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("id is not null and lang is not null and t is not null")
-    picked = rows.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(sample).dropDuplicates(["id"])
+    ids = rows.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("id"))
+    # the 4 x sample smallest hashes of each label, by its count: what is ranked stays small whatever a label's size
+    few = ids.join(ids.groupBy("lang").count(), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * sample)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    picked = few.withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "h", "id").limit(sample).select("id")
 
     def count(batches):
         for batch in slices(batches):
@@ -154,18 +190,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = [None if c is None else np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([None if c is None else c[a] for a, c in zip(at, found, strict=True)], pa.list_(pa.int32()))], names=["id", "lang", "at", "n"])
 
-    texts = rows.join(F.broadcast(picked.select("id")), "id", "left_semi").select("id", "lang", "t")
+    texts = rows.join(F.broadcast(picked), "id", "left_semi").select("id", "lang", "t")
     got = texts.mapInArrow(count, "id string, lang string, at array<int>, n array<int>").where("at is not null").groupBy("id").agg(F.min(F.struct("lang", "at", "n")).alias("x")).select("id", "x.*").toPandas().sort_values("id")
-    return fit_counts([(r.lang, np.asarray(r.at), np.asarray(r.n, dtype=np.int64)) for r in got.itertuples()])
+    return fit_counts([(r.lang, np.asarray(r.at), np.asarray(r.n, dtype=np.int64)) for r in got.itertuples()], *_document_frequencies(rows.select("t")))
 
 
 def _predict_column(spark, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, known boolean")
     def predict(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(x) for part in runs(texts) for x in part]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang_pred", "score", "known"])
 
     return predict(text.cast("string"))
 
@@ -185,7 +221,8 @@ def learnable(docs: DataFrame, id_col: str = "doc_id", folds: int = 3, held_out:
     return docs.where(crc_bucket(id_col, folds) != held_out)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
-    """The rows of docs whose language is known with at least min_score; columns as in docs. Scored in place, without a join."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs in a language the model knows: with a letter, and n-grams no more surprising than the model's bound;
+    columns as in docs. Scored in place, without a join."""
     got, = fresh(docs, "predicted")
-    return docs.withColumn(got, _predict_column(docs.sparkSession, model, F.col(text_col))).where(F.col(f"{got}.score") >= min_score).drop(got)
+    return docs.withColumn(got, _predict_column(docs.sparkSession, model, F.col(text_col))).where(F.col(f"{got}.known")).drop(got)

@@ -17,7 +17,8 @@ def test_stages(spark, sf):
         seen[name] = (before, docs, ids)
     before, after, ids = seen["language_id"]
     model = langid.fit(langid.learnable(before))
-    assert ids == {r.doc_id for r in langid.predicted(before, model).where("score >= 0.35").collect()}
+    assert ids == {r.doc_id for r in before.collect() if model.predict(r.text)[2]}
+    assert {r.doc_id for r in before.where("lang is not null and length(text) > 40").collect()} <= ids
     before, after, ids = seen["near_dedup"]
     assert ids == {r.component_id for r in simhash.near_copies(before).collect()}
     before, after, ids = seen["decontaminate"]

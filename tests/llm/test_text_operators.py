@@ -290,6 +290,26 @@ def test_language_id(spark):
     assert (langid.ngram_counts(long) > 0).sum() == (langid.ngram_counts(long[: 7 * 500]) > 0).sum()
 
 
+def test_language_id_rejects_strange_texts_and_learns_rare_labels(spark):
+    rnd = random.Random(18)
+    syllables = {"aa": ["ka", "lo", "mi", "tas"], "bb": ["shu", "ber", "ung", "ei"]}
+    said = lambda lang, n: " ".join("".join(rnd.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(k, said("aa" if k % 50 else "bb", 3 + k % 40), "aa" if k % 50 else "bb") for k in range(1500)]
+    strange = [(5000, "привет мир как дела сегодня у всех людей", None), (5001, "".join(rnd.choices("ξψζθδφγλπ", k=400)), None), (5002, "漢字仮名交じり文を書く練習をしている", None)]
+    docs = spark.createDataFrame([*rows, *strange, *rows[:3] * 50], "doc_id long, text string, lang string")
+    model = langid.fit(langid.learnable(docs), sample=60)
+    assert model.labels == ["aa", "bb"]
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs, model).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) >= 0.99 * len(rows)
+    kept = {r.doc_id for r in langid.accepted(docs, model).collect()}
+    assert kept == {k for k, _, _ in rows}
+    df, n = langid._document_frequencies(docs.select("text"))
+    counts = [langid.ngram_counts(r.text) > 0 for r in docs.collect()]
+    assert n == len(counts) and (df == np.sum(counts, axis=0)).all()
+    again = langid.fit(langid.learnable(docs.repartition(7, "text")), sample=60)
+    assert (again.weights == model.weights).all() and again.most_surprise == model.most_surprise
+
+
 def test_quality(spark):
     rnd = random.Random(9)
     good = ["The people " + " ".join(rnd.choice("went home and then slept well".split()) for _ in range(40)) + "." for _ in range(150)]
