@@ -83,9 +83,9 @@ facts AS (
     form_type AS form, filing_date AS filed, CASE WHEN l_returnflag = 'R' THEN 'CY_StatementBusinessSegmentsAxis_' || {among(['ConsumerSegment', 'IndustrialSegment', 'OtherGoods'], 'l_suppkey')} || 'Member' END AS frame, pos
   FROM facts0),
 html0 AS (
-  SELECT f.*, l.*, {among(HTML_METRICS, 'l_partkey')} AS metric_id, make_date(year(filing_date) - 1, 12, 31) AS "end" FROM lineitem l JOIN filings f ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
+  SELECT f.*, l.*, {among(HTML_METRICS, 'l_partkey')} AS metric_id, make_date(year(filing_date) - 1, 12, 31) AS "end" FROM lineitem l JOIN filings f ON l_orderkey = o_orderkey),
 html AS (
-  SELECT lpad((cik::BIGINT // 30)::VARCHAR, 10, '0') AS cik, metric_id, CASE WHEN {SEG} THEN {among(SEGMENTS, 'l_suppkey')} END AS segment_name,
+  SELECT lpad((cik::BIGINT // 10)::VARCHAR, 10, '0') AS cik, metric_id, CASE WHEN {SEG} THEN {among(SEGMENTS, 'l_suppkey')} END AS segment_name,
     CASE WHEN metric_id IN ({', '.join(map(q, DURATION_METRICS))}) THEN date_trunc('year', "end")::DATE END AS period_start, "end" AS period_end, accession, form_type,
     CASE WHEN {RATE} OR l_quantity < 10 THEN l_quantity ELSE round(l_extendedprice / 1000) * 100 END AS amount, 'currency' AS unit_kind, 'raw' AS scale,
     {among(HTML_LABELS, 'l_linenumber')} AS row_label, {among(HTML_CONTEXTS, 'l_suppkey + l_linenumber')} AS table_name, CASE WHEN l_linenumber % 2 = 0 THEN 'Revenues' END AS xbrl_tag, 'html' AS source,
@@ -302,7 +302,7 @@ ORACLE_SQL = {
     "submissions_arrays": w(BASE, "SELECT cik, 'ok' AS status, accession, form_text, filing_date, period_end, primary_document FROM filings WHERE cik::BIGINT % 50 <> 7 UNION ALL SELECT DISTINCT cik, 'arrays_not_aligned', NULL, NULL, NULL, NULL, NULL FROM filings WHERE cik::BIGINT % 50 = 7"),
     "fact_match": w(f"{BASE}, scored AS ({matched('facts')})", "SELECT cik, accession, tag, accn, pos, val, score::INT AS score FROM scored"),
     "extract_facts": w(f"{BASE},{EXTRACT}", "SELECT * REPLACE (score::INT AS score) FROM candidates"),
-    "best_segment_fact": w(f"{BASE}, known AS (SELECT *, 'segment_data.' || tag AS metric_id, coalesce({SEGMENT_FROM_FRAME}, '__default__') AS segment_key FROM facts WHERE tag IN ('Revenues', 'Assets')), scored AS ({matched('known')})", "SELECT accession, metric_id, segment_key, accn, pos, val, score::INT AS score FROM scored QUALIFY row_number() OVER (PARTITION BY accession, metric_id, tag, unit, segment_key ORDER BY score DESC, filed DESC, period_end DESC, accn, pos) = 1"),
+    "best_segment_fact": w(f"{BASE}, known AS (SELECT *, 'segment_data.' || tag AS metric_id, coalesce({SEGMENT_FROM_FRAME}, '__default__') AS segment_key FROM facts), scored AS ({matched('known')})", "SELECT accession, metric_id, segment_key, accn, pos, val, score::INT AS score FROM scored QUALIFY row_number() OVER (PARTITION BY accession, metric_id, tag, unit, segment_key ORDER BY score DESC, filed DESC, period_end DESC, accn, pos) = 1"),
     "label_functions": f"SELECT p_partkey, {label(chr(39) + 'Total ' + chr(39) + ' || p_name || ' + chr(39) + ' - (In Millions) & ' + chr(39) + ' || p_type')} AS label, -(p_size * 1000)::DOUBLE AS number, 'millions' AS scale, {humanize('regexp_replace(p_brand, ' + chr(39) + '[^A-Za-z0-9]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ') || ' + chr(39) + 'Segment' + chr(39))} AS segment, {canonical('p_brand || ' + chr(39) + ' & ' + chr(39) + ' || p_type || ' + chr(39) + ' & Reportable Segment' + chr(39))} AS canonical, length({label('p_type')}) BETWEEN 4 AND 140 AND NOT regexp_matches({label('p_type')}, '^[0-9]+$') AS usable, 'xml' AS format, p_size * 1000.0::DOUBLE AS scaled FROM part",
     "header_periods": f"WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), e AS (SELECT o_orderkey, {HEADER_DAY} AS e, {MONTHS_BACK} AS m, {among(['Year ended ', 'Three months ended ', 'Six months ended ', '', 'Maybe ', 'May be '], 'o_orderkey')} AS words FROM o) SELECT o_orderkey, words || {SHOWN} AS header, CASE WHEN o_orderkey % 6 <> 5 AND e = last_day(e) AND m IS NOT NULL THEN date_trunc('month', e - to_months(m - 1))::DATE END AS period_start, CASE WHEN o_orderkey % 6 <> 5 AND (m IS NULL OR e = last_day(e)) THEN e END AS period_end FROM e",
     "table_cells": w(f"{BASE},{RENDERED}", f"SELECT accession, 0 AS row_no, unnest([0, 1, 2]) AS cell_no, unnest(['', strftime(period_end, '%B ') || day(period_end) || ', ' || year(period_end), 'Ref']) AS text, unnest([0, 1, 3]) AS col_start, unnest([0, 2, 3]) AS col_end FROM (SELECT DISTINCT accession, period_end FROM doc_lines) UNION ALL SELECT accession, row_no, 0 AS cell_no, {among(LABELS, 'l_partkey')} AS text, 0 AS col_start, 0 AS col_end FROM doc_lines UNION ALL SELECT accession, row_no, 1, '$ (' || format('{{:,}}', q * 1000) || ')', 1, 2 FROM doc_lines UNION ALL SELECT accession, row_no, 2, l_linenumber::VARCHAR, 3, 3 FROM doc_lines"),
@@ -339,7 +339,7 @@ UNION ALL SELECT accession, 'debt_and_credit.interest_rate', (l_suppkey % 10)::D
     "coverage": w(f"{RUN},{FORMULAS},{COVERAGE}", "SELECT * FROM covered UNION ALL " + " UNION ALL ".join(f"SELECT cik, '{metric}', 1, n, n, 0, 1, 'computed_placeholder' FROM (SELECT cik, {' + '.join(f'({c} IS NOT NULL)::INT' for c, _ in names)} AS n FROM formulas WHERE {status} = 'ok')" for _, status, metric, names in FORMULA_INPUTS)),
     "missing_metrics": w(f"{RUN},{COVERAGE}", "SELECT cik, metric_id, status FROM covered WHERE status <> 'found'"),
     "formula_inputs": w(f"{RUN},{FORMULAS}", " UNION ALL ".join(f"SELECT cik, period_key, '{metric}' AS formula, {k} AS input_no, '{m}' AS metric_id, round({c}, 2) AS amount FROM formulas WHERE {status} = 'ok' AND {c} IS NOT NULL" for _, status, metric, names in FORMULA_INPUTS for k, (c, m) in enumerate(names))),
-    "run_summary": w(f"{RUN},{FORMULAS}, stages AS (SELECT cik, 'f' AS s FROM selected UNION ALL SELECT cik, 'c' FROM candidates UNION ALL SELECT cik, 'p' FROM primary_values UNION ALL SELECT cik, 'i' FROM ({CONFLICTS}) UNION ALL SELECT cik, 'i' FROM ({ISSUES_CRITICAL}) UNION ALL SELECT cik, 'i' FROM issuers WHERE cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio_status = 'ok') UNION ALL SELECT cik, 'o' FROM formulas WHERE owners_status = 'ok' UNION ALL SELECT cik, 'o' FROM formulas WHERE ratio_status = 'ok')", "SELECT cik, " + ", ".join(f"count(*) FILTER (s = '{s}') AS n_{n}" for s, n in (("f", "filings"), ("c", "candidates"), ("p", "primary_values"), ("i", "issues"), ("o", "formulas"))) + " FROM stages GROUP BY cik"),
+    "run_summary": w(f"{RUN},{FORMULAS},{RULES}, stages AS (SELECT cik, 'f' AS s FROM selected UNION ALL SELECT cik, 'c' FROM candidates UNION ALL SELECT cik, 'p' FROM primary_values UNION ALL SELECT cik, 'i' FROM ({CONFLICTS}) UNION ALL SELECT cik, 'i' FROM ({ISSUES_CRITICAL}) UNION ALL SELECT cik, 'i' FROM flags WHERE n > 1 AND NOT identical AND NOT ({SUPPRESSED}) UNION ALL SELECT cik, 'i' FROM issuers WHERE cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio_status = 'ok') UNION ALL SELECT cik, 'o' FROM formulas WHERE owners_status = 'ok' UNION ALL SELECT cik, 'o' FROM formulas WHERE ratio_status = 'ok')", "SELECT cik, " + ", ".join(f"count(*) FILTER (s = '{s}') AS n_{n}" for s, n in (("f", "filings"), ("c", "candidates"), ("p", "primary_values"), ("i", "issues"), ("o", "formulas"))) + " FROM stages GROUP BY cik"),
     "slowest_documents": "SELECT user_id AS document_id, sum(value::DECIMAL(18, 2))::DOUBLE AS total_ms FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "company_overview": w(BASE, " UNION ALL ".join(f"SELECT cik, '{c}' AS field, {c} AS value FROM issuers" for c in ("ticker", "issuer_name", "exchange", "reported_currency"))),
 }

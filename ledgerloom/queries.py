@@ -127,7 +127,7 @@ def extract_facts(spark, sf_dir):
 
 @query
 def best_segment_fact(spark, sf_dir):
-    f = views.facts(spark, sf_dir).where("tag in ('Revenues', 'Assets')").withColumn("metric_id", F.concat(F.lit("segment_data."), F.col("tag")))
+    f = views.facts(spark, sf_dir).withColumn("metric_id", F.concat(F.lit("segment_data."), F.col("tag")))
     best = facts.best_facts(facts.fact_match_score(f, _selected(spark, sf_dir)), by_segment=True)
     return best.select("accession", "metric_id", "segment_key", "accn", "pos", "val", "score")
 
@@ -360,6 +360,8 @@ def period_columns(spark, sf_dir):
 
 @query
 def domain_pivot(spark, sf_dir):
+    """The sheet's columns are the periods that the caller asks for, here year ends; domain_periods has every period, as rows:
+    there are thousands of different ones, too many for columns."""
     run = FilingReport.over(spark, sf_dir)
     periods = [f"{y}-12-31" for y in range(2012, 2019)]
     wide = report.domain_pivot(report.metric_rows(run.primary), "balance_sheet", periods)
@@ -398,7 +400,7 @@ def formula_inputs(spark, sf_dir):
 @query
 def run_summary(spark, sf_dir):
     run = FilingReport.over(spark, sf_dir)
-    return report.run_summary(run.filings, run.candidates, run.source_values, run.issues.where("code <> 'duplicate_source_values'"), run.formulas)
+    return report.run_summary(run.filings, run.candidates, run.source_values, run.issues, run.formulas)
 
 
 @query

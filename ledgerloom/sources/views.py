@@ -85,12 +85,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document-side candidate values in groups of a few dozen, however large the tables: 30 customers make a company; ten metrics,
+    """Document-side candidate values in groups of a few dozen, however large the tables: 10 customers make a company; ten metrics,
     year-end periods."""
     f = filings(spark, sf_dir)
-    line = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").join(f, F.col("l_orderkey") == F.col("o_orderkey"))
+    line = read(spark, sf_dir, "lineitem").join(f, F.col("l_orderkey") == F.col("o_orderkey"))
     metric, segment = pick(HTML_METRICS, F.col("l_partkey")), pick(SEGMENTS, F.col("l_suppkey"))
-    cik = F.lpad(F.floor(F.substring("cik", 1, 10).cast("long") / 30).cast("string"), 10, "0")
+    cik = F.lpad(F.floor(F.substring("cik", 1, 10).cast("long") / 10).cast("string"), 10, "0")
     end = F.make_date(F.year("filing_date") - 1, F.lit(12), F.lit(31))
     small = F.when(F.col("l_quantity") < 10, F.col("l_quantity")).otherwise(F.round(F.col("l_extendedprice") / 1000) * 100)
     amount = F.when(metric == "debt_and_credit.interest_rate", F.col("l_quantity")).otherwise(small)
