@@ -87,12 +87,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts stay null with 0 lines, empty texts stay empty with 1. A blank line is never dropped. The first document of a
     template (smallest id) keeps its lines; rows that share that id all do; with null ids only, all do. Rows that repeat both
     id and text are treated alike. A line of any length is one line. Text is shuffled once, to meet its dropped line numbers.
-    among: a table of ids (its first column); rows of docs with other ids are left out and count for nothing.
+    among: a table of ids and xxhash64 of texts (its first two columns); other rows of docs are left out and count for nothing.
     """
     total, gone, mark, of_id, of_mark, at = fresh(docs, "n_lines", "n_dropped", "line_mark", "line_id", "of_mark", "line_at")
     parsed = parse_lines(docs, id_col, text_col, of_line)
     if among is not None:
-        parsed = parsed.join(among.select(F.col(among.columns[0]).alias("wanted")), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        wanted = among.select(F.col(among.columns[0]).alias("wanted"), F.col(among.columns[1]).alias("wanted_mark"))
+        parsed = parsed.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("wanted_mark")), "left_semi")
     known = recurring(parsed, min_docs).select("template", "first_id")
     lines = parsed.select("id", "mark", F.posexplode("templates").alias("line_no", "templates"))
     flagged = lines.select("id", "mark", "line_no", F.explode("templates").alias("template")).join(known, "template").where(~F.col("id").eqNullSafe(F.col("first_id")))

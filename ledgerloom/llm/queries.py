@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import align, decontam, knn, langid, linededup, packing, pseudonym, quality, simhash, spelling, tokencount, tokenfile
+from ledgerloom.llm import align, decontam, jaccard, knn, langid, linededup, packing, pseudonym, quality, simhash, spelling, tokencount, tokenfile
 from ledgerloom.llm._common import crc_bucket, table
 
 
@@ -72,7 +72,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op5_pseudonyms, op6_nearest_neighbours, op7_line_dedup, op8_simhash, op9_quality, op10_language_id, op11_alignment, op12_spelling)}
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), shingle=3, similarity=0.9).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_packing, op4_token_counts, op5_pseudonyms, op6_nearest_neighbours, op7_line_dedup, op8_simhash, op9_quality, op10_language_id, op11_alignment, op12_spelling, op13_jaccard)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACE = r"[ \t\r\f\x0B]"

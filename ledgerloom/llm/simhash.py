@@ -5,46 +5,27 @@ such a value in common, so emitting the ball and grouping on its members finds e
 each different fingerprint, and a group can't hold more than 65 of them however large the input is.
 
 near_duplicates links whole-document fingerprints and nothing else. Texts whose five-word shingles agree to 0.8 often differ in
-three to eleven bits of a whole-document fingerprint, out of reach of any ball that can be emitted. near_copies therefore works
-in two steps. Fingerprints and passages (the ANCHORS shingles of smallest hash) give a few pairs a row that join most copies.
-Then every pair of rows that those left in different classes is found by prefix filtering: in one order of all shingles, rare
-ones first, two sets of enough similarity share one of their first n - ceil(similarity * n) + 1 shingles, whatever the order.
-Pairs of both steps are verified by the exact similarity of the shingle sets.
+three to eleven bits of a whole-document fingerprint, out of reach of any ball that can be emitted. near_copies therefore joins
+fingerprints within balls first, and finds all other pairs of enough similarity by ledgerloom.llm.jaccard; all are verified.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm._common import discard, fresh, materialize, slices
+from ledgerloom.llm._common import fresh, materialize, slices
 from ledgerloom.llm.components import components
+from ledgerloom.llm.jaccard import classes, shingle_hashes, shingle_set
 
-BITS = 64
-#: Passages of a document that the first step of near_copies looks at, how many of them a pair of it must have in common, and
-#: members of one passage's group that one task puts in order. What the first step leaves out, the second finds.
-ANCHORS, AGREEING, CHAIN = 8, 3, 4096
-#: Rows (about) whose shingles are counted to order shingles by frequency, and shingles that are held as frequent. The result
-#: is the same for any order; a poor one costs candidates.
-COUNTED, FREQUENT = 8_192, 500_000
-#: Size of the bitmap of ids whose sets are asked for.
-ASKED_BITS = 1 << 25
-
-
-def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
-    """XXH64 of a UTF-8 text's word shingles in order, repeats included; of all its words if there are fewer, none without words."""
-    words = (text or b"").lower().split()  # of bytes: A-Z only; cut at space, tab, line feed, vertical tab, form feed, return
-    n, hashed = max(min(len(words), 1), len(words) - shingle + 1), xxhash.xxh64_intdigest
-    return np.fromiter((hashed(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype=np.uint64, count=n)
-
+__all__ = ["close_pairs", "fingerprint", "fingerprints", "first_copies", "keep_first", "keep_first_copies", "near_copies", "near_duplicates", "shingle_set"]
 
+BITS = 64
 def majority(h: np.ndarray) -> int:
     """The bits that are set in over half of 64-bit hashes; 0 for none."""
     ones = np.zeros(BITS, dtype=np.int64)
@@ -110,208 +91,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 7) -> np.ndarray:
-    """Sorted different hashes of a text's word shingles."""
-    return np.unique(shingle_hashes(text, shingle, seed))
-
-
-def frequent_shingles(source: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that repeat in about COUNTED rows of source(id, t), and in how many rows they stand."""
-
-    def sets(batches):
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t, shingle).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["set"])
-
-    parts = max(1, source.count() // COUNTED)
-    some = source.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == 0).select("t").mapInArrow(sets, "set array<bigint>")
-    counts = some.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
-    keys, n = counts["s"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def rare_first(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles of a set of which every set of at least `similarity` has one among its own: rare ones first, ties by hash."""
-    if not len(s):
-        return s
-    rank = np.zeros(len(s), dtype=np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        rank = np.where(keys[at] == s, counts[at], 0)
-    return s[np.lexsort((s, rank))][: len(s) - ceil(similarity * len(s) - 1e-9) + 1]
-
-
-def histogram(s: np.ndarray) -> bytes | None:
-    """How many shingles of a set fall into each of 2**k classes of hashes, half as many as shingles or up to four times that,
-    a byte for each; None if a class has too many for that."""
-    size = 1 << max(6, min(13, (max(len(s), 2) - 1).bit_length() - 1))
-    n = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
-
-
-def most_shared(a: bytes | None, b: bytes | None, most: int) -> int:
-    """Upper bound of the number of shingles that two sets with these histograms share; `most` where one has none."""
-    if a is None or b is None:
-        return most
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    size = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
-
-
-def sketches(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, same, fp, n, anchors, prefix, classes) for each row of source(id, t): a 128-bit digest, SimHash and size of its shingle
-    set, its shingles of smallest hash, those of prefix filtering, and its histogram."""
-    keys, counts = frequent_shingles(source, shingle)
-
-    def sketch(batches):
-        for batch in slices(batches):
-            hashes = [shingle_hashes(t, shingle, 7) for t in batch.column(1).to_pylist()]
-            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            sets = [np.unique(h) for h in hashes]
-            firsts = [rare_first(s, keys, counts, similarity).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:ANCHORS].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array([histogram(s) for s in sets], pa.binary())], names=["id", "same", "fp", "n", "anchors", "prefix", "classes"])
-
-    longs = T.ArrayType(T.LongType())
-    return source.mapInArrow(sketch, T.StructType([source.schema["id"], T.StructField("same", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("anchors", longs), T.StructField("prefix", longs), T.StructField("classes", T.BinaryType())]))
-
-
-def first_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: a few pairs of reps(id, fp, n, anchors) that are likely to be copies.
-
-    Fingerprints that are equal or in one another's ball meet once for each fingerprint. A passage's group is linked to its
-    smallest id and along one order, in parts of at most about CHAIN rows, so a passage that a third of all rows share costs
-    two links a row and no task gets its whole group; a pair counts if it comes about in AGREEING groups (in half of them for
-    sets with fewer passages), so passages that many texts share make none by themselves.
-    """
-    of_fp = reps.groupBy("fp").agg(F.min("id").alias("head"))
+def ball_pairs(reps: DataFrame) -> DataFrame:
+    """(a, b): nodes of reps(node, mark, ..) whose fingerprints (mark) are equal or in one another's ball, once for each fingerprint."""
+    of_fp = reps.groupBy(F.col("mark").alias("fp")).agg(F.min("node").alias("head"))
     balls = close_pairs(of_fp).join(of_fp.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(of_fp.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
-    equal = reps.join(of_fp, "fp").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    members = reps.select("id", "n", F.least(F.lit(AGREEING), F.ceil(F.size("anchors") / 2)).alias("enough"), F.explode("anchors").alias("anchor"))
-    heads = members.groupBy("anchor").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = members.join(heads, "anchor").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHAIN)).cast("int"))
-    before = F.lag("id").over(Window.partitionBy("anchor", "part").orderBy("n", "id"))
-    passages = grouped.select("id", "enough", "head", before.alias("before")).select(F.explode(F.array_distinct(F.array("head", "before"))).alias("a"), F.col("id").alias("b"), "enough").where("a <> b")
-    passages = passages.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("enough").alias("enough")).where("k >= enough").select("a", "b")
-    return balls.unionByName(equal).unionByName(passages).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def rest_pairs(marked: DataFrame, known: DataFrame, similarity: float, held: list[str]) -> DataFrame:
-    """(a, b, ca, cb): all pairs of ids of known(id, comp) with different comp that can have the similarity, with their comps.
-
-    A pair meets at each shingle that both prefixes of marked(id, n, prefix) hold; the shingles from there on bound what they
-    share. Shingles of one row or one class are dropped before rows meet: smallest and largest id (then class) of a shingle are
-    pre-aggregated, so one that a third of all rows hold is no large group. Where most rows of a shingle are of one class, the
-    others look for partners, so a group of near copies that is joined already costs its rows and not their pairs.
-    """
-    each = marked.select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = each.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("shingle")
-    found = materialize(each.join(shared, "shingle"), "shared", held)
-    mixed = found.join(known.select("id", "comp").distinct(), "id")
-    classes = mixed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    mixed = materialize(mixed.join(classes.where("classes > 1").drop("classes"), "shingle"), "mixed", held)
-    length = f"least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-6"
-    position = f"least(x.n - x.at, y.n - y.at) >= {similarity / (1 + similarity)} * (x.n + y.n) - 1e-6"
-    met = mixed.where("comp <> most").alias("x").join(mixed.alias("y"), F.expr(f"x.shingle = y.shingle and x.comp <> y.comp and (y.comp = x.most or x.id < y.id) and {length} and {position}"))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
-
-
-def sets_of(source: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """(id, set): the shingle sets of rows of source(id, t), those with an id of asked(id) and few others.
-
-    Texts are read where they lie, so none is shuffled: asked ids set bits in a bitmap of fixed size (ASKED_BITS), which is all
-    that is broadcast, and only rows whose bit is set make a set.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
-    words = asked.select(bit("id").alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")).toPandas()
-    bitmap = np.zeros(ASKED_BITS // 32, dtype=np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = source.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
-
-    def sets(batches):
-        for batch in slices(batches):
-            bits = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array((shared.value[bits >> 5] >> (bits & 31).astype(np.uint32) & 1).astype(bool)))
-            made = [shingle_set(t, shingle) for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in made], pa.binary()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "same", "set"])
-
-    return source.select("id", "t", bit("id").alias("bit")).mapInArrow(sets, T.StructType([source.schema["id"], T.StructField("same", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
-
-
-def both_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs(a, b, ..) with x and y, the column of table(id, same, ..) for each end; of rows that share an id that of the smallest
-    digest."""
-    one = table.groupBy("id").agg(F.min_by(column, "same").alias("value"))  # pre-aggregated, so a hot id is no large group
-    return pairs.join(one.select(F.col("id").alias("a"), F.col("value").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("value").alias("y")), "b")
-
-
-def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs(a, b, ..) whose histograms allow the similarity: most pairs of texts that share only a part fall out without a
-    look at their sets, which are sixteen times as large."""
-    names = pairs.columns
-
-    def run(batches):
-        for batch in slices(batches, 4096):
-            ends = [zip(*(batch.column(c).field(f).to_pylist() for f in ("n", "classes")), strict=True) for c in (0, 1)]
-            ok = [(1 + similarity) * most_shared(p, q, min(m, n)) >= similarity * (m + n) - 1e-6 for (m, p), (n, q) in zip(*ends, strict=True)]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in range(2, kept.num_columns)], names=names)
-
-    wide = both_sides(pairs, marked.select("id", "same", F.struct("n", "classes").alias("of")), "of")
-    return wide.select("x", "y", *names).mapInArrow(run, pairs.schema)
+    return balls.unionByName(reps.select(F.col("mark").alias("fp"), F.col("node").alias("b")).join(of_fp, "fp").select(F.col("head").alias("a"), "b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, component_id): classes of rows whose shingle sets have a Jaccard similarity of at least `similarity`, closed over
-    links; component_id is the smallest id of the class.
+    """(id_col, component_id, text_hash): classes of rows whose shingle sets have a Jaccard similarity of at least `similarity`, closed
+    over links; component_id is the smallest id of the class, text_hash Spark's xxhash64 of the row's text.
 
-    Rows of equal sets (so all texts without words) are one class from the start, by a 128-bit digest. first_pairs joins most of
-    the others; pairs of rows that it leaves apart then meet in rest_pairs, none left out. Every link is verified on whole sets.
-    Null ids take part in no link: each such row has component_id null. Rows that share an id count as one, verified by
-    one of their sets (that of the smallest digest). Other columns are not read.
+    All texts without words are one class. Null ids take part in no link: each such row has component_id null. Rows that share an
+    id are judged each by its own text. Other columns are not read.
     """
-    spark, held = docs.sparkSession, []
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    id_type = source.schema["id"].dataType
-    marked = materialize(sketches(source, shingle, similarity), "sketches", held)
-    reps = materialize(marked.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("fp", "n", "anchors"), "id").alias("x")).select("id", "same", "x.*"), "representatives", held)
-    pairs = materialize(first_pairs(reps), "pairs", held)
-
-    def classes_of(pairs, a, b):
-        """Components of the verified pairs; what is written on the way is deleted."""
-        own: list[str] = []
-        pairs = materialize(possible(pairs, marked, similarity), "possible", own)
-        wanted = materialize(sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle), "sets", own)
-        both = both_sides(pairs, wanted, "set")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared))
-        labels = components(alike.select(F.col(a).alias("src"), F.col(b).alias("dst")))
-        discard(spark, own)
-        return labels
-
-    labels = classes_of(pairs, "a", "b")
-    known = materialize(reps.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "same", F.coalesce("label", "id").alias("comp")), "known", held)
-    met: list[str] = []
-    rest = materialize(rest_pairs(marked, known, similarity, met), "rest", held)
-    discard(spark, met)
-    labels = classes_of(rest, "ca", "cb")
-    classes = known.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").select("same", F.coalesce("label", "comp").alias("component_id"))
-    found = materialize(marked.join(classes, "same").select(F.col("id").alias(id_col), "component_id"), "near-copies")
-    discard(spark, held)
-    none = docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(id_type).alias("component_id"))
+    known = docs.where(F.col(id_col).isNotNull())
+    found = classes(known, id_col, text_col, shingle, similarity, blank_linked=True, of_hashes=majority, more_pairs=ball_pairs).drop("n_shingles")
+    none = docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(docs.schema[id_col].dataType).alias("component_id"), F.xxhash64(text_col).alias("text_hash"))
     return found.unionByName(none)
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id_col): the smallest id of each class of near_copies, and one null if docs has rows without an id."""
+    """(id_col, text_hash) of the rows that have the smallest id of their class of near_copies or no id, each once."""
     first = near_copies(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return first.select(id_col).distinct()
+    return first.select(id_col, "text_hash").distinct()
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is among first_copies; columns as in docs."""
-    key, = fresh(docs, "near_id")
-    first = first_copies(docs, id_col, text_col, **how).select(F.col(id_col).alias(key))
-    return docs.join(first, docs[id_col].eqNullSafe(first[key]), "left_semi")
+    """The rows of docs that are among first_copies; columns as in docs."""
+    key, of_text = fresh(docs, "near_id", "near_hash")
+    first = first_copies(docs, id_col, text_col, **how).select(F.col(id_col).alias(key), F.col("text_hash").alias(of_text))
+    return docs.join(first, docs[id_col].eqNullSafe(first[key]) & (F.xxhash64(docs[text_col]) == first[of_text]), "left_semi")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
