@@ -5,17 +5,17 @@ sequence that overlaps it (the one that holds its last byte); where both end tog
 Pointers lead to the right only, so doubling all of them at once (pointer jumping) ends at the last token of each group after
 as many rounds as the logarithm of the longest chain. That token labels the group.
 
-Texts are cut before single spaces between two other characters, where neither vocabulary joins anything, and each different
-unit is encoded and aligned once in a worker; a text that can't be cut so is one unit.
-
-How often an id pair is linked in the corpus is counted over all texts. The counts meet the texts' links by two ways of the same
-result: pairs that are counted most (at most `head` of them) are broadcast and looked up by binary search, all others are joined.
+Texts are cut before single spaces and line ends between two other characters, where neither vocabulary joins anything, and a
+worker encodes each different unit once. Token ids are written, two bytes each, and read twice: to count id pairs over all texts,
+and to meet the counts. They meet by two ways of the same result: pairs that are counted most (at most `head` of them) are
+broadcast and looked up by binary search, all others are joined.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from hashlib import sha256
 
 import numpy as np
@@ -25,34 +25,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm._common import materialize, slices
-from ledgerloom.llm.tokenized import BYTE_CHARS, CUT, ODD
+from ledgerloom.llm.tokenized import BYTE_CHARS, ODD
 
-#: Remembered units and bytes of their groups: beyond either, a worker starts anew after the slice at hand.
-UNITS, UNIT_BYTES = 400_000, 64 << 20
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Remembered units, in two halves; a third of a KB each.
+UNITS = 1_000_000
+#: Bytes of texts that are aligned at a time (a longer text by itself), and links that a worker counts at a time.
+ALIGNED_BYTES, COUNTED_LINKS = 1 << 20, 4_000_000
 #: Id pairs whose counts are broadcast (24 bytes each); classes of counts for each power of two by which that bound is kept.
 HEAD, STEPS = 1_000_000, 8
 
 
-def group_ends(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
-    """For two tilings of the same bytes, given by the ends of their tokens: for each token of A, then each of B, the number of
-    B's token that ends its group."""
+def tiling(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a tiling of bytes by the ends of its tokens: for each offset whether a token ends there, and how many end up to there."""
+    marks = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=bool)
+    marks[ends] = True
+    return marks, np.cumsum(marks, dtype=np.int32)
+
+
+def group_ends(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For two tilings of the same bytes: for each token of A, then for each of B, the number of B's token that ends its group."""
     n = len(a_end)
-    right_a = n + np.searchsorted(b_end, a_end)  # B's token that holds the last byte of A's
-    right_b = np.searchsorted(a_end, b_end)
-    own = n + np.arange(len(b_end))
-    to = np.concatenate([right_a, np.where(a_end[right_b] > b_end, right_b, own)]) if n else own
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    (at_a, up_to_a), (_, up_to_b) = tiling(a_end), tiling(b_end)
+    own = np.arange(n, n + len(b_end), dtype=np.int32)
+    to = np.concatenate([n + up_to_b[a_end - 1], np.where(at_a[b_end], own, up_to_a[b_end - 1])])
     while True:
         further = to[to]
         if np.array_equal(further, to):
-            return to - n
+            return to[:n] - n, to[n:] - n
         to = further
 
 
 def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All overlapping pairs of tokens of two tilings, in order: numbers in A and in B. Each byte range between two ends of either
     is what one pair has in common."""
-    ends = np.union1d(a_end, b_end)
-    return np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    (at_a, up_to_a), (at_b, up_to_b) = tiling(a_end), tiling(b_end)
+    before = np.flatnonzero(at_a | at_b) - 1
+    return up_to_a[before], up_to_b[before]
 
 
 class Vocabularies:
@@ -65,123 +76,153 @@ class Vocabularies:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        plain = {chr(c): b for b, c in BYTE_CHARS.items()}
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = {chr(c): b for b, c in BYTE_CHARS.items()}
-        decoded = {i: bytes(plain[c] for c in s) for s, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in plain for c in s)}
-        self.a_bytes = [decoded.get(i, b"") for i in range(max(decoded) + 1)]
+        decoded = {i: bytes(plain.get(c, 0) for c in s) for s, i in spec["model"]["vocab"].items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes = [decoded.get(i, b"") for i in range(max(decoded) + 1)]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.text_of = [f"{i}{mark}" for ids, mark in ((self.a_bytes, ","), (self.a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";")) for i in range(len(ids))]
+        self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
         pre = spec["pre_tokenizer"] or {}
-        self.cuts = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def units(self, text: str, known: dict) -> list[str]:
-        """A text in units, each of which encodes by itself with a space before it."""
+        self.space = self.b.piece_to_id("▁")
+        self.cuts = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of units that start with a space or line end; None where the tokens' bytes aren't the unit's."""
+        out: list[tuple[bytes, bytes] | None] = []
+        b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for u, found, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), b_ids, strict=True):
+            a, own = found.ids, u.encode()
+            if u[0] != " ":
+                b = b[1:] if b[:1] == [self.space] else []
+            same = b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == own
+            out.append((np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None)
+        return out
+
+    def _units(self, text: str) -> list[str]:
         if not self.cuts or any(x in text for x in ODD):
             return [text]
-        pieces = text.split(" ")
-        if all(p in known or (p and not p[0].isspace() and not p[-1].isspace()) for p in pieces):
-            return pieces
-        return CUT.split(text)
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
-
-
-class Aligner:
-    """Aligned units of one worker: counts for each, its links as id pairs (A's id in the upper half), and its groups as text."""
-
-    def __init__(self, a_path: str, b_path: str) -> None:
-        self.words = Vocabularies(a_path, b_path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.groups: list[str | None] = []  # None: the bytes of a vocabulary differ from the unit's
-        self.links: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, tokens of B, groups
-        self.held = 0
-
-    def add(self, units: list[str]) -> None:
-        """Aligns new units, all in one go: the unit's ends are ends of both sequences, so no group reaches over them."""
-        words, first = self.words, len(self.groups)
-        self.known.update({u: first + k for k, u in enumerate(units)})
-        a_ids, b_ids = words.encode(units)
-        good = [b"".join([words.a_bytes[i] for i in a]) == b"".join([words.b_bytes[i] for i in b]) == b" " + u.encode() for u, a, b in zip(units, a_ids, b_ids, strict=True)]
-        a_flat = np.array([i for ok, a in zip(good, a_ids, strict=True) if ok for i in a], dtype=np.int64)
-        b_flat = np.array([i for ok, b in zip(good, b_ids, strict=True) if ok for i in b], dtype=np.int64)
-        a_end = np.cumsum(np.array([len(words.a_bytes[i]) for i in a_flat], dtype=np.int64))
-        b_end = np.cumsum(np.array([len(words.b_bytes[i]) for i in b_flat], dtype=np.int64))
-        ends = group_ends(a_end, b_end)
-        in_a, in_b = links(a_end, b_end)
-        pairs = a_flat[in_a] << 32 | b_flat[in_b]
-        last = np.flatnonzero(np.diff(ends[len(a_flat) :], append=-1))  # B's terminal tokens in order
-        a_cut, b_cut = np.searchsorted(ends[: len(a_flat)], last, "right"), last + 1
-        a_text, b_text = list(map(str, a_flat.tolist())), list(map(str, b_flat.tolist()))
-        texts = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:s]) for p, q, r, s in zip([0, *a_cut[:-1].tolist()], a_cut.tolist(), [0, *b_cut[:-1].tolist()], b_cut.tolist(), strict=True)] if len(last) else []
-        unit_end = np.cumsum([len(u.encode()) + 1 for ok, u in zip(good, units, strict=True) if ok])
-        group_cut = np.searchsorted(b_end[last], unit_end, "right") if len(last) else np.zeros(0, np.int64)
-        link_cut = np.searchsorted(np.union1d(a_end, b_end), unit_end, "right")
-        at, g0, l0 = 0, 0, 0
-        for ok, a, b in zip(good, a_ids, b_ids, strict=True):
-            if not ok:
-                self.groups.append(None)
-                self.sizes.append((0, 0, 0))
-                self.links.append(np.zeros(0, np.int64))
-                continue
-            g1, l1 = int(group_cut[at]), int(link_cut[at])
-            text = ";".join(texts[g0:g1])
-            self.groups.append(text)
-            self.links.append(pairs[l0:l1].copy())
-            self.sizes.append((len(a), len(b), g1 - g0))
-            self.held += len(text) + 8 * (l1 - l0) + 200
-            at, g0, l0 = at + 1, g1, l1
-
-    def documents(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the numbers of its units in order; none if it has no tokens."""
-        if len(self.groups) > UNITS or self.held > UNIT_BYTES:
-            self.reset()
+        units = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")[1:]
+        for u in units:
+            if u not in self.known and (len(u) < 2 or u[1].isspace() or u[-1].isspace()):
+                return CUT.split(text)
+        return units
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """A's and B's ids of each text with a space before it; none where a text is null or empty or its tokens differ in bytes."""
+        if len(self.known) > UNITS // 2:
+            self.before, self.known = self.known, {}
         known = self.known
-        cut = [self.words.units(t, known) if t else [] for t in texts]
+        cut = [self._units(" " + t) if t else [] for t in texts]
         new = list({u: None for units in cut for u in units if u not in known})
-        if new:
-            self.add(new)
-        out = [[known[u] for u in units] for units in cut]
-        bad = [k for k, units in enumerate(out) if len(units) > 1 and any(self.groups[u] is None for u in units)]
-        for k in bad:  # judged by the bytes of the whole text
-            if texts[k] not in known:
-                self.add([texts[k]])
-            out[k] = [known[texts[k]]]
-        return [units if all(self.groups[u] is not None for u in units) else [] for units in out]
+        known.update({u: self.before[u] for u in new if u in self.before})
+        new = [u for u in new if u not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        out = []
+        for units in cut:
+            found = [known[u] for u in units]
+            if None in found:  # judged by the bytes of the whole text
+                found = [self._encode(["".join(units)])[0] if len(units) > 1 else None]
+            out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])) if found != [None] else (b"", b""))
+        for u in new:
+            if len(u) > 64:
+                del known[u]
+        return out
+
+
+class Aligned:
+    """Token sequences of some texts, one text after the other: a text's end is an end of both, so no group reaches over it.
+
+    Per text: n_a, n_b and n_links; links: the id pairs of all links in order, A's id in the upper half.
+    """
 
+    def __init__(self, words: Vocabularies, ids: list[tuple[bytes, bytes]]) -> None:
+        self.words = words
+        (self.a, self.n_a), (self.b, self.n_b) = ((np.frombuffer(b"".join(x), words.kind).astype(np.int64), np.array([len(y) for y in x], dtype=np.int64) // int(words.kind[2])) for x in ([i[0] for i in ids], [i[1] for i in ids]))
+        self.a_end, self.b_end = np.cumsum(words.a_size[self.a]), np.cumsum(words.b_size[self.b])
+        in_a, in_b = links(self.a_end, self.b_end)
+        self.links = self.a[in_a] << 32 | self.b[in_b]
+        cut = np.cumsum(self.n_b)
+        self.n_links = np.searchsorted(in_b, cut) - np.searchsorted(in_b, cut - self.n_b)
+
+    def groups(self) -> tuple[list[int], list[str]]:
+        """For each text the number of its groups, and these as `a1,a2|b1;a3|b2,b3`. Group by group A's tokens come before B's, so a
+        token's place in what is written is its own number and how many of the other sequence come before it."""
+        words, n, m = self.words, len(self.words.a_bytes), len(self.words.b_bytes)
+        of_a, of_b = group_ends(self.a_end, self.b_end)
+        number_a, number_b = np.arange(len(self.a)), np.arange(len(self.b))
+        ends_b = of_b == number_b
+        ends_a = np.append(of_a[1:] != of_a[:-1], True)[: len(of_a)]
+        up_to_a = np.cumsum(np.bincount(of_a, minlength=len(self.b))) if len(of_a) else of_a
+        before_a = of_a - np.diff(np.concatenate([[-1], np.flatnonzero(ends_b)]))[np.cumsum(ends_b)[of_a] - 1] + 1 if len(of_a) else of_a
+        out = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        out[number_a + before_a] = self.a + n * ends_a
+        out[number_b + up_to_a[of_b]] = self.b + 2 * n + m * ends_b
+        cut = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
+        last = np.concatenate([[0], np.cumsum(ends_b)])[np.concatenate([[0], np.cumsum(self.n_b)])]
+        return np.diff(last).tolist(), ["".join(map(words.text_of.__getitem__, out[p:q].tolist()))[:-1] for p, q in zip(cut, cut[1:], strict=False)]
+
+    def sums(self, values: np.ndarray) -> list[int]:
+        """For each text the sum of values of its links."""
+        total = np.concatenate([[0], np.cumsum(values)])
+        end = np.cumsum(self.n_links)
+        return (total[end] - total[end - self.n_links]).tolist()
+
+
+_VOCABULARIES: dict[tuple[str, str], Vocabularies] = {}
+
+
+def vocabularies(a_path: str, b_path: str) -> Vocabularies:
+    """One for each worker process and pair of files."""
+    key = (a_path, b_path)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = Vocabularies(*key)
+    return _VOCABULARIES[key]
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
+def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, of_groups) -> DataFrame:
+    """(row, id, n_a, n_b, n_groups, n_links, groups, a, b): for each row of docs its number, its id, its counts, of_groups of its groups
+    and the ids of its tokens."""
 
-def aligner(a_path: str, b_path: str) -> Aligner:
-    """One aligner for each worker process and pair of vocabularies."""
-    key = (a_path, b_path)
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(*key)
-    return _ALIGNERS[key]
+    def run(batches):
+        words = vocabularies(a_path, b_path)
+        for batch in slices(batches, size=ALIGNED_BYTES):
+            ids = words.encode(batch.column(2).to_pylist())
+            found = Aligned(words, ids)
+            n_groups, groups = found.groups()
+            columns = [*(x.tolist() for x in (found.n_a, found.n_b)), n_groups, found.n_links.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array([of_groups(g.encode()) for g in groups], pa.string()), *(pa.array([x[k] for x in ids], pa.binary()) for k in (0, 1))], names=names)
 
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b"]
+    kinds = [T.LongType(), source.schema["id"].dataType, *[T.LongType()] * 4, T.StringType(), T.BinaryType(), T.BinaryType()]
+    return source.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]))
+
+
+def pair_counts(found: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(pair, n): how many links of all rows of encoded hold each id pair; A's id in the upper 32 bits, B's in the lower."""
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """(pair, n): how many links of the corpus hold each id pair; A's id in the upper 32 bits, B's in the lower."""
+    def counted(some):
+        pairs, n = np.unique(np.concatenate(some), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     def run(batches):
-        mine = aligner(a_path, b_path)
-        for batch in slices(batches):
-            numbers = [u for units in mine.documents(batch.column(0).to_pylist()) for u in units]
-            times = np.bincount(np.array(numbers, dtype=np.int64), minlength=len(mine.groups)) if numbers else np.zeros(0, np.int64)
-            used = np.flatnonzero(times)
-            sizes = np.array([len(mine.links[u]) for u in used], dtype=np.int64)
-            flat = np.concatenate([mine.links[u] for u in used]) if len(used) else np.zeros(0, np.int64)
-            pairs, where = np.unique(flat, return_inverse=True)
-            n = np.bincount(where, weights=np.repeat(times[used], sizes), minlength=len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+        words, some, size = vocabularies(a_path, b_path), [], 0
+        for batch in slices(batches, size=ALIGNED_BYTES):
+            some.append(Aligned(words, list(zip(*(c.to_pylist() for c in batch.columns), strict=True))).links)
+            size += len(some[-1])
+            if size > COUNTED_LINKS:
+                yield counted(some)
+                some, size = [], 0
+        if size:
+            yield counted(some)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return found.select("a", "b").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def most_counted(counts: DataFrame, head: int) -> DataFrame:
@@ -215,42 +256,31 @@ def align_digests(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
 
 def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, head: int, of_groups) -> DataFrame:
     spark = docs.sparkSession
-    counts = materialize(pair_counts(docs, a_path, b_path, text_col), "pair-counts")
+    rows = materialize(encoded(docs, a_path, b_path, id_col, text_col, of_groups), "encoded")
+    counts = materialize(pair_counts(rows, a_path, b_path), "pair-counts")
     low = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     best = counts.groupBy(low.alias("b")).agg(F.max("n").alias("most"))  # no more rows than B has ids
-    frame = most_counted(counts, head).toPandas().sort_values("pair")
-    most = best.toPandas()
+    frame, most = most_counted(counts, head).toPandas().sort_values("pair"), best.toPandas()
     top = np.zeros(int(most["b"].max()) + 1 if len(most) else 1, dtype=np.int64)
     top[most["b"].to_numpy(np.int64)] = most["most"].to_numpy(np.int64)
-    keys, ns = frame["pair"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast((keys, ns, top))
+    shared = spark.sparkContext.broadcast((frame["pair"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), top))
 
     def run(batches):
-        mine = aligner(a_path, b_path)
+        words = vocabularies(a_path, b_path)
         keys, ns, top = shared.value
-        for batch in slices(batches):
-            docs_units = mine.documents(batch.column(2).to_pylist())
-            used = np.unique(np.array([u for units in docs_units for u in units], dtype=np.int64))
-            record = {}
-            for u in used.tolist():
-                pairs = mine.links[u]
-                at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-                hit = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-                n = ns[at[hit]] if len(keys) else np.zeros(0, np.int64)
-                record[u] = (*mine.sizes[u], len(pairs), int((n == top[pairs[hit] & 0xFFFFFFFF]).sum()), int(n.sum()), pairs[~hit].tolist())
-            rows = []
-            for units in docs_units:
-                of = [record[u] for u in units]
-                groups = ";".join([mine.groups[u] for u in units])
-                rows.append((*(sum(r[k] for r in of) for k in range(6)), of_groups(groups.encode()), [p for r in of for p in r[6]]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.string()), pa.array(columns[7], pa.list_(pa.int64()))], names=names)
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rest"]
-    longs = [T.StructField(c, T.LongType()) for c in names[2:8]]
-    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), *longs, T.StructField("groups", T.StringType()), T.StructField("rest", T.ArrayType(T.LongType()))])
-    found = materialize(source.mapInArrow(run, out), "aligned")
+        for batch in slices(batches, size=ALIGNED_BYTES):
+            found = Aligned(words, list(zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)))
+            at = np.minimum(np.searchsorted(keys, found.links), max(len(keys) - 1, 0))
+            hit = keys[at] == found.links if len(keys) else np.zeros(len(found.links), bool)
+            n = np.where(hit, ns[at], 0) if len(keys) else np.zeros(len(found.links), np.int64)
+            best = hit & (n == top[found.links & 0xFFFFFFFF])
+            end = np.cumsum(found.sums(~hit)).tolist()
+            rest = pa.ListArray.from_arrays(pa.array([0, *end], pa.int32()), pa.array(found.links[~hit]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(found.sums(x), pa.int64()) for x in (best, n)), rest], names=[*names, "n_best", "count_sum", "rest"])
+
+    names = rows.columns[:-2]
+    fields = [*rows.schema.fields[:-2], *(T.StructField(c, T.LongType()) for c in ("n_best", "count_sum")), T.StructField("rest", T.ArrayType(T.LongType()))]
+    found = materialize(rows.mapInArrow(run, T.StructType(fields)), "aligned")
     asked = found.select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count(F.lit(1)).alias("k"))
     marked = counts.join(best, low == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
     added = asked.join(marked, "pair").groupBy("row").agg(F.sum(F.col("k") * F.col("n")).alias("more"), F.sum(F.col("k") * F.col("is_best")).alias("more_best"))

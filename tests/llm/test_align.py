@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against an alignment of whole texts by the libraries, byte by byte."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -78,17 +79,26 @@ def test_align_nothing(spark):
 
 def test_pointer_jumping_long_chain():
     a_end, b_end = np.arange(2, 4002, 2), np.append(np.arange(1, 4000, 2), 4000)  # ends meet at the last byte only
-    assert set(align.group_ends(a_end, b_end).tolist()) == {len(b_end) - 1}
-    assert align.group_ends(a_end, a_end).tolist() == [*range(2000), *range(2000)]
-
-
-def test_units_start_anew(spark, monkeypatch):
-    monkeypatch.setattr(align, "UNITS", 3)
-    mine = align.Aligner(A, B)
-    texts = [t for t in TEXTS if t]
-    for t in texts * 2:
-        units = mine.documents([t])[0]
-        assert ";".join(mine.groups[u] for u in units) == plain([t])[0][6]
+    of_a, of_b = align.group_ends(a_end, b_end)
+    assert set(of_a.tolist()) == set(of_b.tolist()) == {len(b_end) - 1}
+    assert [x.tolist() for x in align.group_ends(a_end, a_end)] == [[*range(2000)]] * 2
+
+
+def test_units_equal_whole_texts(monkeypatch):
+    """Text by text and all at once, with hardly anything remembered: what units encode to is what whole texts do."""
+    rnd = random.Random(8)
+    alphabet = "aabcdeeinorst '’!?\n\t  0123ÉéßñЖ中👍_-=<>|▁\\\u00a0\u0085"
+    texts = TEXTS + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    want = plain(texts)
+    monkeypatch.setattr(align, "UNITS", 300)
+    words = align.Vocabularies(A, B)
+    got = []
+    for k in range(0, len(texts), 50):
+        found = align.Aligned(words, words.encode(texts[k : k + 50]))
+        n_groups, groups = found.groups()
+        got += list(zip(found.n_a.tolist(), found.n_b.tolist(), n_groups, found.n_links.tolist(), groups, strict=True))
+    assert got == [(*w[:4], w[6]) for w in want]
+    assert len(words.known) <= 400
 
 
 def test_most_counted(spark):
