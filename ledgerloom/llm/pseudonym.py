@@ -9,6 +9,7 @@ Every domain is a product of two sets of known sizes (or a string, cut in two),
 permutation by construction; nothing has to be drawn again until it fits:
 
     dates            the 146,097 days of a Gregorian cycle, 1800-01-01 to 2199-12-31, as 27 x 5,411
+    day-first dates  25/12/2020, which can't be month-first: 400 years x 221 days after a month's twelfth; the 97 leap days apart
     IPv4 addresses   65,536 x 65,536
     123-45-6789      898 areas x 99 groups, x 9,999 serials
     card numbers     all digits but the last, which is the right check digit before and after
@@ -18,6 +19,8 @@ permutation by construction; nothing has to be drawn again until it fits:
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +127,20 @@ def _date(x: Column, key: Column, back: bool = False) -> Column:
         day = F.datediff(F.try_to_date(x, form), F.lit(START).cast("date"))
         moved = lambda d: F.when((d >= 0) & (d < DAYS), _one(feistel_pair(F.floor(d / 5411), d % 5411, 27, 5411, key, "date", back), lambda p: F.date_format(F.date_add(F.lit(START).cast("date"), (p["a"] * 5411 + p["b"]).cast("int")), form)))  # noqa: E731, B023
         out = F.when(x.rlike(pattern), _one(day, moved)).otherwise(out)
-    return out
+    return F.coalesce(out, F.when(x.rlike(r"^[0-9]{2}/"), _day_first(x, key, back)))
+
+
+def _day_first(x: Column, key: Column, back: bool) -> Column:
+    """dd/MM/yyyy with a day after the twelfth becomes another such date; null for other texts."""
+    days = [monthrange(2001, m)[1] for m in range(1, 13)]
+    slots = F.array(*[F.lit(f"{d:02}/{m:02}") for m, n in enumerate(days, 1) for d in range(13, n + 1)])
+    leap = F.array(*[F.lit(y) for y in range(1800, 2200) if monthrange(y, 2)[1] == 29])
+    year, n_slots, n_leap = F.substring(x, 7, 4).cast("int"), sum(days) - 12 * 12, 97
+    slot, of_leap = F.array_position(slots, F.substring(x, 1, 5)), F.array_position(leap, year)
+    plain = lambda p: F.concat(F.get(slots, p["b"].cast("int")), F.lit("/"), (p["a"] + 1800).cast("string"))
+    on_leap = lambda p: F.concat(F.lit("29/02/"), F.get(leap, p["a"].cast("int")).cast("string"))
+    out = F.when((slot > 0) & year.between(1800, 2199), _one(feistel_pair(year - 1800, slot - 1, 400, n_slots, key, "day-first", back), plain))
+    return out.when((F.substring(x, 1, 5) == "29/02") & (of_leap > 0), _one(feistel_pair(of_leap - 1, F.lit(0), n_leap, 1, key, "leap-day", back), on_leap))
 
 
 def _ip(x: Column, key: Column, back: bool = False) -> Column:
@@ -137,9 +153,9 @@ def _ip(x: Column, key: Column, back: bool = False) -> Column:
 def _ssn(x: Column, key: Column, back: bool = False) -> Column:
     area, group, serial = (F.split(x, "-")[i].cast("int") for i in range(3))
     at = lambda a: F.when(a > 666, a - 2).otherwise(a - 1)
-    back = lambda k: F.when(k + 1 >= 666, k + 2).otherwise(k + 1)
+    area_of = lambda k: F.when(k + 1 >= 666, k + 2).otherwise(k + 1)
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    out = lambda p: F.format_string("%03d-%02d-%04d", back(F.floor(p["a"] / 99)), p["a"] % 99 + 1, p["b"] + 1)
+    out = lambda p: F.format_string("%03d-%02d-%04d", area_of(F.floor(p["a"] / 99)), p["a"] % 99 + 1, p["b"] + 1)
     return F.when(valid, _one(feistel_pair(at(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn", back), out))
 
 
