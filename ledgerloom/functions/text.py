@@ -149,12 +149,19 @@ def normalize_label(x: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(x), "[^a-z0-9]+", " "))
 
 
+def let(value: Column, steps) -> Column:
+    """Evaluates value once for an expression that names it often; inside array functions nothing else does."""
+    return F.transform(F.array(value), steps)[0]
+
+
 def parse_number(x: Column) -> Column:
     """(x) is negative; commas, dollar and percent signs and no-break spaces go; null if no plain number is left."""
-    t = F.trim(F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^\(+", ""), r"\)+$", ""), "[,$%]", ""), r"^[\s ]+|[\s ]+$", "")
-    number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    return F.when(t.startswith("(") & t.endswith(")"), -number).otherwise(number)
+    def number(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^\(+", ""), r"\)+$", ""), "[,$%]", ""), r"^[\s ]+|[\s ]+$", "")
+        sign = F.when(t.startswith("(") & t.endswith(")"), -1.0).otherwise(1.0)
+        return let(bare, lambda b: F.when(b.rlike(NUMBER), sign * b.try_cast("double")))
+
+    return F.when(x.rlike("[0-9]"), let(F.trim(F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), number))
 
 
 def infer_scale(context: Column) -> Column:
@@ -200,13 +207,13 @@ def duration_start(end: Column, months: Column) -> Column:
 
 def header_end_date(header: Column) -> Column:
     """The first valid `month day year` triple; a month followed by anything but two numbers ends the search without a date."""
-    tokens = F.split(normalize_label(header), " ")
     short = {name: k + 1 for k, full in enumerate(MONTHS) for name in (full, full[:3])} | {"sept": 9}
     month = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
-    at = lambda i: F.get(tokens, i)
     small = lambda x, n: x.rlike(f"^[0-9]{{1,{n}}}$")
-    found = F.filter(
-        F.transform(
+
+    def triples(tokens: Column) -> Column:
+        at = lambda i: F.get(tokens, i)
+        found = F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(tokens) - 3, F.lit(0))),
             lambda i: F.when(
                 month[at(i)].isNotNull() & at(i + 2).isNotNull(),
@@ -215,10 +222,11 @@ def header_end_date(header: Column) -> Column:
                     F.try_to_date(F.concat_ws("-", at(i + 2), month[at(i)].cast("string"), at(i + 1)), "y-M-d").alias("day"),
                 ),
             ),
-        ),
-        lambda x: x.isNotNull() & (~x["read"] | x["day"].isNotNull()),
-    )
-    return F.when(F.size(found) > 0, F.when(found[0]["read"], found[0]["day"]))
+        )
+        return F.filter(found, lambda x: x.isNotNull() & (~x["read"] | x["day"].isNotNull()))
+
+    first = let(F.split(normalize_label(header), " "), lambda tokens: F.get(triples(tokens), 0))
+    return let(first, lambda f: F.when(f["read"], f["day"]))
 
 
 ANNUAL_CONTEXTS = tuple(f"{s} of {x}" for x in ("income", "operations", "earnings", "financial position", "cash flows", "shareholders equity", "stockholders equity") for s in ("statement", "statements")) + ("balance sheet",)
@@ -236,11 +244,12 @@ def bare_year_date(header: Column, form_type: Column, period_end: Column, allowe
 
 def header_period(header: Column, form_type: Column, period_end: Column, allowed: Column) -> Column:
     """struct(start, end) of a column header, or null; a duration that doesn't end with a month has none."""
-    end = F.coalesce(header_end_date(header), bare_year_date(header, form_type, period_end, allowed))
-    months = duration_months(normalize_label(header))
-    start = duration_start(end, months)
-    whole = F.struct(start.alias("start"), end.alias("end"))
-    return F.when(end.isNotNull() & (months.isNull() | start.isNotNull()), whole)
+    def whole(end: Column) -> Column:
+        months = let(normalize_label(header), duration_months)
+        dated = lambda m: let(duration_start(end, m), lambda start: F.when(m.isNull() | start.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
+        return F.when(end.isNotNull(), let(months, dated))
+
+    return let(F.coalesce(header_end_date(header), bare_year_date(header, form_type, period_end, allowed)), whole)
 
 
 def is_reference_header(header: Column) -> Column:

@@ -30,45 +30,37 @@ def _padded(*names: str):
     return F.concat_ws("/", *[F.lpad((F.col(n) + 1).cast("string"), 6, "0") for n in names])
 
 
-def note_values(cells: DataFrame, filings: DataFrame) -> DataFrame:
+def note_values(grid: DataFrame, filings: DataFrame) -> DataFrame:
     """Debt note and funding values at the filing's own period, with the scale and name of their table."""
-    contexts = tables.table_contexts(cells)
-    found = [tables.debt_note_values(cells, contexts), tables.funding_flow_values(cells, contexts, filings), tables.secured_funding_flow_values(cells, contexts), tables.funding_balance_values(cells, contexts)]
-    name = F.when(F.trim("caption") == "", F.col("header_context")).otherwise(F.col("caption"))
-    about = contexts.select(*tables.TABLE, X.infer_scale(F.col("caption")).alias("scale"), F.nullif(name, F.lit("")).alias("table_name"))
-    base = filings.select("accession", "cik", "form_type", F.coalesce("period_end", "filing_date").alias("period_end"))
+    found = [tables.debt_note_values(grid), tables.funding_flow_values(grid, filings), tables.secured_funding_flow_values(grid), tables.funding_balance_values(grid)]
+    about = tables.with_contexts(tables.in_filings(grid, filings)).select(*tables.TABLE, "cik", "form_type", F.col("own_end").alias("period_end"), X.infer_scale(F.col("caption")).alias("scale"), F.nullif("context", F.lit("")).alias("table_name"))
     rate = F.col("metric_id") == f"{tables.DEBT}interest_rate"
-    out = reduce(DataFrame.unionByName, found).join(about, tables.TABLE).join(base, "accession")
+    out = reduce(DataFrame.unionByName, found).join(about, tables.TABLE)
     return out.withColumns({"unit_kind": F.when(rate, "percentage").otherwise("currency"), "scale": F.when(rate, "raw").otherwise(F.col("scale")), "source_method": F.lit("filing_html"), "filing_label": F.col("row_label")})
 
 
-def document_text(documents: DataFrame) -> DataFrame:
-    """accession, text: documents without markup, scripts and styles."""
-    bare = F.regexp_replace(F.col("html").cast("string"), r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    return documents.select("accession", F.regexp_replace(bare, "<[^>]*>", " ").alias("text"))
-
-
-def extract_document_values(parsed: DataFrame, documents: DataFrame, filings: DataFrame) -> DataFrame:
-    """Candidate values (COLUMNS) of documents(accession, html) of filings(accession, cik, form_type, filing_date, period_end).
+def extract_document_values(parsed: DataFrame, filings: DataFrame) -> DataFrame:
+    """Candidate values (COLUMNS) of parsed documents of filings(accession, cik, form_type, filing_date, period_end).
 
     A union of all extractors; a zero revolver balance from prose only for filings without any other revolver value. Documents
     without a filing and ones that could not be parsed give nothing here; the latter are issues of review.documents_skipped.
     """
-    cells = D.table_cells(parsed)
-    facts, contexts = D.inline_facts(documents), D.inline_contexts(documents)
+    grid = D.document_tables(parsed)
+    facts, contexts = D.inline_facts(parsed), D.inline_contexts(parsed)
     names = F.broadcast(metric_registry(parsed.sparkSession).select("metric_id", F.col("metric_name").alias("filing_label")))
     typed = {"source_type": F.lit("xbrl"), "source_method": F.lit("filing_html")}
-    generic = tables.extract_table_values(cells, filings).withColumns({"source_method": F.lit("filing_html"), "filing_label": F.col("row_label")})
-    parts = [_shaped(generic, 1, _padded("table_no", "row_no")), _shaped(note_values(cells, filings), 2, _padded("table_no", "row_no"))]
-    for k, (values, method) in enumerate([(inline.core_revenue_values, "pos"), (inline.segment_values, "pos"), (inline.share_issuance_values, "pos")]):
+    generic = tables.extract_table_values(grid, filings).withColumns({"source_method": F.lit("filing_html"), "filing_label": F.col("row_label")})
+    notes = note_values(grid, filings)
+    parts = [_shaped(generic, 1, _padded("table_no", "row_no")), _shaped(notes, 2, _padded("table_no", "row_no"))]
+    for k, values in enumerate([inline.core_revenue_values, inline.segment_values, inline.share_issuance_values]):
         found = values(facts, contexts, filings).withColumnRenamed("pos", "fact_no").join(names, "metric_id").withColumns(typed)
         parts.append(_shaped(found, 3 + k, _padded("fact_no")))
     summed = inline.derivative_gain_loss(facts, contexts, filings).join(names, "metric_id").withColumns(typed | {"unit_kind": F.lit("currency"), "section_name": F.lit("inline_xbrl_derivative"), "table_name": F.lit("inline_xbrl_derivative")})
     parts.append(_shaped(summed, 6, F.col("period_end").cast("string")))
-    values = reduce(DataFrame.unionByName, parts)
-    zero = tables.undrawn_revolver(document_text(documents), filings, values.select("accession", "metric_id"))
+    drawn = generic.select("accession", "metric_id").unionByName(notes.select("accession", "metric_id"))
+    zero = tables.undrawn_revolver(D.facility_mentions(parsed), filings, drawn)
     zero = zero.withColumns({"unit_kind": F.lit("currency"), "scale": F.lit("raw"), "filing_label": F.lit("Undrawn revolving credit facility")})
-    return values.unionByName(_shaped(zero, 7, F.lit("0")))
+    return reduce(DataFrame.unionByName, [*parts, _shaped(zero, 7, F.lit("0"))])
 
 
 def document_narratives(parsed: DataFrame, filings: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ class FilingReport:
 
     @cached_property
     def html(self) -> DataFrame:
-        return written(document_values.extract_document_values(self.parsed, self.documents, self.filings), "document-values")
+        return written(document_values.extract_document_values(self.parsed, self.filings), "document-values")
 
     @cached_property
     def narratives(self) -> DataFrame | None:

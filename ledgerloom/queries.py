@@ -157,6 +157,11 @@ def _spread(lines: DataFrame) -> DataFrame:
     return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "accession")
 
 
+def _selected_dates(spark, sf_dir):
+    """Filings with a report date, for documents of such."""
+    return _filings(spark, sf_dir).where("period_end is not null")
+
+
 def _rendered(spark, sf_dir):
     """Filings as documents: a captioned statement of the order's lines, embedded facts with contexts, and prose."""
     line = _spread(views.read(spark, sf_dir, "lineitem").join(_filings(spark, sf_dir).where("period_end is not null"), F.col("l_orderkey") == F.col("o_orderkey")))
@@ -187,28 +192,27 @@ def table_cells(spark, sf_dir):
 @query
 def table_values(spark, sf_dir):
     docs = _rendered(spark, sf_dir)
-    cells = documents.table_cells(documents.parsed_once(docs))
-    return tables.extract_table_values(cells, docs.drop("html")).select("cik", "accession", "metric_id", "period_start", "period_end", "amount", "scale", "row_label", "row_no")
+    return tables.extract_table_values(documents.document_tables(documents.parsed_once(docs)), _selected_dates(spark, sf_dir)).select("cik", "accession", "metric_id", "period_start", "period_end", "amount", "scale", "row_label", "row_no")
 
 
 @query
 def inline_segment_values(spark, sf_dir):
-    docs = _rendered(spark, sf_dir)
-    v = inline.segment_values(documents.inline_facts(docs), documents.inline_contexts(docs), docs.drop("html"))
+    parsed = documents.parsed_once(_rendered(spark, sf_dir))
+    v = inline.segment_values(documents.inline_facts(parsed), documents.inline_contexts(parsed), _selected_dates(spark, sf_dir))
     return v.select("cik", "accession", "metric_id", "segment_name", "period_start", "period_end", "amount", "scale", F.col("pos").cast("int").alias("pos"))
 
 
 @query
 def inline_core_revenue(spark, sf_dir):
-    docs = _rendered(spark, sf_dir)
-    v = inline.core_revenue_values(documents.inline_facts(docs), documents.inline_contexts(docs), docs.drop("html"))
+    parsed = documents.parsed_once(_rendered(spark, sf_dir))
+    v = inline.core_revenue_values(documents.inline_facts(parsed), documents.inline_contexts(parsed), _selected_dates(spark, sf_dir))
     return v.select("cik", "accession", "metric_id", "period_start", "period_end", "amount", "scale", F.col("pos").cast("int").alias("pos"))
 
 
 @query
 def derivative_sum(spark, sf_dir):
-    docs = _rendered(spark, sf_dir)
-    v = inline.derivative_gain_loss(documents.inline_facts(docs), documents.inline_contexts(docs), docs.drop("html"))
+    parsed = documents.parsed_once(_rendered(spark, sf_dir))
+    v = inline.derivative_gain_loss(documents.inline_facts(parsed), documents.inline_contexts(parsed), _selected_dates(spark, sf_dir))
     return v.select("cik", "accession", "metric_id", "period_start", "period_end", "amount", "scale", "n_facts")
 
 
@@ -228,8 +232,8 @@ DEBT_LABELS = ["Senior notes", "Subordinated debt", "Revolving credit facility",
 
 @query
 def debt_note_values(spark, sf_dir):
-    cells = documents.table_cells(documents.parsed_once(_debt_documents(spark, sf_dir)))
-    return tables.debt_note_values(cells, tables.table_contexts(cells)).select("accession", "metric_id", "amount", "row_label", "row_no")
+    grid = documents.document_tables(documents.parsed_once(_debt_documents(spark, sf_dir)))
+    return tables.debt_note_values(grid).select("accession", "metric_id", "amount", "row_label", "row_no")
 
 
 @query
@@ -240,8 +244,7 @@ def funding_flow(spark, sf_dir):
     labels = F.array(*[F.lit(x) for x in FLOW_LABELS])
     row = lambda x: F.concat(F.lit("<tr><td>"), F.get(labels, (x["l_partkey"] % len(FLOW_LABELS)).cast("int")), F.lit("</td><td>"), x["q"].cast("string"), F.lit("</td></tr>"))
     docs = by.select("accession", "cik", "form_type", "filing_date", "period_end", F.concat(F.lit("<table><caption>Long-term unsecured funding</caption>"), F.array_join(F.transform("l", row), ""), F.lit("</table>")).alias("html"))
-    cells = documents.table_cells(documents.parsed_once(docs))
-    return tables.funding_flow_values(cells, tables.table_contexts(cells), docs.drop("html")).select("accession", "metric_id", "amount", "row_label", "row_no")
+    return tables.funding_flow_values(documents.document_tables(documents.parsed_once(docs)), _filings(spark, sf_dir)).select("accession", "metric_id", "amount", "row_label", "row_no")
 
 
 FLOW_LABELS = ["Issuance", "Senior notes", "Maturities and redemptions", "Subordinated debt", "Other"]
@@ -551,8 +554,7 @@ def _filing_documents(spark, sf_dir):
 @query
 def document_values(spark, sf_dir):
     """All extractors over one parse of all documents."""
-    docs = _filing_documents(spark, sf_dir)
-    found = values_of.extract_document_values(documents.parsed_once(docs), docs, docs.drop("html"))
+    found = values_of.extract_document_values(documents.parsed_once(_filing_documents(spark, sf_dir)), _filings(spark, sf_dir))
     return found.select("cik", "accession", "form_type", "metric_id", "period_start", "period_end", "amount", "unit_kind", "scale", "row_label", "source_type", "source_method")
 
 

@@ -1,13 +1,15 @@
-"""Filing documents: table cells and text blocks (one Arrow job over the corpus), embedded facts and contexts (native)."""
+"""Filing documents: tables, text blocks, embedded facts, contexts and mentions, all from one Arrow job over the corpus."""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.sources.payloads import read_payloads
 from ledgerloom.sources.scratch import written
@@ -87,50 +89,123 @@ def clean(parts: list[str] | None) -> str | None:
 
 #: Pages whose rows are made before they go back to Spark.
 PAGES = 64
+#: What a parsed document gives, by kind; see parse_documents.
+ROW = "struct<cells: array<struct<text: string, col_start: int, colspan: int>>>"
+FIELDS = {"kind": "string", "no": "int", "tag": "string", "text": "string", "ref": "string", "unit": "string", "scale": "string", "starts": "string", "ends": "string", "members": "array<struct<dimension: string, member: string>>", "rows": f"array<{ROW}>"}
+#: Month names in dates of prose.
+MONTH_NAMES = "january|february|march|april|may|june|july|august|september|october|november|december"
+
+_MEMBER = re.compile(r'(?s)<xbrldi:explicitMember ([^>]*dimension="[^"]*"[^>]*)>(.*?)</xbrldi:explicitMember>')
+_DATE = re.compile(rf"(?=((?:{MONTH_NAMES}) [0-9]{{1,2}} [0-9]{{4}}|[0-9]{{4}} [0-9]{{2}} [0-9]{{2}}))")
+
+
+def between(text: str, start: str, end: str):
+    """(head, body) of each element of a page: what stands up to the end of its start tag, and up to its end tag. The page is read
+    once from left to right; a start without an end is the last one looked at."""
+    at = text.find(start)
+    while at >= 0:
+        head = text.find(">", at)
+        stop = text.find(end, head + 1) if head >= 0 else -1
+        if stop < 0:
+            return
+        yield text[at : head + 1], text[head + 1 : stop]
+        at = text.find(start, stop + len(end))
+
+
+def _within(text: str, tag: str) -> str | None:
+    return next((body.strip(" ") for _, body in between(text, f"<{tag}>", f"</{tag}>")), None)
+
+
+def _attribute(head: str, name: str) -> str | None:
+    found = re.search(rf'{name}="([^"]*)"', head)
+    return found.group(1) if found else None
+
+
+def page_facts(page: str):
+    """(number, name, context, unit, scale, value) of each embedded number that has a name and a context; markup is stripped."""
+    for no, (head, body) in enumerate(between(page, "<ix:nonFraction ", "</ix:nonFraction>")):
+        name, ref = _attribute(head, " name"), _attribute(head, "contextRef")
+        if name and ref:
+            value = re.sub("(?s)<[^>]*>", "", body.replace("&nbsp;", " ")).strip(" ")
+            yield no, name, ref, _attribute(head, "unitRef") or None, _attribute(head, "scale") or None, value
+
+
+def page_contexts(page: str) -> dict[str, tuple]:
+    """By id: 'instant' or 'duration', dates as written, and (dimension, member) pairs. The last of equal ids wins."""
+    out = {}
+    for head, body in between(page, '<xbrli:context id="', "</xbrli:context>"):
+        members = [{"dimension": _attribute(m.group(1), "dimension"), "member": m.group(2).strip(" ")} for m in _MEMBER.finditer(body)]
+        instant = "<xbrli:instant>" in body
+        out[_attribute(head, "id")] = ("instant", None, _within(body, "xbrli:instant"), members) if instant else ("duration", _within(body, "xbrli:startDate"), _within(body, "xbrli:endDate"), members)
+    return out
+
+
+def facility_mention(page: str) -> str | None:
+    """What a page without markup, scripts and styles says of an undrawn credit facility: that, and its dates; null if nothing."""
+    low = page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # of bytes: A-Z only
+    if "undrawn" not in low or "credit" not in low:
+        return None
+    bare = re.sub(r"(?s)<(script|style)\b[^>]*>.*?</\1>", " ", low)
+    text = re.sub("[^a-z0-9]+", " ", re.sub("<[^>]*>", " ", bare))
+    if "credit facility" not in text or "undrawn" not in text:
+        return None
+    return "; ".join(["credit facility", "undrawn", *dict.fromkeys(f"at {m.group(1)} then" for m in _DATE.finditer(text))])
+
+
+def page_rows(page: str) -> list[dict]:
+    """All rows of one page: one reading each by the parser and by the scanners of facts, contexts and prose."""
+    doc = _Document()
+    try:
+        doc.feed(page)
+        doc.close()
+    except Exception as e:  # noqa: BLE001 - one bad document must not end the job
+        return [{"kind": "error", "text": f"{type(e).__name__}: {e}"}]
+    out: list[dict] = []
+    for no, table in enumerate(doc.tables):
+        rows = []
+        for row in table["rows"]:
+            at, cells = 0, []
+            for text, span in row:
+                cells.append({"text": clean(text), "col_start": at, "colspan": span})
+                at += span
+            rows.append({"cells": cells})
+        out.append({"kind": "table", "no": no, "text": clean(table["caption"]), "rows": rows})
+    out += [{"kind": "block", "no": no, "tag": tag, "text": clean(text)} for no, (tag, text) in enumerate(doc.blocks)]
+    out += [{"kind": "fact", "no": no, "tag": name, "ref": ref, "unit": unit, "scale": scale, "text": value} for no, name, ref, unit, scale, value in page_facts(page)]
+    out += [{"kind": "context", "ref": ref, "tag": kind, "starts": s, "ends": e, "members": members} for ref, (kind, s, e, members) in page_contexts(page).items()]
+    mention = facility_mention(page)
+    return out + ([{"kind": "mention", "text": mention}] if mention else [])
 
 
 def parse_documents(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
-    """One row per cell (kind 'cell': table_no, row_no, cell_no, text, col_start and colspan, caption) and per block (kind 'block':
-    row_no its place, tag, text). col_start is the sum of the spans before a cell in its row. A document that is null gives
-    nothing; one that can't be parsed, whatever the reason, gives one row of kind 'error'."""
-    ints = ["table_no", "row_no", "cell_no", "col_start", "colspan"]
-    names = [key, "kind", *ints, "tag", "text", "caption"]
-
-    def page_rows(k, page: str) -> list[tuple]:
-        doc = _Document()
-        try:
-            doc.feed(page)
-            doc.close()
-        except Exception as e:  # noqa: BLE001 - one bad document must not end the job
-            return [(k, "error", *[None] * len(ints), None, f"{type(e).__name__}: {e}", None)]
-        rows: list[tuple] = []
-        for t, table in enumerate(doc.tables):
-            caption = clean(table["caption"])
-            for r, row in enumerate(table["rows"]):
-                at = 0
-                for c, (text, span) in enumerate(row):
-                    rows.append((k, "cell", t, r, c, at, span, None, clean(text), caption))
-                    at += span
-        return rows + [(k, "block", None, b, None, None, None, tag, clean(text), None) for b, (tag, text) in enumerate(doc.blocks)]
+    """All that is read from documents, in one job; nothing after it needs the pages. Rows by kind:
+
+    table     no, text (caption), rows (cells with text, col_start, the sum of the spans before it in its row, and colspan)
+    block     no, tag, text of a heading, paragraph, list item, div or span
+    fact      no, tag (name), ref (context), unit, scale, text of an embedded number
+    context   ref, tag (instant or duration), starts and ends as written, members
+    mention   text: an undrawn credit facility and the dates of the page
+    error     text: why the page could not be parsed
+
+    A document that is null gives nothing; one that can't be parsed gives one row of kind 'error' and nothing else.
+    """
+    source = documents.select(F.col(key), F.col(html).cast("string").alias("html"))
+    out = T.StructType([source.schema[key], *[T.StructField(n, T._parse_datatype_string(kind)) for n, kind in FIELDS.items()]])
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
 
     def run(batches):
         for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.string(), *[pa.int32()] * len(ints), pa.string(), pa.string(), pa.string()]
             for at in range(0, batch.num_rows, PAGES):
                 part = batch.slice(at, PAGES)
-                pages = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                rows = [row for k, page in pages if page is not None for row in page_rows(k, page)]
-                cols = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                rows = [{key: k} | row for k, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if page is not None for row in page_rows(page)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kind) for n, kind in zip(out.names, kinds, strict=True)], names=out.names)
 
-    source = documents.select(F.col(key), F.col(html).cast("string").alias("html"))
-    out = T.StructType([T.StructField(key, source.schema[key].dataType), T.StructField("kind", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ints], *[T.StructField(n, T.StringType()) for n in ("tag", "text", "caption")]])
     return source.mapInArrow(run, out)
 
 
 def parsed_once(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
-    """parse_documents as a written table, for all operators that read cells or blocks of the same documents."""
-    return written(parse_documents(documents, key, html), "parsed")
+    """parse_documents as a written table with a folder for each kind, so a reader of one kind reads nothing else."""
+    return written(parse_documents(documents, key, html), "parsed", ["kind"])
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -141,44 +216,39 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_payloads(spark, path).select(F.when(plain != "", F.concat_ws("-", part(1), part(2), part(3))).alias("accession"), F.col("payload").alias("html"), "path")
 
 
+def document_tables(parsed: DataFrame, key: str = "accession") -> DataFrame:
+    """One row per table: table_no, caption, rows with their cells. A cell spans the display columns from col_start to col_end."""
+    rows = F.transform("rows", lambda r: F.struct(F.transform(r["cells"], lambda c: F.struct(c["text"].alias("text"), c["col_start"].alias("col_start"), (c["col_start"] + c["colspan"] - 1).cast("int").alias("col_end"))).alias("cells")))
+    return parsed.where("kind = 'table'").select(key, F.col("no").alias("table_no"), F.col("text").alias("caption"), rows.alias("rows"))
+
+
 def table_cells(parsed: DataFrame, key: str = "accession") -> DataFrame:
     """Cells with the display columns they span: col_start to col_end."""
-    return parsed.where("kind = 'cell'").select(key, "table_no", "row_no", "cell_no", "text", "col_start", (F.col("col_start") + F.col("colspan") - 1).cast("int").alias("col_end"), "caption")
+    rows = document_tables(parsed, key).select(key, "table_no", "caption", F.posexplode("rows").alias("row_no", "r"))
+    return rows.select(key, "table_no", "row_no", "caption", F.posexplode("r.cells").alias("cell_no", "c")).select(key, "table_no", "row_no", "cell_no", "c.*", "caption")
 
 
 def heading_blocks(parsed: DataFrame, key: str = "accession") -> DataFrame:
-    return parsed.where("kind = 'block'").select(key, F.col("row_no").alias("block_no"), "tag", "text")
-
-
-def attribute(tag: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(tag, rf'{name}="([^"]*)"', 1), F.lit("")) if name != "contextRef" else F.regexp_extract(tag, rf'{name}="([^"]*)"', 1)
-
-
-def inline_facts(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
-    """Embedded numbers: name, local_name, context_ref, unit_ref, scale, value (markup stripped)."""
-    each = documents.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<ix:nonFraction [^>]*>.*?</ix:nonFraction>"), F.lit(0))).alias("pos", "raw"))
-    tag = F.regexp_extract("raw", r"(?s)^(<ix:nonFraction [^>]*>)", 1)
-    body = F.regexp_replace(F.regexp_replace("raw", r"(?s)^<ix:nonFraction [^>]*>|</ix:nonFraction>$", ""), "&nbsp;", " ")
-    out = each.select(key, "pos", tag.alias("tag"), F.trim(F.regexp_replace(body, r"(?s)<[^>]*>", "")).alias("value"))
-    out = out.select(key, "pos", attribute(F.col("tag"), " name").alias("name"), attribute(F.col("tag"), "contextRef").alias("context_ref"), attribute(F.col("tag"), "unitRef").alias("unit_ref"), attribute(F.col("tag"), "scale").alias("scale_attr"), "value")
-    return out.where("name is not null and context_ref <> ''").withColumn("local_name", F.element_at(F.split("name", ":"), -1))
-
-
-def inline_contexts(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
-    """Contexts of embedded numbers: context_id, period_start, period_end, members (dimension, member). The last of equal ids
-    wins."""
-    each = documents.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r'(?s)<xbrli:context id="[^"]*".*?</xbrli:context>'), F.lit(0))).alias("pos", "raw"))
-    between = lambda name: F.try_to_date(F.trim(F.regexp_extract("raw", rf"(?s)<xbrli:{name}>(.*?)</xbrli:{name}>", 1)), "yyyy-MM-dd")
-    members = F.transform(
-        F.regexp_extract_all(F.col("raw"), F.lit(r'(?s)<xbrldi:explicitMember [^>]*dimension="[^"]*"[^>]*>.*?</xbrldi:explicitMember>'), F.lit(0)),
-        lambda m: F.struct(F.regexp_extract(m, r'dimension="([^"]*)"', 1).alias("dimension"), F.trim(F.regexp_extract(m, r"(?s)>(.*)</xbrldi", 1)).alias("member")),
-    )
-    instant = F.contains(F.col("raw"), F.lit("<xbrli:instant>"))
-    out = each.select(key, "pos", F.regexp_extract("raw", r'^<xbrli:context id="([^"]*)"', 1).alias("context_id"), instant.alias("is_instant"), between("instant").alias("at"), between("startDate").alias("s"), between("endDate").alias("e"), members.alias("members"))
-    whole = F.col("s").isNotNull() & F.col("e").isNotNull()
-    out = out.select(key, "pos", "context_id", F.when(~F.col("is_instant") & whole, F.col("s")).alias("period_start"), F.when(F.col("is_instant"), F.col("at")).when(whole, F.col("e")).alias("period_end"), "members")
-    last = F.row_number().over(Window.partitionBy(key, "context_id").orderBy(F.desc("pos")))
-    return out.withColumn("rn", last).where("rn = 1").drop("rn", "pos")
+    return parsed.where("kind = 'block'").select(key, F.col("no").alias("block_no"), "tag", "text")
+
+
+def inline_facts(parsed: DataFrame, key: str = "accession") -> DataFrame:
+    """Embedded numbers: name, local_name, context_ref, unit_ref, scale_attr, value (markup stripped)."""
+    out = parsed.where("kind = 'fact'").select(key, F.col("no").alias("pos"), F.col("tag").alias("name"), F.col("ref").alias("context_ref"), F.col("unit").alias("unit_ref"), F.col("scale").alias("scale_attr"), F.col("text").alias("value"))
+    return out.withColumn("local_name", F.element_at(F.split("name", ":"), -1))
+
+
+def inline_contexts(parsed: DataFrame, key: str = "accession") -> DataFrame:
+    """Contexts of embedded numbers: context_id, period_start, period_end, members (dimension, member)."""
+    day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    start, end, instant = day("starts"), day("ends"), F.col("tag") == "instant"
+    whole = start.isNotNull() & end.isNotNull()
+    return parsed.where("kind = 'context'").select(key, F.col("ref").alias("context_id"), F.when(~instant & whole, start).alias("period_start"), F.when(instant | whole, end).alias("period_end"), "members")
+
+
+def facility_mentions(parsed: DataFrame, key: str = "accession") -> DataFrame:
+    """Texts (key, text) of pages that name an undrawn credit facility: that, and the pages' dates."""
+    return parsed.where("kind = 'mention'").select(key, "text")
 
 
 def period_from_context_id(context_ref: Column) -> Column:

@@ -23,8 +23,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; a lost executor loses nothing of it."""
+def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, in a folder for each value of `by`; a lost executor loses nothing of it."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,6 +21,10 @@ def cells_of(spark, html):
     return documents.table_cells(documents.parse_documents(page(spark, html)))
 
 
+def grid_of(spark, html):
+    return documents.document_tables(documents.parse_documents(page(spark, html)))
+
+
 def test_colspans_and_bad_spans(spark):
     got = cells_of(spark, "<table><tr><td>left</td><td colspan=3>wide</td><td colspan='0'>none</td><td colspan='many'>odd</td></tr></table>").orderBy("cell_no").collect()
     assert [(r.col_start, r.col_end) for r in got] == [(0, 0), (1, 3), (4, 4), (5, 5)]
@@ -28,30 +32,28 @@ def test_colspans_and_bad_spans(spark):
 
 def test_two_periods_from_headers(spark):
     html = "<table><caption>Condensed balance sheet of the group</caption><tr><td>As of</td><td>March 31, 2022</td><td>September 30, 2021</td></tr><tr><td>Total liabilities</td><td>7,208</td><td>(61)</td></tr></table>"
-    rows = tables.extract_table_values(cells_of(spark, html), filing(spark)).orderBy(F.desc("period_end")).collect()
+    rows = tables.extract_table_values(grid_of(spark, html), filing(spark)).orderBy(F.desc("period_end")).collect()
     assert [(r.metric_id, r.amount, r.period_end) for r in rows] == [("balance_sheet.total_liabilities", 7208.0, d.date(2022, 3, 31)), ("balance_sheet.total_liabilities", -61.0, d.date(2021, 9, 30))]
 
 
 def test_bare_years_in_annual_statement(spark):
     html = "<table><tr><td>Statements of operations of the group</td></tr><tr><td>Item</td><td>2024</td><td>|</td><td>2022</td></tr><tr><td>Cost of sales</td><td>$ 615</td><td>|</td><td>$ 1,204</td></tr></table>"
-    rows = tables.extract_table_values(cells_of(spark, html), filing(spark)).orderBy("period_end").collect()
+    rows = tables.extract_table_values(grid_of(spark, html), filing(spark)).orderBy("period_end").collect()
     assert [(r.amount, r.period_end) for r in rows] == [(1204.0, d.date(2022, 12, 31)), (615.0, d.date(2024, 12, 31))]
 
 
 def test_debt_table(spark):
     html = """<table><caption>Borrowings at year end (in millions)</caption><tr><td>Line</td><td>Effective interest rate</td><td>Carrying value of the line</td></tr>
     <tr><td>Senior note A</td><td>3.25%</td><td>81</td></tr><tr><td>Bond of 2041</td><td>2.5%</td><td>19</td></tr><tr><td>Group revolver</td><td>7%</td><td>33</td></tr><tr><td>Weighted average of all</td><td>3.75%</td><td></td></tr></table>"""
-    cells = cells_of(spark, html)
-    got = {r.metric_id.split(".")[1]: r.amount for r in tables.debt_note_values(cells, tables.table_contexts(cells)).collect()}
+    got = {r.metric_id.split(".")[1]: r.amount for r in tables.debt_note_values(grid_of(spark, html)).collect()}
     assert got == {"notes_and_bonds": 100.0, "detail_senior_notes": 81.0, "revolver_balance": 33.0, "interest_rate": 3.75}
 
 
 def test_secured_flow_and_balance(spark):
     html = "<table><caption>Long-term secured funding</caption><tr><td></td><td>Issuance in the year</td><td>Redemptions</td></tr><tr><td>Asset backed paper</td><td>208</td><td>77</td></tr></table><table><caption>Short-term unsecured funding</caption><tr><td>Other borrowings of the bank</td><td>n/a</td><td>12</td></tr></table>"
-    cells = cells_of(spark, html)
-    contexts = tables.table_contexts(cells)
-    assert sorted((r.metric_id.split("_")[-1], r.amount) for r in tables.secured_funding_flow_values(cells, contexts).collect()) == [("issuance", 208.0), ("maturities", 77.0)]
-    assert [r.amount for r in tables.funding_balance_values(cells, contexts).collect()] == [12.0]
+    grid = grid_of(spark, html)
+    assert sorted((r.metric_id.split("_")[-1], r.amount) for r in tables.secured_funding_flow_values(grid).collect()) == [("issuance", 208.0), ("maturities", 77.0)]
+    assert [r.amount for r in tables.funding_balance_values(grid).collect()] == [12.0]
 
 
 def test_undrawn_revolver(spark):
@@ -76,8 +78,8 @@ def test_embedded_facts_by_context(spark):
     html = context("s", [(seg, "x:HarbourSegmentMember")]) + context("p", [(seg, "x:HarbourSegmentMember"), ("srt:ProductOrServiceAxis", "x:PMember")]) + context("h", [(hedge, "x:AMember")]) + context("o", [(hedge, "x:AMember"), ("x:OtherAxis", "x:BMember")]) + context("c", [])
     tag = "DerivativeGainLossOnDerivativeNet"
     html += fact("s", "Revenues", "1,360") + fact("p", "Revenues", "1") + fact("h", tag, "15") + fact("h", tag, "<b>70</b>&nbsp;") + fact("o", tag, "404") + fact("c", "Revenues", "58")
-    docs = page(spark, html)
-    facts, contexts, f = documents.inline_facts(docs), documents.inline_contexts(docs), filing(spark)
+    parsed = documents.parse_documents(page(spark, html))
+    facts, contexts, f = documents.inline_facts(parsed), documents.inline_contexts(parsed), filing(spark)
     assert [(r.segment_name, r.amount, r.scale) for r in inline.segment_values(facts, contexts, f).collect()] == [("Harbour Segment", 1360.0, "millions")]
     assert [(r.amount, r.scale) for r in inline.derivative_gain_loss(facts, contexts, f).collect()] == [(85.0, "millions")]
     assert [r.amount for r in inline.core_revenue_values(facts, contexts, f).collect()] == [58.0]
@@ -95,7 +97,7 @@ def test_null_empty_and_odd_pages(spark):
     pages = spark.createDataFrame([("a", None), ("b", ""), ("c", "<table><tr></tr></table>"), ("d", "plain <b>"), ("e", "<td>stray</td>")], "accession string, html string")
     parsed = documents.parse_documents(pages)
     assert documents.table_cells(parsed).count() == 0
-    assert documents.inline_facts(pages).count() == 0
+    assert documents.inline_facts(parsed).count() == 0
 
 
 def test_truncate_at_character(spark):
@@ -113,7 +115,7 @@ def test_header_dates(spark):
 
 def test_a_page_that_fails_is_a_row(spark, monkeypatch):
     parsed = documents.parse_documents(page(spark, "<![broken]>")).collect()
-    assert all(r.kind in ("error", "block", "cell") for r in parsed)
+    assert all(r.kind in ("error", "block", "table") for r in parsed)
     from ledgerloom.operators import review
 
     bad = spark.createDataFrame([("a", "error"), ("b", "cell")], "accession string, kind string")
