@@ -161,6 +161,16 @@ def metric_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(alias_rows(), "alias string, metric_id string, position int")
 
 
+def metrics_of_aliases(spark: SparkSession) -> DataFrame:
+    """alias, metrics: what each alias may name, in the registry's order; a table of fixed size that is made without a job."""
+    known = {r[0]: r for r in rows()}
+    named: dict[str, list] = {}
+    for alias, metric, position in sorted(alias_rows(), key=lambda r: r[2]):
+        r = known[metric]
+        named.setdefault(alias, []).append((position, r[0], r[1], r[2], r[4], r[8]))
+    return spark.createDataFrame(list(named.items()), "alias string, metrics array<struct<position: int, metric_id: string, metric_name: string, domain: string, subdomain: string, unit_hint: string>>")
+
+
 def metrics_by_domain(spark: SparkSession, domain: str) -> DataFrame:
     return metric_registry(spark).where(F.col("domain") == domain)
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.registry import metric_registry
 from ledgerloom.operators.derive import OWNERS, RATIO
 from ledgerloom.sources.payloads import REPORT_VERSION
+from ledgerloom.sources.scratch import delete
 
 #: Report sheets in order.
 DOMAIN_SHEETS = ["balance_sheet", "income_statement", "cash_flow", "shareholders_equity", "segment_data", "debt_and_credit", "derivatives_and_securities", "equity_compensation", "footnotes", "mda", "valuation", "risk_factors"]
+MANIFEST, NO_COMPANY = "manifest", "__HIVE_DEFAULT_PARTITION__"
 SHEETS = ["schema", "company_overview", "filing_index", *DOMAIN_SHEETS, "provenance", "duplicate_candidates", "review_warnings", "coverage_summary", "missing_metrics", "formula_inputs"]
 
 
@@ -182,26 +187,96 @@ def filing_summary(filings: DataFrame) -> DataFrame:
 
 
 def filing_index(filings: DataFrame) -> DataFrame:
-    return filings.select("cik", "accession", "form_type", "filing_date", "period_end", "fiscal_year", "fiscal_quarter", "url_primary")
+    """One row per filing, with whether it amends another, the folder that indexes its files, and its primary document."""
+    return filings.select("cik", "accession", "form_type", "is_amendment", "filing_date", "period_end", "fiscal_year", "fiscal_quarter", F.col("url_directory").alias("url_index"), "url_primary")
 
 
 def schema_sheet(spark: SparkSession, n_periods: int) -> DataFrame:
     return spark.createDataFrame([("schema_version", REPORT_VERSION), ("period_column_count", str(n_periods)), ("layout", "one_row_per_metric_periods_as_columns")], "key string, value string").coalesce(1)
 
 
+def _part_schema(df: DataFrame) -> T.StructType:
+    """The columns of a sheet as they are read back: a partition column comes last."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name == "cik") if "cik" in df.columns else df.schema.fields
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+
+def _companies(spark: SparkSession, folder: str) -> dict[str, str]:
+    """cik and folder of the companies that a written sheet holds, from the folders' names alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return {}
+    names = [s.getPath().getName() for s in system.listStatus(where)]
+    return {n.removeprefix("cik="): f"{folder}/{n}" for n in names if n.startswith("cik=")}
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
-    """Writes each sheet as its own Parquet dataset under path, those with a cik by company; returns the sheets in order."""
+    """Writes each sheet as its own Parquet dataset under path, those with a cik by company; returns the sheets in order.
+
+    With an overview among the sheets, its companies replace what the report holds of them, in every sheet given, also where they
+    have no rows any more; other companies' rows stay. Without one, the sheets given are replaced as a whole. A null cik is a
+    company of its own. The manifest (rows and columns of each sheet) is deleted first and written last, so a report that was left
+    half-written can't be imported, and writing it again mends it.
+    """
     done = [s for s in SHEETS if s in tables]
+    spark = tables[done[0]].sparkSession
+    known = {s: schema for s, (_, schema) in manifest(spark, path).items()}
+    delete(spark, f"{path}/{MANIFEST}")
+    companies: set[str] = set()
+    if "company_overview" in tables:
+        name = F.coalesce("cik", F.lit(NO_COMPANY))
+        companies = {r.cik for r in tables["company_overview"].select(name.alias("cik")).distinct().toLocalIterator()}
     for sheet in done:
-        tables[sheet].write.mode("overwrite").parquet(f"{path}/{sheet}")
+        df, folder = tables[sheet], f"{path}/{sheet}"
+        if "cik" not in df.columns:
+            df.write.mode("overwrite").parquet(folder)
+        elif not companies:
+            df.repartition("cik").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cik").parquet(folder)
+        else:
+            stale = _company_folders(spark, folder)
+            df.repartition("cik").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik").parquet(folder)
+            fresh = {r.cik for r in df.select(F.coalesce("cik", F.lit(NO_COMPANY)).alias("cik")).distinct().toLocalIterator()}
+            for cik in (stale.keys() & companies) - fresh:
+                delete(spark, stale[cik])
+        known[sheet] = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    rows = [(s, place, _sheet(spark, path, s, known[s]).count(), known[s].json()) for place, s in enumerate(SHEETS) if s in known]
+    spark.createDataFrame(rows, "sheet string, place int, n_rows long, columns string").coalesce(1).write.parquet(f"{path}/{MANIFEST}")
     return done
 
 
+def _company_folders(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Folder by cik of the companies that a written sheet holds, from the folders' names alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+    return {n.removeprefix("cik="): f"{folder}/{n}" for n in names if n.startswith("cik=")}
+
+
+def _sheet(spark: SparkSession, path: str, sheet: str, columns: T.StructType) -> DataFrame:
+    """A written sheet with its columns in order; the cik of its folders' names stays text."""
+    return spark.read.schema(columns).parquet(f"{path}/{sheet}").select(*columns.names)
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, tuple[int, T.StructType]]:
+    """Rows and columns of each sheet of a written report; empty if there is no manifest."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    return {r.sheet: (r.n_rows, T.StructType.fromJson(json.loads(r["columns"]))) for r in spark.read.parquet(f"{path}/{MANIFEST}").orderBy("place").collect()}
+
+
 def import_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The sheets of a written report; fails if the schema sheet is missing or of another version."""
-    version = spark.read.parquet(f"{path}/schema").where("key = 'schema_version'").select("value").first()
+    """The sheets of a written report; fails if its manifest is missing (it was not written to its end), if a sheet has other numbers
+    of rows than the manifest says, or if the schema sheet is missing or of another version."""
+    listed = manifest(spark, path)
+    if not listed:
+        raise ValueError(f"no manifest in {path}: the report was not written to its end")
+    out = {s: _sheet(spark, path, s, columns) for s, (_, columns) in listed.items()}
+    version = out["schema"].where("key = 'schema_version'").select("value").first() if "schema" in out else None
     if version is None or version.value != REPORT_VERSION:
         raise ValueError(f"report schema version must be {REPORT_VERSION}, found {version and version.value}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = {s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)}
-    return {s: spark.read.parquet(f"{path}/{s}") for s in SHEETS if s in there}
+    for sheet, df in out.items():
+        if df.count() != listed[sheet][0]:
+            raise ValueError(f"{sheet} has {df.count()} rows, the manifest says {listed[sheet][0]}")
+    return out

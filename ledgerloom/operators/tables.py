@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.registry import metric_aliases, metric_registry
+from ledgerloom.functions.registry import metrics_of_aliases
 
 TABLE = ["accession", "table_no"]
 DEBT = "debt_and_credit."
@@ -113,9 +113,7 @@ def context_fits(domain: Column, unit_hint: Column, context: Column) -> Column:
 
 def match_labels(rows: DataFrame, context: str = "table_context") -> DataFrame:
     """Rows whose label n is an alias of registry metrics, with the first of these whose domain fits the table's context."""
-    spark = rows.sparkSession
-    known = metric_aliases(spark).join(metric_registry(spark).select("metric_id", "metric_name", "domain", "subdomain", "unit_hint"), "metric_id")
-    metrics = known.groupBy("alias").agg(F.array_sort(F.collect_list(F.struct("position", "metric_id", "metric_name", "domain", "subdomain", "unit_hint"))).alias("metrics"))
+    metrics = metrics_of_aliases(rows.sparkSession)
     hit = rows.where(X.label_is_usable(F.col("n"))).join(F.broadcast(metrics), F.col("n") == F.col("alias"))
     fits = lambda m: context_fits(m["domain"], m["unit_hint"], F.col(context))
     return evaluated(hit, m=F.get(F.filter("metrics", fits), 0)).where("m is not null").select(*rows.columns, "m.*").drop("position")

@@ -7,10 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import normalize_cik
 from ledgerloom.operators import derive, discovery, document_values, facts, reconcile, report, review
-from ledgerloom.sources import views
-from ledgerloom.sources.documents import parsed_once
-from ledgerloom.sources.scratch import written
+from ledgerloom.sources import payloads, views
+from ledgerloom.sources.documents import parsed_files, parsed_once
+from ledgerloom.sources.scratch import discard, written
 
 
 class FilingReport:
@@ -18,12 +19,15 @@ class FilingReport:
     document-side candidates.
 
     What several tables read is written once to the shared folder: the parse of the documents, candidates of both sides, and
-    ranked values. A lost executor loses nothing of it, and nothing stays in memory after a run.
+    ranked values. A lost executor loses nothing of it, and nothing stays in memory after a run. close(), or leaving a `with`,
+    deletes these tables.
     """
 
-    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame | None = None, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04, documents: DataFrame | None = None) -> None:
-        if (html is None) == (documents is None):
-            raise ValueError("give documents or document-side candidates, not both")
+    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame | None = None, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04, documents: DataFrame | None = None, document_folder: str | None = None) -> None:
+        if sum(x is not None for x in (html, documents, document_folder)) != 1:
+            raise ValueError("give one of documents, a folder of them, and document-side candidates")
+        self.held: list[str] = []
+        self.document_folder = document_folder
         self.issuers, self.all_filings, self.fact_rows, self.documents = issuers, filings, fact_rows, documents
         if html is not None:
             self.html = html
@@ -33,30 +37,69 @@ class FilingReport:
     def over(cls, spark: SparkSession, sf_dir: str, **how) -> FilingReport:
         return cls(views.issuers(spark, sf_dir), discovery.describe_filings(views.filings(spark, sf_dir)), views.facts(spark, sf_dir), views.html_candidates(spark, sf_dir), **how)
 
+    @classmethod
+    def from_folders(cls, spark: SparkSession, submissions: str, company_facts: str, documents: str, history: str | None = None, years: int = 10, currency: str = "USD", **how) -> FilingReport:
+        """A run over files: submission payloads, company fact payloads, filing documents, and history payloads in a folder.
+
+        History is read in a second scan, and only of companies whose recent list doesn't span `years`: their files are opened by
+        name, others aren't. Payloads are read once into written tables, so a file that changes meanwhile can't split a run.
+        """
+        held: list[str] = []
+        read = written(payloads.read_payloads(spark, submissions), "submissions", held=held)
+        headers = payloads.submission_headers(read)
+        recent = payloads.scan_submissions(read).where("status = 'ok'").drop("status")
+        all_filings, opened = recent, []
+        if history is not None:
+            files = payloads.history_files(headers)
+            coverage = discovery.history_coverage(discovery.original_filings(discovery.describe_filings(recent)), years)
+            listed = discovery.historical_files_to_fetch(coverage, files)
+            names = [r.name for r in listed.select("name").distinct().toLocalIterator()]
+            opened = [f"{history.rstrip('/')}/{name}" for name in names]
+            lists = payloads.read_files(spark, opened).withColumn("name", F.element_at(F.split("path", "/"), -1)).join(listed, "name")
+            older = payloads.scan_historical_submissions(lists).where("status = 'ok'").drop("status")
+            all_filings = written(discovery.merge_filings(recent, older), "filings", held=held)
+        identity = discovery.company_identity(headers).withColumns({"cik": normalize_cik(F.col("cik")), "reported_currency": F.lit(currency)})
+        facts_of = written(payloads.scan_company_facts(payloads.read_payloads(spark, company_facts)), "facts", held=held)
+        run = cls(identity.select("cik", "ticker", "issuer_name", "exchange", "reported_currency"), discovery.describe_filings(all_filings), facts_of, years=years, document_folder=documents, **how)
+        run.held, run.history_opened = held, opened
+        return run
+
+    def close(self) -> None:
+        """Deletes what the run has written; nothing of it can be read afterwards."""
+        discard(self.issuers.sparkSession, self.held)
+
+    def __enter__(self) -> FilingReport:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     @cached_property
     def filings(self) -> DataFrame:
         return discovery.limit_years(discovery.original_filings(self.all_filings), self.years)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return written(facts.extract_facts(self.fact_rows, self.filings), "candidates")
+        return written(facts.extract_facts(self.fact_rows, self.filings), "candidates", held=self.held)
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return parsed_once(self.documents.join(self.filings.select("accession"), "accession", "left_semi"))
+        if self.document_folder is not None:
+            return parsed_files(self.issuers.sparkSession, self.document_folder, self.filings, self.held)
+        return parsed_once(self.documents.join(self.filings.select("accession"), "accession", "left_semi"), held=self.held)
 
     @cached_property
     def html(self) -> DataFrame:
-        return written(document_values.extract_document_values(self.parsed, self.filings), "document-values")
+        return written(document_values.extract_document_values(self.parsed, self.filings), "document-values", held=self.held)
 
     @cached_property
     def narratives(self) -> DataFrame | None:
-        return None if self.documents is None else document_values.document_narratives(self.parsed, self.filings)
+        return None if self.documents is None and self.document_folder is None else document_values.document_narratives(self.parsed, self.filings)
 
     @cached_property
     def ranked(self) -> DataFrame:
         html = reconcile.drop_covered_html(self.candidates, self.html) if self.html_policy == "fallback_only" else self.html
-        return written(reconcile.ranked_values(self.candidates.unionByName(html, allowMissingColumns=True)), "ranked")
+        return written(reconcile.ranked_values(self.candidates.unionByName(html, allowMissingColumns=True)), "ranked", held=self.held)
 
     @cached_property
     def source_values(self) -> DataFrame:
@@ -91,7 +134,7 @@ class FilingReport:
     @cached_property
     def issues(self) -> DataFrame:
         parts = [review.duplicate_values(self.ranked).drop("source"), review.value_conflicts(self.ranked), review.critical_metric_missing(self.issuers, self.primary), review.critical_metric_html_only(self.primary), review.formulas_skipped(self.issuers, self.formulas)]
-        if self.documents is not None:
+        if self.narratives is not None:
             parts.append(review.documents_skipped(self.parsed, self.filings))
         out = parts[0]
         for p in parts[1:]:

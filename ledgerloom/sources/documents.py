@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.sources.payloads import read_payloads
-from ledgerloom.sources.scratch import written
+from ledgerloom.sources.scratch import settings, written
 
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "div", "span")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -203,17 +203,55 @@ def parse_documents(documents: DataFrame, key: str = "accession", html: str = "h
     return source.mapInArrow(run, out)
 
 
-def parsed_once(documents: DataFrame, key: str = "accession", html: str = "html") -> DataFrame:
+def parsed_once(documents: DataFrame, key: str = "accession", html: str = "html", held: list[str] | None = None) -> DataFrame:
     """parse_documents as a written table with a folder for each kind, so a reader of one kind reads nothing else."""
-    return written(parse_documents(documents, key, html), "parsed", ["kind"])
+    return written(parse_documents(documents, key, html), "parsed", ["kind"], held)
+
+
+def accession_of(path: Column) -> Column:
+    """The accession in a path: <cik>/<accession without dashes>/<name>, or a file named by its accession; null without."""
+    pattern = r"([0-9]{10})-?([0-9]{2})-?([0-9]{6})(?:/[^/]*|[^/0-9][^/]*)?$"
+    parts = [F.regexp_extract(path, pattern, k) for k in range(4)]
+    return F.when(parts[0] != "", F.concat_ws("-", *parts[1:]))
+
+
+def list_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, accession of the files under a folder (or a glob), without reading any."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listed.select("path", "length", accession_of(F.col("path")).alias("accession"))
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """accession, html, path of a folder of filing documents, one a file: <cik>/<accession without dashes>/<name>, or files named
-    by their accession. A file whose path has no accession gets a null one."""
-    plain = F.regexp_extract("path", r"([0-9]{10})-?([0-9]{2})-?([0-9]{6})(?:/[^/]*|[^/0-9][^/]*)?$", 0)
-    part = lambda k: F.regexp_extract("path", r"([0-9]{10})-?([0-9]{2})-?([0-9]{6})(?:/[^/]*|[^/0-9][^/]*)?$", k)
-    return read_payloads(spark, path).select(F.when(plain != "", F.concat_ws("-", part(1), part(2), part(3))).alias("accession"), F.col("payload").alias("html"), "path")
+    """accession, html, path of a folder of filing documents, one a file: see accession_of."""
+    return read_payloads(spark, path).select(accession_of(F.col("path")).alias("accession"), F.col("payload").alias("html"), "path")
+
+
+def scan_listed(listed: DataFrame) -> DataFrame | None:
+    """accession, html of list_documents rows; None for none. Only these files are opened. Their paths pass through the driver, as
+    those of any file scan do; pages don't meet a shuffle."""
+    paths = [r.path for r in listed.select("path").distinct().toLocalIterator()]
+    if not paths:
+        return None
+    read = listed.sparkSession.read.text(paths, wholetext=True)
+    return read.select(accession_of(F.col("_metadata.file_path")).alias("accession"), F.col("value").alias("html"))
+
+
+#: Bytes of pages that one task parses (a larger page is a task by itself), and what opening a file counts for.
+TASK_BYTES, OPEN_BYTES = 8 << 20, 64 << 10
+
+
+def parsed_files(spark: SparkSession, path: str, filings: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """The parse of those documents under a folder that belong to filings(accession, ..), written as by parsed_once.
+
+    Files of other filings are listed and not opened. Files are dealt to tasks by their length, largest first, up to TASK_BYTES a
+    task: a small multiple of what parsing a page takes, so one large filing holds up one task and not the pages beside it.
+    """
+    wanted = list_documents(spark, path).join(filings.select("accession").distinct(), "accession", "left_semi")
+    pages = scan_listed(wanted)
+    if pages is None:
+        pages = spark.createDataFrame([], "accession string, html string")
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(TASK_BYTES), spark__sql__files__openCostInBytes=str(OPEN_BYTES)):
+        return parsed_once(pages, held=held)
 
 
 def document_tables(parsed: DataFrame, key: str = "accession") -> DataFrame:

@@ -20,6 +20,13 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.input_file_name().alias("path"))
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As read_payloads, of a list of files; no rows for an empty list."""
+    if not paths:
+        return spark.createDataFrame([], "payload string, path string")
+    return spark.read.text(paths, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("path"))
+
+
 def _date(x):
     return F.try_to_date(x, "yyyy-MM-dd")
 
@@ -63,6 +70,13 @@ def submission_headers(payloads: DataFrame, payload: str = "payload") -> DataFra
     return payloads.select(F.from_json(payload, SUBMISSIONS_DDL).alias("j")).select("j.cik", "j.name", "j.tickers", "j.exchanges", "j.fiscalYearEnd", F.col("j.filings.files").alias("files"))
 
 
+def history_files(headers: DataFrame) -> DataFrame:
+    """cik, name of the history files that submission headers list."""
+    from ledgerloom.functions.text import normalize_cik
+
+    return headers.select(normalize_cik(F.col("cik")).alias("cik"), F.explode("files").alias("f")).select("cik", "f.name").where("name is not null")
+
+
 def scan_ticker_index(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """position (text key), cik, ticker, title."""
     j = payloads.select(F.explode(F.from_json(payload, "MAP<STRING, STRUCT<cik_str: STRING, ticker: STRING, title: STRING>>")).alias("position", "r"))
