@@ -152,6 +152,11 @@ def metric_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), "metric_id string, metric_name string, domain string, statement string, subdomain string, sort_order int, position int, tags array<string>, unit_hint string")
 
 
+def known_tags() -> list[str]:
+    """All tags of the registry."""
+    return sorted({t for r in rows() for t in r[7]})
+
+
 def metric_tags(spark: SparkSession) -> DataFrame:
     """One row per (metric, tag); tag_priority 0 is the first preferred tag."""
     return metric_registry(spark).select("metric_id", "metric_name", "domain", "subdomain", "position", F.posexplode("tags").alias("tag_priority", "tag"))

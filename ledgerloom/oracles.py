@@ -93,6 +93,15 @@ html AS (
   FROM html0)"""
 
 
+#: Filings by the recent list of 2016 on, and by all where that doesn't span four report years; each company's latest filing.
+FROM_FILES = """
+spanned AS (SELECT cik, min(year(period_end)) <= max(year(period_end)) - 3 AS ok FROM selected WHERE year(filing_date) >= 2016 GROUP BY cik),
+pool AS (SELECT s.* FROM selected s LEFT JOIN spanned c ON s.cik = c.cik WHERE year(s.filing_date) >= 2016 OR NOT coalesce(c.ok, false)),
+picked AS (SELECT * FROM pool QUALIFY max(year(period_end)) OVER (PARTITION BY cik) IS NULL OR period_end IS NULL OR year(period_end) >= max(year(period_end)) OVER (PARTITION BY cik) - 3),
+latest AS (SELECT * FROM described QUALIFY row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession DESC) = 1),
+"""
+
+
 def matched(known: str) -> str:
     """Facts matched to selected filings, with scores."""
     return f"""
@@ -387,7 +396,9 @@ ORACLE_SQL |= {
     "company_identity": w(BASE, "SELECT cik, issuer_name, CASE WHEN cik::BIGINT % 3 <> 0 THEN ticker END AS ticker, CASE WHEN cik::BIGINT % 3 <> 0 THEN exchange END AS exchange, '1231' AS fiscal_year_end FROM issuers"),
     "company_summary": w(BASE, "SELECT cik, issuer_name, ticker FROM issuers"),
     "filing_summary": w(BASE, "SELECT cik, accession AS accession_number, form_type FROM selected"),
-    "filing_index": w(BASE, "SELECT cik, accession, form_type, filing_date, period_end, fiscal_year, fiscal_quarter, url_primary FROM selected"),
+    "filing_index": w(BASE, "SELECT cik, accession, form_type, form_text LIKE '%/A' AS is_amendment, filing_date, period_end, fiscal_year, fiscal_quarter, '{ARCHIVE}' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' AS url_index, url_primary FROM selected".replace("{ARCHIVE}", ARCHIVE)),
+    "report_from_files": w(f"{BASE},{EXTRACT}".replace("JOIN selected f", "JOIN picked f").replace("facts0 AS (", FROM_FILES + "facts0 AS (", 1), "SELECT p.cik, p.accession, p.form_type, p.filing_date, p.period_end, CASE WHEN p.accession = l.accession THEN l.o_orderkey::DOUBLE END AS revenue, coalesce(n, 0) AS n_facts FROM picked p LEFT JOIN latest l ON p.cik = l.cik LEFT JOIN (SELECT accession, count(*) AS n FROM candidates GROUP BY accession) c ON p.accession = c.accession"),
+    "report_by_company": w(BASE, "SELECT cik, 4::BIGINT AS n, 'company_overview' AS sheet FROM issuers UNION ALL SELECT f.cik, count(*), 'filing_index' FROM described f LEFT JOIN issuers i ON f.cik = i.cik WHERE i.exchange IS DISTINCT FROM 'BUILDING' OR (f.form_text NOT LIKE '%/A' AND f.form_type IN ('10-K', '10-Q')) GROUP BY f.cik"),
     "registry_labels": w(BASE, "SELECT r.metric_id, coalesce(statement, 'other') AS statement_label, domain AS sheet, (SELECT count(*) FROM facts f JOIN tags t ON lower(f.tag) = lower(t.tag) WHERE t.metric_id = r.metric_id) AS n_facts FROM registry r WHERE domain = 'balance_sheet' OR r.metric_id = 'income_statement.net_income'"),
     "extract_facts_exact": w(f"{BASE},{EXTRACT.replace('score DESC', 'score')}", "SELECT cik, metric_id, accession, period_key, amount, xbrl_tag, score::INT AS score, pos FROM candidates"),
     "numeric_cells": f"WITH l AS (SELECT *, l_quantity::INT AS q, {among(['balance_sheet.long_term_debt', 'debt_and_credit.interest_rate', 'income_statement.revenue'], 'l_partkey')} AS metric_id, {among(['currency', 'percentage', 'ratio', 'shares', 'text', 'per_share'], 'l_suppkey')} AS hint FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {CELL_TEXT} AS text, ({CELL_NUMBER})::DOUBLE AS number, l_linenumber % 5 = 2 AS percentage, CASE WHEN hint IN ('percentage', 'ratio', 'shares', 'text') THEN hint ELSE 'other' END AS unit, hint, metric_id <> 'debt_and_credit.interest_rate' OR abs({CELL_NUMBER}) <= 100 AS plausible, metric_id FROM l",

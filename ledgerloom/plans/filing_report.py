@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.registry import known_tags
 from ledgerloom.functions.text import normalize_cik
 from ledgerloom.operators import derive, discovery, document_values, facts, reconcile, report, review
 from ledgerloom.sources import payloads, views
@@ -41,8 +42,8 @@ class FilingReport:
     def from_folders(cls, spark: SparkSession, submissions: str, company_facts: str, documents: str, history: str | None = None, years: int = 10, currency: str = "USD", **how) -> FilingReport:
         """A run over files: submission payloads, company fact payloads, filing documents, and history payloads in a folder.
 
-        History is read in a second scan, and only of companies whose recent list doesn't span `years`: their files are opened by
-        name, others aren't. Payloads are read once into written tables, so a file that changes meanwhile can't split a run.
+        History is read in a second scan, and only of companies whose recent list doesn't span `years`: their files (their names
+        hold CIK) are opened by name, others aren't. Payloads are read once into written tables, so a file that changes meanwhile can't split a run.
         """
         held: list[str] = []
         read = written(payloads.read_payloads(spark, submissions), "submissions", held=held)
@@ -55,11 +56,12 @@ class FilingReport:
             listed = discovery.historical_files_to_fetch(coverage, files)
             names = [r.name for r in listed.select("name").distinct().toLocalIterator()]
             opened = [f"{history.rstrip('/')}/{name}" for name in names]
-            lists = payloads.read_files(spark, opened).withColumn("name", F.element_at(F.split("path", "/"), -1)).join(listed, "name")
+            of_file = F.regexp_extract("path", r"/([^/]*CIK[^/]*)(?:/[^/]*)?$", 1)  # a file, or a folder of one
+            lists = payloads.read_files(spark, opened).withColumn("name", of_file).join(listed, "name")
             older = payloads.scan_historical_submissions(lists).where("status = 'ok'").drop("status")
             all_filings = written(discovery.merge_filings(recent, older), "filings", held=held)
         identity = discovery.company_identity(headers).withColumns({"cik": normalize_cik(F.col("cik")), "reported_currency": F.lit(currency)})
-        facts_of = written(payloads.scan_company_facts(payloads.read_payloads(spark, company_facts)), "facts", held=held)
+        facts_of = written(payloads.scan_company_facts(payloads.read_payloads(spark, company_facts), tags=known_tags()), "facts", held=held)
         run = cls(identity.select("cik", "ticker", "issuer_name", "exchange", "reported_currency"), discovery.describe_filings(all_filings), facts_of, years=years, document_folder=documents, **how)
         run.held, run.history_opened = held, opened
         return run

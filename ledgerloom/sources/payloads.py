@@ -31,11 +31,16 @@ def _date(x):
     return F.try_to_date(x, "yyyy-MM-dd")
 
 
-def scan_company_facts(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per fact, with pos its place in the payload's list. Missing fields are null; cik may be a string or a number."""
+def scan_company_facts(payloads: DataFrame, payload: str = "payload", tags: list[str] | None = None) -> DataFrame:
+    """One row per fact, with pos its place in the payload's list. Missing fields are null; cik may be a string or a number. With
+    tags, a list of fixed size, others (whatever their case) are dropped inside the payload and never become rows."""
     from ledgerloom.functions.text import normalize_cik
 
-    j = payloads.select(F.from_json(payload, FACTS_DDL).alias("j")).select("j.cik", "j.entityName", F.explode("j.facts").alias("taxonomy", "tags"))
+    facts = F.col("j.facts")
+    if tags is not None:
+        wanted = sorted({t.lower() for t in tags})
+        facts = F.transform_values(facts, lambda _, t: F.map_filter(t, lambda tag, __: F.lower(tag).isin(*wanted)))
+    j = payloads.select(F.from_json(payload, FACTS_DDL).alias("j")).select("j.cik", "j.entityName", F.explode(facts).alias("taxonomy", "tags"))
     j = j.select("cik", "entityName", "taxonomy", F.explode("tags").alias("tag", "t")).select("cik", "entityName", "taxonomy", "tag", "t.label", F.explode("t.units").alias("unit", "list"))
     j = j.select("cik", "entityName", "taxonomy", "tag", "label", "unit", F.posexplode("list").alias("pos", "f"))
     return j.select(normalize_cik(F.col("cik")).alias("cik"), F.col("entityName").alias("entity_name"), "taxonomy", "tag", "label", "unit", _date(F.col("f.start")).alias("period_start"), _date(F.col("f.end")).alias("period_end"), "f.val", "f.accn", "f.fy", "f.fp", "f.form", _date(F.col("f.filed")).alias("filed"), "f.frame", "pos")
