@@ -25,6 +25,8 @@ from ledgerloom.llm.tokenized import encoder
 PER_PARTITION = 1 << 40
 #: Filled bins that wait for documents to top them up.
 WAITING = 32
+#: Pieces of text whose ids a worker remembers (300 bytes each): workers outlive a stage, and the next one needs memory too.
+REMEMBERED = 800_000
 
 
 #: A piece of a document: id, first token, tokens of the document, token ids in bytes.
@@ -113,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "padding", "ids"]
 
     def run(batches):
-        encode, bins, number, kind = encoder(tokenizer).encode, Bins(capacity), TaskContext.get().partitionId() * PER_PARTITION, None
+        encode, bins, number, kind = encoder(tokenizer, REMEMBERED).encode, Bins(capacity), TaskContext.get().partitionId() * PER_PARTITION, None
 
         def rows(sequences):
             nonlocal number

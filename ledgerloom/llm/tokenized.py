@@ -143,11 +143,12 @@ class PieceEncoder:
         return b"".join(ids)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, limit: int = 1_400_000) -> PieceEncoder:
+    """One encoder for each worker process, vocabulary and limit of remembered pieces."""
+    key = (path, limit)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
