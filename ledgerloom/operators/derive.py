@@ -59,12 +59,14 @@ def adjusted_earnings_ratio(inputs: DataFrame) -> DataFrame:
 
 
 def compute_formulas(metrics: DataFrame, treasury_yield: float = 0.04, working_capital: float = 0.0, strict: bool = False) -> DataFrame:
-    """(cik, period_key, metric_id, amount, status, inputs) for both formulas. strict: an invalid input anywhere voids all of a
+    """(cik, period_key, metric_id, amount, status, inputs, missing_input) for both formulas; missing_input is the first required
+    input, in the formula's order, that a period lacks. strict: an invalid input anywhere voids all of a
     company's outputs."""
     wide = adjusted_earnings_ratio(owners_earnings(formula_inputs(metrics), treasury_yield, working_capital))
     of = lambda names: F.filter(F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col(n).alias("amount")) for n, m in names.items()]), lambda x: x["amount"].isNotNull())
-    one = lambda metric, value, status, names: F.struct(F.lit(metric).alias("metric_id"), F.col(value).alias("amount"), F.col(status).alias("status"), of(names).alias("inputs"))
-    rows = F.array(one(OWNERS, "owners_earnings", "owners_status", REQUIRED_OWNERS), one(RATIO, "earnings_ratio", "ratio_status", REQUIRED_RATIO | OPTIONAL_RATIO))
+    lacking = lambda required: F.coalesce(*[F.when(F.col(n).isNull(), F.lit(m)) for n, m in required.items()])
+    one = lambda metric, value, status, names, required: F.struct(F.lit(metric).alias("metric_id"), F.col(value).alias("amount"), F.col(status).alias("status"), of(names).alias("inputs"), lacking(required).alias("missing_input"))
+    rows = F.array(one(OWNERS, "owners_earnings", "owners_status", REQUIRED_OWNERS, REQUIRED_OWNERS), one(RATIO, "earnings_ratio", "ratio_status", REQUIRED_RATIO | OPTIONAL_RATIO, REQUIRED_RATIO))
     out = wide.select("cik", "period_key", F.explode(rows).alias("r")).select("cik", "period_key", "r.*")
     if strict:
         bad = F.max((F.col("status") == "invalid_input").cast("int")).over(Window.partitionBy("cik")) == 1

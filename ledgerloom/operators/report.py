@@ -17,6 +17,7 @@ from ledgerloom.sources.scratch import delete
 #: Report sheets in order.
 DOMAIN_SHEETS = ["balance_sheet", "income_statement", "cash_flow", "shareholders_equity", "segment_data", "debt_and_credit", "derivatives_and_securities", "equity_compensation", "footnotes", "mda", "valuation", "risk_factors"]
 MANIFEST, NO_COMPANY = "manifest", "__HIVE_DEFAULT_PARTITION__"
+HEADERS = "period_headers"  # written beside the sheets, where these have positional columns
 SHEETS = ["schema", "company_overview", "filing_index", *DOMAIN_SHEETS, "provenance", "duplicate_candidates", "review_warnings", "coverage_summary", "missing_metrics", "formula_inputs"]
 
 
@@ -59,6 +60,25 @@ def metric_rows(primary: DataFrame, formulas: DataFrame | None = None, narrative
     return out
 
 
+def period_headers(values: DataFrame) -> DataFrame:
+    """cik, position, period_key, column_label: a company's periods in order from 1, as column heads of its wide sheets. values may
+    lack the fiscal columns, or have them in some rows only; a period without any is labelled by its key."""
+    v = _with(values, "period_label", "fiscal_quarter")
+    v = v if "fiscal_year" in v.columns else v.withColumn("fiscal_year", F.lit(None).cast("int"))
+    known = period_columns(v.where("fiscal_year is not null or trim(period_label) <> ''"))
+    keys = v.where("period_key is not null").select("cik", "period_key").distinct()
+    position = F.row_number().over(Window.partitionBy("cik").orderBy("period_key"))
+    return keys.join(known, ["cik", "period_key"], "left").select("cik", position.alias("position"), "period_key", F.coalesce("column_label", "period_key").alias("column_label"))
+
+
+def domain_positions(rows: DataFrame, domain: str, headers: DataFrame, width: int) -> DataFrame:
+    """Wide rows of a domain with columns p_1 to p_<width>: each company's own periods by position in headers. With the largest
+    position there is as width, every period of every company has its column and none is dropped."""
+    placed = rows.where(F.col("domain") == domain).join(headers.select("cik", "period_key", "position"), ["cik", "period_key"])
+    wide = placed.groupBy("cik", "row_id", "row_label").pivot("position", list(range(1, width + 1))).agg(F.max_by("value", "seq"))
+    return wide.select("cik", "row_id", "row_label", *[F.col(f"`{k}`").alias(f"p_{k}") for k in range(1, width + 1)])
+
+
 def domain_pivot(rows: DataFrame, domain: str, periods: list[str]) -> DataFrame:
     """Wide rows of a domain with a column for each of `periods`, a list fixed for the run; of rows with one id and period the
     last one (by seq) wins."""
@@ -219,7 +239,7 @@ def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
     company of its own. The manifest (rows and columns of each sheet) is deleted first and written last, so a report that was left
     half-written can't be imported, and writing it again mends it.
     """
-    done = [s for s in SHEETS if s in tables]
+    done = [s for s in [*SHEETS, HEADERS] if s in tables]
     spark = tables[done[0]].sparkSession
     known = {s: schema for s, (_, schema) in manifest(spark, path).items()}
     delete(spark, f"{path}/{MANIFEST}")
@@ -240,7 +260,7 @@ def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
             for cik in (stale.keys() & companies) - fresh:
                 delete(spark, stale[cik])
         known[sheet] = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-    rows = [(s, place, _sheet(spark, path, s, known[s]).count(), known[s].json()) for place, s in enumerate(SHEETS) if s in known]
+    rows = [(s, place, _sheet(spark, path, s, known[s]).count(), known[s].json()) for place, s in enumerate([*SHEETS, HEADERS]) if s in known]
     spark.createDataFrame(rows, "sheet string, place int, n_rows long, columns string").coalesce(1).write.parquet(f"{path}/{MANIFEST}")
     return done
 

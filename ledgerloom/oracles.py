@@ -224,6 +224,10 @@ formulas AS (
     depreciation, capex, stock_comp, share_change
   FROM inputs)"""
 
+#: The first required input, in each formula's order, that a period lacks.
+LACKS_OWNERS = "CASE WHEN net_income IS NULL THEN 'income_statement.net_income' WHEN depreciation IS NULL THEN 'cash_flow.depreciation_and_amortization' WHEN capex IS NULL THEN 'cash_flow.capital_expenditures' END"
+LACKS_RATIO = "CASE WHEN net_income IS NULL THEN 'income_statement.net_income' WHEN stock_comp IS NULL THEN 'equity_compensation.stock_based_comp_expense' END"
+
 RENDERED = f"""
 docs0 AS (SELECT f.*, l.* FROM lineitem l JOIN described f ON l_orderkey = o_orderkey WHERE period_end IS NOT NULL),
 doc_lines AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTITION BY accession ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT)::INT AS row_no FROM docs0)"""
@@ -406,6 +410,12 @@ ORACLE_SQL |= {
     "truncated_texts": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'x' || repeat(chr(233), least(p_size, 19)) ELSE repeat(chr(233), least(p_size, 20)) END AS text FROM part",
     "fx_scan": f"SELECT {among(['EUR', 'GBP', 'JPY', 'CHF'], 'user_id')} AS from_currency, 'USD' AS to_currency, ts::DATE AS date, (avg(value::DECIMAL(18, 2)))::DECIMAL(18, 4)::DOUBLE AS rate, 'given' AS provider_name FROM events GROUP BY 1, 3",
     "document_values": w(DOCUMENTS, DOCUMENT_VALUES),
+    "domain_positions": w(f"{RUN}, places AS (SELECT cik, period_key, row_number() OVER (PARTITION BY cik ORDER BY period_key)::INT AS place FROM (SELECT DISTINCT cik, period_key FROM primary_values))", "SELECT p.cik, p.metric_id AS row_id, k.place AS \"position\", max(amount) AS amount FROM primary_values p JOIN registry r ON r.metric_id = p.metric_id JOIN places k ON p.cik = k.cik AND p.period_key = k.period_key WHERE r.domain = 'balance_sheet' GROUP BY ALL"),
+    "formula_failures": w(f"{RUN},{FORMULAS}", f"SELECT cik, period_key, 'valuation.owners_earnings_placeholder' AS formula, {LACKS_OWNERS} AS missing_input FROM formulas WHERE owners_status = 'missing_input' UNION ALL SELECT cik, period_key, 'valuation.adjusted_earnings_ratio_placeholder', {LACKS_RATIO} FROM formulas WHERE ratio_status = 'missing_input'"),
+    "issue_messages": w(f"{RUN},{FORMULAS},{RULES}", f"""SELECT cik, 'duplicate_source_values' AS code, metric_id, period_key, segment_key, CASE source WHEN 'xbrl' THEN 'structured facts' ELSE 'documents' END || ' give ' || n || ' values for one metric and period; the first was taken, the others are in provenance' AS message FROM flags WHERE n > 1 AND NOT identical AND NOT ({SUPPRESSED})
+UNION ALL SELECT i.cik, 'valuation_placeholder_skipped', NULL, NULL, NULL, coalesce('no formula could be computed: most periods lack ' || m.missing, 'no formula could be computed: there are no inputs') FROM issuers i
+LEFT JOIN (SELECT cik, missing FROM (SELECT cik, missing, count(*) AS k FROM (SELECT cik, {LACKS_OWNERS} AS missing FROM formulas UNION ALL SELECT cik, {LACKS_RATIO} FROM formulas) WHERE missing IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cik ORDER BY k DESC, missing) = 1) m ON i.cik = m.cik
+WHERE i.cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio_status = 'ok')"""),
     "issue_counts": w(f"{RUN},{FORMULAS},{RULES}", f"SELECT cik, code, count(*) AS n FROM (SELECT cik, code FROM ({CONFLICTS}) UNION ALL SELECT cik, code FROM ({ISSUES_CRITICAL}) UNION ALL SELECT cik, 'valuation_placeholder_skipped' FROM issuers WHERE cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio_status = 'ok') UNION ALL SELECT cik, 'duplicate_source_values' FROM flags WHERE n > 1 AND NOT identical AND NOT ({SUPPRESSED})) GROUP BY ALL"),
     "provenance_sheet": w(RUN, "SELECT s.cik, s.metric_id, r.metric_name AS metric_label, r.domain, period_key, segment_key, selected_as_primary, source, decision, amount, s.accession, CASE source WHEN 'xbrl' THEN 'api_xbrl_facts' ELSE 'filing_html' END AS source_method, xbrl_tag, f.url_primary AS filing_url, review_note FROM source_values s LEFT JOIN registry r ON r.metric_id = s.metric_id LEFT JOIN (SELECT accession, url_primary FROM selected QUALIFY max(year(period_end)) OVER (PARTITION BY cik) IS NULL OR period_end IS NULL OR year(period_end) > max(year(period_end)) OVER (PARTITION BY cik) - 10) f ON f.accession = s.accession"),
     "provenance_of_assets": w(RUN, "SELECT cik, period_key, source, accession, amount FROM source_values WHERE metric_id = 'balance_sheet.total_assets'"),

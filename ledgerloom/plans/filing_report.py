@@ -143,23 +143,34 @@ class FilingReport:
             out = out.unionByName(p)
         return out
 
-    def tables(self, periods: list[str]) -> dict[str, DataFrame]:
-        """All report sheets; wide sheets have a column for each of `periods`."""
+    @cached_property
+    def headers(self) -> DataFrame:
+        """Column heads of wide sheets: every period of each company that any value or formula has."""
+        of_formulas = self.formulas.where("status = 'ok'").select("cik", "period_key")
+        heads = report.period_headers(self.reported_values.unionByName(of_formulas, allowMissingColumns=True))
+        return written(heads, "period-headers", held=self.held)
+
+    def tables(self, periods: list[str] | None = None) -> dict[str, DataFrame]:
+        """All report sheets. Wide sheets have a column for each of `periods`, or, without them, as many as the company with most
+        periods has; period_headers then says what each stands for."""
         spark = self.issuers.sparkSession
+        width = len(periods) if periods is not None else self.headers.agg(F.coalesce(F.max("position"), F.lit(0)).alias("n")).first().n
+        wide = lambda d: report.domain_pivot(rows, d, periods) if periods is not None else report.domain_positions(rows, d, self.headers, width)
         records = report.provenance_records(self.source_values, self.filings)
         covered = report.with_notes(report.coverage(self.issuers, self.reported_values, self.formulas))
         rows = report.metric_rows(self.reported_values.where("selected_as_primary and amount is not null"), self.formulas, self.narratives)
         return {
-            "schema": report.schema_sheet(spark, len(periods)),
+            "schema": report.schema_sheet(spark, width),
             "company_overview": report.company_overview(self.issuers),
             "filing_index": report.filing_index(self.filings),
-            **{d: report.domain_pivot(rows, d, periods) for d in report.DOMAIN_SHEETS},
+            **{d: wide(d) for d in report.DOMAIN_SHEETS},
             "provenance": records,
             "duplicate_candidates": report.duplicate_candidates(records),
             "review_warnings": self.issues,
             "coverage_summary": covered,
             "missing_metrics": report.missing_metrics(covered),
             "formula_inputs": report.formula_input_records(self.formulas, self.primary),
+            **({} if periods is not None else {report.HEADERS: self.headers}),
         }
 
 

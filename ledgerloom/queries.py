@@ -316,13 +316,13 @@ def issues_duplicates(spark, sf_dir):
 
 @query
 def issues_conflicts(spark, sf_dir):
-    return review.value_conflicts(FilingReport.over(spark, sf_dir, html_policy="keep_all").ranked)
+    return review.value_conflicts(FilingReport.over(spark, sf_dir, html_policy="keep_all").ranked).drop("segment_name", "message")
 
 
 @query
 def issues_critical(spark, sf_dir):
     run = FilingReport.over(spark, sf_dir)
-    return review.critical_metric_missing(run.issuers, run.primary).unionByName(review.critical_metric_html_only(run.primary))
+    return review.critical_metric_missing(run.issuers, run.primary).unionByName(review.critical_metric_html_only(run.primary)).drop("segment_name", "message")
 
 
 @query
@@ -669,3 +669,29 @@ def report_by_company(spark, sf_dir):
     out = report.import_report(spark, path)
     counted = [out[s].groupBy("cik").agg(F.count(F.lit(1)).alias("n")).withColumn("sheet", F.lit(s)) for s in ("company_overview", "filing_index")]
     return counted[0].unionByName(counted[1])
+
+
+@query
+def domain_positions(spark, sf_dir):
+    """The balance sheet with each company's own periods as columns, every one of them, turned back into rows."""
+    run = FilingReport.over(spark, sf_dir)
+    headers = report.period_headers(run.primary)
+    width = headers.agg(F.max("position").alias("n")).first().n
+    wide = report.domain_positions(report.metric_rows(run.primary), "balance_sheet", headers, width)
+    long = wide.unpivot(["cik", "row_id", "row_label"], [f"p_{k}" for k in range(1, width + 1)], "column", "value").where("value is not null")
+    return long.select("cik", "row_id", F.substring("column", 3, 9).cast("int").alias("position"), F.col("value").cast("double").alias("amount"))
+
+
+@query
+def formula_failures(spark, sf_dir):
+    """Formulas that a period has no value of, and the first input that it lacks."""
+    f = FilingReport.over(spark, sf_dir).formulas.where("status = 'missing_input'")
+    return f.select("cik", "period_key", F.col("metric_id").alias("formula"), "missing_input")
+
+
+@query
+def issue_messages(spark, sf_dir):
+    """What the review says of duplicate values and of companies without formulas."""
+    run = FilingReport.over(spark, sf_dir)
+    found = review.duplicate_values(run.ranked).drop("source").unionByName(review.formulas_skipped(run.issuers, run.formulas))
+    return found.select("cik", "code", "metric_id", "period_key", "segment_key", "message")

@@ -118,9 +118,9 @@ def test_a_page_that_fails_is_a_row(spark, monkeypatch):
     assert all(r.kind in ("error", "block", "table") for r in parsed)
     from ledgerloom.operators import review
 
-    bad = spark.createDataFrame([("a", "error"), ("b", "cell")], "accession string, kind string")
+    bad = spark.createDataFrame([("a", "error", "ValueError: odd"), ("b", "table", None)], "accession string, kind string, text string")
     got = review.documents_skipped(bad, filing(spark)).collect()
-    assert [(r.code, r.period_key) for r in got] == [("html_fallback_skipped", "a")]
+    assert [(r.code, r.period_key, r.message) for r in got] == [("html_fallback_skipped", "a", "the document could not be read: ValueError: odd (a)")]
 
 
 def test_document_folder(spark, tmp_path):
