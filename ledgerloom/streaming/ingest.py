@@ -31,6 +31,7 @@ def stream_filings(spark: SparkSession, submissions: str, history: str, files_pe
     recent = scan_submissions(read(submissions)).withColumn("source_priority", F.lit(0))
     older = scan_historical_submissions(read(history)).withColumn("source_priority", F.lit(1))
     both = recent.unionByName(older).where("status = 'ok' and accession is not null").drop("status")
+    both = both.withColumn("cik", F.nullif("cik", F.lit("")))  # nullable in every batch, also in one of one kind of files only: the state's schema stays
     columns = [c for c in both.columns if c not in ("accession", "source_priority")]
     first = F.min_by(F.struct(*columns), F.struct("source_priority", "filing_date", "cik"))
     return both.groupBy("accession").agg(first.alias("f")).select("accession", "f.*")

@@ -1,6 +1,7 @@
 """The whole program from files: payloads, history and documents in folders, and reports rewritten by company."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,9 +72,12 @@ def test_report_from_folders(spark, folders):
         assert list(sheets) == report.SHEETS
         assert {r.cik[-1] for r in sheets["company_overview"].collect()} == {"1", "2", "3"}
         assert sheets["review_warnings"].where("code = 'analyst_critical_metric_missing'").where(F.col("cik").endswith("3")).count() == 12
+        wide = run.tables()
+        assert list(wide) == [*report.SHEETS, report.HEADERS]
+        heads = {(r.cik[-1], r.position): r.period_key for r in wide[report.HEADERS].collect()}
+        assert heads == {(c, k + 1): f"{y}-12-31" for c in "12" for k, y in enumerate((2022, 2023, 2024))}
+        assert {(r.cik[-1], r.p_1, r.p_2, r.p_3) for r in wide["balance_sheet"].collect()} == {("1", "3022.0", "3023.0", "3024.0"), ("2", "4022.0", "4023.0", "4024.0")}
         held = [p.removeprefix("file://") for p in run.held]
-    import os
-
     assert held and not any(os.path.exists(p) for p in held)
 
 
