@@ -22,6 +22,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,10 +116,10 @@ def most_shared(a: bytes | None, b: bytes | None, most: int, before_a=(), before
     return int(np.minimum(*(n.reshape(-1, size).sum(axis=0) for n in each)).sum())
 
 
-def sketches(source: DataFrame, shingle: int, similarity: float, of_hashes=None) -> DataFrame:
+def sketches(source: DataFrame, shingle: int, similarity: float, of_hashes=None) -> tuple[DataFrame, Broadcast]:
     """(row, id, text_hash, same, n, mark, anchors, prefix, classes) for each row of source(id, text_hash, t): a number, a 128-bit digest and the size of
     its shingle set, of_hashes of all its shingles (a 64-bit number; null without), its shingles of smallest hash, those of prefix
-    filtering, and its histogram."""
+    filtering, and its histogram. The broadcast is the shingles' counts, to be destroyed once the rows are written."""
     counts = source.sparkSession.sparkContext.broadcast(shingle_counts(source, shingle))
 
     def sketch(batches):
@@ -131,7 +132,7 @@ def sketches(source: DataFrame, shingle: int, similarity: float, of_hashes=None)
 
     longs = T.ArrayType(T.LongType())
     fields = {"row": T.LongType(), "id": source.schema["id"].dataType, "text_hash": T.LongType(), "same": T.BinaryType(), "n": T.IntegerType(), "mark": T.LongType(), "anchors": longs, "prefix": longs, "classes": T.BinaryType()}
-    return source.select(F.monotonically_increasing_id().alias("row"), "id", "text_hash", "t").mapInArrow(sketch, T.StructType([T.StructField(c, t) for c, t in fields.items()]))
+    return source.select(F.monotonically_increasing_id().alias("row"), "id", "text_hash", "t").mapInArrow(sketch, T.StructType([T.StructField(c, t) for c, t in fields.items()])), counts
 
 
 def likely_pairs(reps: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def tiles(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, keys).select(*keys, "node", "n", "at", "comp", "shorter", F.explode(places).alias("p")).select("*", "p.*").drop("p")
 
 
-def sets_of(source: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+def sets_of(source: DataFrame, asked: DataFrame, shingle: int) -> tuple[DataFrame, Broadcast]:
     """(same, set): the shingle sets of rows of source(id, t), those with an id of asked(id) and few others, by their digests.
 
     Texts are read where they lie, so none is shuffled: asked ids set bits in a bitmap of fixed size (ASKED_BITS), which is all
@@ -223,9 +224,9 @@ def sets_of(source: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
     words = asked.select(bit("id").alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")).toPandas()
-    bitmap = np.zeros(ASKED_BITS // 32, dtype=np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = source.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
+    bitmap = np.zeros(ASKED_BITS // 32, dtype=np.uint32)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = source.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches):
         for batch in slices(batches):
@@ -234,7 +235,7 @@ def sets_of(source: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
             made = [shingle_set(t, shingle) for t in some.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in made], pa.binary()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["same", "set"])
 
-    return source.select("t", bit("id").alias("bit")).mapInArrow(sets, "same binary, set array<bigint>")
+    return source.select("t", bit("id").alias("bit")).mapInArrow(sets, "same binary, set array<bigint>"), shared
 
 
 def both_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -280,7 +281,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     spark, held = docs.sparkSession, []
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("t"))
-    marked = materialize(sketches(source, shingle, similarity, of_hashes), "sketches", held)
+    rows, counts = sketches(source, shingle, similarity, of_hashes)
+    marked = materialize(rows, "sketches", held)
+    counts.destroy()
     heads = materialize(marked.groupBy("same").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.max("n").alias("n")), "heads", held)
     own = marked.where("n > 0").join(heads.select(F.col("node").alias("row")), "row", "left_semi")
     reps = materialize(own.withColumnRenamed("row", "node"), "representatives", held)
@@ -295,8 +298,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         pairs = materialize(possible(pairs, reps, similarity), "possible", mine)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "id", "same"), "node")
         wanted = materialize(wanted, "wanted", mine)
-        sets = sets_of(source, wanted, shingle).join(wanted.select("node", "same"), "same").groupBy("node").agg(F.any_value("set").alias("set"))
+        found, bitmap = sets_of(source, wanted, shingle)
+        sets = found.join(wanted.select("node", "same"), "same").groupBy("node").agg(F.any_value("set").alias("set"))
         both = both_sides(pairs, materialize(sets, "sets", mine), "set")
+        bitmap.destroy()
         labels = components(both.where(similar("x", "y", similarity)).select(F.col(a).alias("src"), F.col(b).alias("dst")))
         discard(spark, mine)
         return labels

@@ -132,18 +132,21 @@ def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     if not labels:
         return Model([], idf, np.zeros((WIDTH, 0)), 1.0, 0.0)
-    made = []
-    for label, at, n in rows:
+    number = {label: k for k, label in enumerate(labels)}
+
+    def values(at: np.ndarray, n: np.ndarray) -> np.ndarray:  # made anew each time: kept for all rows they are four times as large
         v = (1 + np.log(n)) * idf[at]
-        made.append((labels.index(label), at, v / np.sqrt(v @ v)))
+        return v / np.sqrt(v @ v)
+
     learner, order = Ftrl(len(labels)), np.random.default_rng(7)
-    learned, kept = [x for k, x in enumerate(made) if k % 5], made[::5]
+    learned, kept = [x for k, x in enumerate(rows) if k % 5], rows[::5]
     for _ in range(epochs):
         for k in order.permutation(len(learned)):
-            learner.learn(learned[k][1], learned[k][2], learned[k][0])
+            label, at, n = learned[k]
+            learner.learn(at, values(at, n), number[label])
     w = learner.weights()
-    z = np.array([v @ w[at] for _, at, v in kept])
-    y = np.array([label for label, _, _ in kept])
+    z = np.array([values(at, n) @ w[at] for _, at, n in kept])
+    y = np.array([number[label] for label, _, _ in kept])
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     grid = np.geomspace(0.05, 5, 60)
     seen = np.array([surprise(at, n, idf) for _, at, n in rows[::5]])
@@ -191,8 +194,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([None if c is None else c[a] for a, c in zip(at, found, strict=True)], pa.list_(pa.int32()))], names=["id", "lang", "at", "n"])
 
     texts = rows.join(F.broadcast(picked), "id", "left_semi").select("id", "lang", "t")
-    got = texts.mapInArrow(count, "id string, lang string, at array<int>, n array<int>").where("at is not null").groupBy("id").agg(F.min(F.struct("lang", "at", "n")).alias("x")).select("id", "x.*").toPandas().sort_values("id")
-    return fit_counts([(r.lang, np.asarray(r.at), np.asarray(r.n, dtype=np.int64)) for r in got.itertuples()], *_document_frequencies(rows.select("t")))
+    got = texts.mapInArrow(count, "id string, lang string, at array<int>, n array<int>").where("at is not null").groupBy("id").agg(F.min(F.struct("lang", "at", "n")).alias("x")).select("id", "x.*").toArrow().combine_chunks()
+    # views of two arrays for the whole sample: as objects they would take ten times that
+    lists = [got.column(c).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n")]
+    cut, (flat_at, flat_n) = lists[0].offsets.to_numpy(), (x.values.to_numpy() for x in lists)
+    named = sorted((i, k, lang) for k, (i, lang) in enumerate(zip(got.column("id").to_pylist(), got.column("lang").to_pylist(), strict=True)))
+    return fit_counts([(lang, flat_at[cut[k] : cut[k + 1]], flat_n[cut[k] : cut[k + 1]]) for _, k, lang in named], *_document_frequencies(rows.select("t")))
 
 
 def _predict_column(spark, model: Model, text: Column) -> Column:
