@@ -18,6 +18,14 @@ BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "div", "span")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
+#: Fixed values of HTML: headings; elements whose start ends an open paragraph; elements beyond which an end tag or an implied end
+#: doesn't reach; and those beyond which a list item doesn't end another.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ENDS_PARAGRAPH = (*HEADINGS, "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul")
+BOUNDS = ("table", "td", "th", "caption", "button", "object", "template", "html")
+LIST_BOUNDS = (*BOUNDS, *HEADINGS, "ul", "ol", "article", "aside", "blockquote", "center", "details", "dl", "fieldset", "figure", "footer", "form", "header", "main", "menu", "nav", "pre", "section", "body")
+
+
 class _Document(HTMLParser):
     """Cells of every table (of nested tables also in the outer one) and text of every block element, in document order."""
 
@@ -53,26 +61,39 @@ class _Document(HTMLParser):
         return sinks
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("td", "th", "tr", "p", "li"):  # an open one of the same kind ends here
-            self._close(tag, within="table" if tag in ("td", "th", "tr") else None)
+        if tag in ENDS_PARAGRAPH:
+            self._close(("p",), BOUNDS)
+        if tag == "li":
+            self._close(("li",), LIST_BOUNDS)
+        elif tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            del self.stack[-1:]
+        elif tag in ("td", "th"):
+            self._close(("td", "th"), ("table",))
+        elif tag == "tr":
+            self._close(("tr",), ("table",))
         sinks = self._start(tag, attrs)
         if tag not in VOID:
             self.stack.append((tag, sinks))
 
-    def _close(self, tag, within=None):
+    def _close(self, tags, bounds) -> bool:
+        """Ends the innermost open element of one of the tags, and all within it, unless one of bounds stands before it."""
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == within or (within is None and self.stack[k][0] in ("table", "ul", "ol", "div") and tag in ("p", "li")):
-                return
-            if self.stack[k][0] == tag:
+            if self.stack[k][0] in tags:
                 del self.stack[k:]
-                return
+                return True
+            if self.stack[k][0] in bounds:
+                return False
+        return False
 
     def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-        if tag == "table" and self.open_tables:
+        if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
+            self._close((tag,), ("table",))
+        elif tag in HEADINGS:
+            self._close(HEADINGS, BOUNDS)
+        elif tag != "table":
+            if not self._close((tag,), (*BOUNDS, "ul", "ol") if tag == "li" else BOUNDS) and tag == "p":
+                self.blocks.append(["p", []])  # an end without a start is an empty paragraph
+        elif self._close(("table",), ()) and self.open_tables:
             self.open_tables.pop()
 
     def handle_data(self, data):
@@ -140,13 +161,27 @@ def page_contexts(page: str) -> dict[str, tuple]:
     return out
 
 
+def _without(low: str, tag: str) -> str:
+    """A lower-cased page without the elements of a tag; one that isn't ended stays. Read once from left to right."""
+    out, done, at = [], 0, low.find(f"<{tag}")
+    while at >= 0:
+        stop = low.find(f"</{tag}>", at)
+        if stop < 0:
+            break
+        if low[at + len(tag) + 1 : at + len(tag) + 2] in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
+            out.append(low[done:at])
+            done = stop + len(tag) + 3
+        at = low.find(f"<{tag}", max(done, at + 1))
+    return " ".join([*out, low[done:]])
+
+
 def facility_mention(page: str) -> str | None:
     """What a page without markup, scripts and styles says of an undrawn credit facility: that, and its dates; null if nothing."""
     low = page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # of bytes: A-Z only
     if "undrawn" not in low or "credit" not in low:
         return None
-    bare = re.sub(r"(?s)<(script|style)\b[^>]*>.*?</\1>", " ", low)
-    text = re.sub("[^a-z0-9]+", " ", re.sub("<[^>]*>", " ", bare))
+    bare = _without(_without(low, "script"), "style")
+    text = re.sub("[^a-z0-9]+", " ", re.sub("<[^<>]*>", " ", bare))
     if "credit facility" not in text or "undrawn" not in text:
         return None
     return "; ".join(["credit facility", "undrawn", *dict.fromkeys(f"at {m.group(1)} then" for m in _DATE.finditer(text))])
