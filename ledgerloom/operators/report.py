@@ -215,22 +215,6 @@ def schema_sheet(spark: SparkSession, n_periods: int) -> DataFrame:
     return spark.createDataFrame([("schema_version", REPORT_VERSION), ("period_column_count", str(n_periods)), ("layout", "one_row_per_metric_periods_as_columns")], "key string, value string").coalesce(1)
 
 
-def _part_schema(df: DataFrame) -> T.StructType:
-    """The columns of a sheet as they are read back: a partition column comes last."""
-    fields = sorted(df.schema.fields, key=lambda f: f.name == "cik") if "cik" in df.columns else df.schema.fields
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-
-
-def _companies(spark: SparkSession, folder: str) -> dict[str, str]:
-    """cik and folder of the companies that a written sheet holds, from the folders' names alone."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(where):
-        return {}
-    names = [s.getPath().getName() for s in system.listStatus(where)]
-    return {n.removeprefix("cik="): f"{folder}/{n}" for n in names if n.startswith("cik=")}
-
-
 def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
     """Writes each sheet as its own Parquet dataset under path, those with a cik by company; returns the sheets in order.
 
