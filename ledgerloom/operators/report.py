@@ -187,9 +187,25 @@ def slowest_documents(timings: DataFrame, k: int = 5) -> DataFrame:
     return timings.orderBy(F.desc("total_ms"), "document_id").limit(k)
 
 
-def provenance_lookup(records: DataFrame, metric_id: str, period_key: str | None = None) -> DataFrame:
+def provenance_lookup(records: DataFrame, metric_id: str, period_key: str | None = None, cik: str | None = None) -> DataFrame:
+    """Records of one metric, and of one period or company if given; see write_provenance for a table that is made for this."""
     out = records.where(F.col("metric_id") == metric_id)
-    return out if period_key is None else out.where(F.col("period_key") == period_key)
+    out = out if period_key is None else out.where(F.col("period_key") == period_key)
+    return out if cik is None else out.where(F.col("cik") == cik)
+
+
+def write_provenance(records: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Records laid out for lookups, in place of what path held, and the written table.
+
+    A folder for each metric (their number is the registry's) holds files of consecutive companies and periods, so a lookup opens
+    its metric's files only and reads the row groups in which its company may stand. Ranges are of (metric, company, period): a
+    metric with a third of all rows becomes many ranges, one of few rows a part of one. Records are read twice, first for the
+    bounds of the ranges. Records without a metric (null or empty) stand in a folder of their own and come back with a null.
+    """
+    order = ["metric_id", "cik", "period_key"]
+    laid = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", rows_per_file).partitionBy("metric_id").parquet(path)
+    return records.sparkSession.read.schema(records.schema).parquet(path).select(*records.columns)
 
 
 def company_overview(issuers: DataFrame) -> DataFrame:

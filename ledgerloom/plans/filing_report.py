@@ -12,7 +12,7 @@ from ledgerloom.functions.text import normalize_cik
 from ledgerloom.operators import derive, discovery, document_values, facts, reconcile, report, review
 from ledgerloom.sources import payloads, views
 from ledgerloom.sources.documents import parsed_files, parsed_once
-from ledgerloom.sources.scratch import discard, written
+from ledgerloom.sources.scratch import discard, scratch_path, written
 
 
 class FilingReport:
@@ -107,6 +107,12 @@ class FilingReport:
     def source_values(self) -> DataFrame:
         return reconcile.choose_primary(self.ranked)
 
+    @cached_property
+    def provenance(self) -> DataFrame:
+        """Provenance of all source values, written so that a lookup of a metric opens that metric's files only."""
+        self.held.append(path := scratch_path(self.issuers.sparkSession, "provenance"))
+        return report.write_provenance(report.provenance_records(self.source_values, self.filings), path)
+
     @cached_property
     def primary(self) -> DataFrame:
         return reconcile.primary_values(self.source_values)

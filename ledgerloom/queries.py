@@ -590,6 +590,17 @@ def provenance_of_assets(spark, sf_dir):
     return report.provenance_lookup(report.provenance_records(run.source_values), "balance_sheet.total_assets").select("cik", "period_key", "source", "accession", "amount")
 
 
+@query
+def provenance_lookups(spark, sf_dir):
+    """Provenance written by metric, and three metrics looked up in it: where each value of them comes from."""
+    table = FilingReport.over(spark, sf_dir).provenance
+    out = None
+    for metric in ("income_statement.revenue", "income_statement.net_income", "cash_flow.capital_expenditures"):
+        found = report.provenance_lookup(table, metric).select("cik", "metric_id", "period_key", "segment_key", "source", "source_method", "accession", "amount", "selected_as_primary")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query
 def coverage_sheet(spark, sf_dir):
     run = FilingReport.over(spark, sf_dir)
