@@ -301,6 +301,14 @@ def w(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 
 
+def page_text(x: str) -> str:
+    """Text of a piece of a page: no tags, entities as characters (HTML lets these four end without a semicolon), single spaces."""
+    out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
 ORACLE_SQL = {
     "ticker_resolve": w(BASE, "SELECT a.ticker, i.cik, CASE WHEN i.cik IS NULL THEN 'unknown_ticker' ELSE 'ok' END AS status FROM (SELECT DISTINCT ' t' || (o_custkey * 2) AS ticker FROM orders) a LEFT JOIN issuers i ON upper(trim(a.ticker)) = i.ticker"),
     "filings_selected": w(BASE, "SELECT cik, accession, form_type, filing_date, period_end, fiscal_year, fiscal_quarter, url_directory, url_primary FROM selected QUALIFY max(year(period_end)) OVER (PARTITION BY cik) IS NULL OR period_end IS NULL OR year(period_end) >= max(year(period_end)) OVER (PARTITION BY cik) - 3"),
@@ -420,6 +428,7 @@ WHERE i.cik NOT IN (SELECT cik FROM formulas WHERE owners_status = 'ok' OR ratio
     "provenance_sheet": w(RUN, "SELECT s.cik, s.metric_id, r.metric_name AS metric_label, r.domain, period_key, segment_key, selected_as_primary, source, decision, amount, s.accession, CASE source WHEN 'xbrl' THEN 'api_xbrl_facts' ELSE 'filing_html' END AS source_method, xbrl_tag, f.url_primary AS filing_url, review_note FROM source_values s LEFT JOIN registry r ON r.metric_id = s.metric_id LEFT JOIN (SELECT accession, url_primary FROM selected QUALIFY max(year(period_end)) OVER (PARTITION BY cik) IS NULL OR period_end IS NULL OR year(period_end) > max(year(period_end)) OVER (PARTITION BY cik) - 10) f ON f.accession = s.accession"),
     "provenance_of_assets": w(RUN, "SELECT cik, period_key, source, accession, amount FROM source_values WHERE metric_id = 'balance_sheet.total_assets'"),
     "provenance_lookups": w(RUN, "SELECT cik, metric_id, period_key, segment_key, source, CASE source WHEN 'xbrl' THEN 'api_xbrl_facts' ELSE 'filing_html' END AS source_method, accession, amount, selected_as_primary FROM source_values WHERE metric_id IN ('income_statement.revenue', 'income_statement.net_income', 'cash_flow.capital_expenditures')"),
+    "page_sections": f"WITH cut AS (SELECT page_id, split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS h, split_part(split_part(html, '</h1>', 2), '</article>', 1) AS body FROM pages), parts AS (SELECT page_id, {page_text('h')} AS title, [t for t in [{page_text('x')} for x in string_split(body, '<p>')] if t <> ''] AS texts FROM cut) SELECT page_id, 1::INT AS section_no, title, length(array_to_string(texts, chr(10) || chr(10)))::INT AS n_chars FROM parts WHERE title <> '' AND len(texts) > 0",
     "coverage_sheet": w(f"{RUN},{COVERAGE}", f"SELECT c.cik, r.domain, c.metric_id, r.metric_name, {SOURCE_OF} AS expected_source, status, found_primary_values, period_count FROM covered c JOIN registry r ON r.metric_id = c.metric_id"),
     "formula_inputs_sheet": w(f"{RUN},{FORMULAS}", "SELECT i.*, r.metric_name, n.metric_name AS formula_name, p.source FROM (" + " UNION ALL ".join(f"SELECT cik, period_key, '{metric}' AS formula, {k} AS input_no, '{m}' AS metric_id, round({c}, 2) AS amount FROM formulas WHERE {status} = 'ok' AND {c} IS NOT NULL" for _, status, metric, names in FORMULA_INPUTS for k, (c, m) in enumerate(names)) + ") i LEFT JOIN registry r ON r.metric_id = i.metric_id LEFT JOIN registry n ON n.metric_id = i.formula LEFT JOIN primary_values p ON p.cik = i.cik AND p.metric_id = i.metric_id AND p.period_key = i.period_key AND p.segment_key = ''"),
     "report_roundtrip": w(BASE, "SELECT * FROM (VALUES (0, 'schema', 3::BIGINT)) t(place, sheet, n) UNION ALL SELECT 1, 'company_overview', 4 * count(*) FROM issuers UNION ALL SELECT 2, 'filing_index', count(*) FROM selected"),
