@@ -68,3 +68,19 @@ def test_facts_contexts_and_mentions():
     mention = documents.facility_mention(page)
     assert "march 3 2024" in mention and "2024 03 03" in mention and "credit facility" in mention
     assert documents.facility_mention("<script>undrawn credit facility</script>") is None
+
+
+def test_plain_pages_are_cut_at_their_tags(monkeypatch):
+    """Pages of plain tags give what HTMLParser gives of them, without it; others still go through it."""
+    pages = [
+        "<table><caption>Net &amp; gross</caption><tr><td colspan=2>a > b&nbsp;c</td><TD Colspan='3'>5<b>6</b><br/>7</td><td>8<tr><th>x</table><p>tail &amp",
+        "<html><body><h1>A<h2>B</h2><ul><li>1<li>2<p>3</ul></p><ix:nonFraction name=\"a:b\" contextRef=\"c\"><b>4</b></ix:nonFraction><div/>5</body>",
+    ]
+    other = ["<p>a < b</p>", "<p><!-- <b> -->x</p>", "<script>if (a<b) {}</script><p>x", "<td colspan='&#50;'>x", "<a b='>'>x</a>", "<p>x<"]
+    assert all(documents.plain_tags(p.split("<")) is not None for p in pages) and all(documents.plain_tags(p.split("<")) is None for p in other)
+    got = [documents.page_rows(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(documents, "plain_tags", lambda pieces: None)
+        assert got == [documents.page_rows(p) for p in pages]
+    monkeypatch.setattr(documents._Document, "feed", lambda self, page: 1 / 0)
+    assert got == [documents.page_rows(p) for p in pages] and documents.page_rows(other[0])[0]["kind"] == "error"
