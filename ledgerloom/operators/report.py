@@ -231,51 +231,99 @@ def schema_sheet(spark: SparkSession, n_periods: int) -> DataFrame:
     return spark.createDataFrame([("schema_version", REPORT_VERSION), ("period_column_count", str(n_periods)), ("layout", "one_row_per_metric_periods_as_columns")], "key string, value string").coalesce(1)
 
 
+#: Folders that a sheet's companies are dealt to, however many there are: files don't grow in number with the companies.
+BUCKETS = 64
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
-    """Writes each sheet as its own Parquet dataset under path, those with a cik by company; returns the sheets in order.
+    """Writes each sheet as its own Parquet dataset under path, those with a cik in a fixed number of folders; returns the sheets
+    in order.
 
     With an overview among the sheets, its companies replace what the report holds of them, in every sheet given, also where they
     have no rows any more; other companies' rows stay. Without one, the sheets given are replaced as a whole. A null cik is a
-    company of its own. The manifest (rows and columns of each sheet) is deleted first and written last, so a report that was left
-    half-written can't be imported, and writing it again mends it.
+    company of its own. Folders that hold none of these companies aren't touched; the others are written anew as a next generation
+    (g=<n>/bucket=<k>), and the ones they replace are deleted once it is whole. The manifest (rows and columns of each sheet) is
+    deleted first and written last, so a report that was left half-written can't be imported, and writing it again mends it.
     """
     done = [s for s in [*SHEETS, HEADERS] if s in tables]
     spark = tables[done[0]].sparkSession
     known = {s: schema for s, (_, schema) in manifest(spark, path).items()}
     delete(spark, f"{path}/{MANIFEST}")
-    companies: set[str] = set()
+    companies, touched = None, set(range(BUCKETS))
     if "company_overview" in tables:
-        name = F.coalesce("cik", F.lit(NO_COMPANY))
-        companies = {r.cik for r in tables["company_overview"].select(name.alias("cik")).distinct().toLocalIterator()}
+        companies = tables["company_overview"].select(F.col("cik").alias("_company")).distinct()
+        touched = {r.bucket for r in companies.select(_bucket("_company").alias("bucket")).distinct().collect()}  # BUCKETS rows at most
     for sheet in done:
         df, folder = tables[sheet], f"{path}/{sheet}"
+        columns = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
         if "cik" not in df.columns:
             df.write.mode("overwrite").parquet(folder)
-        elif not companies:
-            df.repartition("cik").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cik").parquet(folder)
         else:
-            stale = _company_folders(spark, folder)
-            df.repartition("cik").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik").parquet(folder)
-            fresh = {r.cik for r in df.select(F.coalesce("cik", F.lit(NO_COMPANY)).alias("cik")).distinct().toLocalIterator()}
-            for cik in (stale.keys() & companies) - fresh:
-                delete(spark, stale[cik])
-        known[sheet] = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+            stale, generation = _replaced(spark, folder, touched)
+            kept = None
+            if companies is not None and stale:
+                kept = _read(spark, folder, stale, columns)
+                kept = kept.join(companies, kept["cik"].eqNullSafe(companies["_company"]), "left_anti")
+            rows = df if kept is None else df.unionByName(kept)
+            rows.withColumn("bucket", _bucket("cik")).repartition(BUCKETS, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", 2_000_000).partitionBy("bucket").parquet(f"{folder}/g={generation:06d}")
+            for old in stale:
+                delete(spark, f"{folder}/{old}")
+        known[sheet] = columns
     rows = [(s, place, _sheet(spark, path, s, known[s]).count(), known[s].json()) for place, s in enumerate([*SHEETS, HEADERS]) if s in known]
     spark.createDataFrame(rows, "sheet string, place int, n_rows long, columns string").coalesce(1).write.parquet(f"{path}/{MANIFEST}")
     return done
 
 
-def _company_folders(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Folder by cik of the companies that a written sheet holds, from the folders' names alone."""
+def _bucket(cik: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(cik, F.lit(NO_COMPANY))), F.lit(BUCKETS)).cast("int")
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder that aren't hidden; none if there is no such folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
-    return {n.removeprefix("cik="): f"{folder}/{n}" for n in names if n.startswith("cik=")}
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def _live(spark: SparkSession, folder: str) -> list[str]:
+    """Folders with the rows of a sheet: of each bucket that of the newest whole generation, and whatever else stands in the sheet
+    (company folders of older reports)."""
+    newest, rest = {}, []
+    for name in _names(spark, folder):
+        if not name.startswith("g="):
+            rest.append(name)
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            newest |= {b: name for b in _names(spark, f"{folder}/{name}")}
+    return [*rest, *[f"{g}/{b}" for b, g in newest.items()]]
+
+
+def _replaced(spark: SparkSession, folder: str, touched: set[int]) -> tuple[list[str], int]:
+    """Live folders that a write to the touched buckets replaces (all, if not all are buckets), and the number of its generation."""
+    live = _live(spark, folder)
+    last = max([int(n[2:]) for n in _names(spark, folder) if n.startswith("g=")], default=0)
+    number = {x: int(x.rsplit("bucket=", 1)[1]) for x in live if x.startswith("g=")}
+    return (live if len(number) < len(live) else [x for x in live if number[x] in touched]), last + 1
+
+
+def _read(spark: SparkSession, folder: str, live: list[str], columns: T.StructType) -> DataFrame:
+    """Rows of a sheet's folders, with columns in order; the cik of company folders is in their names and stays text."""
+    buckets, rest = [x for x in live if x.startswith("g=")], [x for x in live if not x.startswith("g=")]
+    out = spark.createDataFrame([], columns)
+    if buckets:
+        out = out.unionByName(spark.read.schema(columns).option("recursiveFileLookup", True).parquet(*[f"{folder}/{x}" for x in buckets]).select(*columns.names))
+    if rest:
+        out = out.unionByName(spark.read.schema(columns).option("basePath", folder).parquet(*[f"{folder}/{x}" for x in rest]).select(*columns.names))
+    return out
 
 
 def _sheet(spark: SparkSession, path: str, sheet: str, columns: T.StructType) -> DataFrame:
-    """A written sheet with its columns in order; the cik of its folders' names stays text."""
-    return spark.read.schema(columns).parquet(f"{path}/{sheet}").select(*columns.names)
+    """A written sheet with its columns in order."""
+    if "cik" not in columns.names:
+        return spark.read.schema(columns).parquet(f"{path}/{sheet}").select(*columns.names)
+    return _read(spark, f"{path}/{sheet}", _live(spark, f"{path}/{sheet}"), columns)
 
 
 def manifest(spark: SparkSession, path: str) -> dict[str, tuple[int, T.StructType]]:

@@ -81,3 +81,21 @@ def test_filings_in_three_batches_equal_the_batch_merge(spark, tmp_path):
     want = discovery.merge_filings(first, payloads.scan_historical_submissions(named).drop("status"))
     assert got == sorted(tuple(r) for r in want.select(*columns).collect())
     assert {r[0]: r[2] for r in got} == {"acc-1": "old", "acc-2": "new", "acc-3": "older", "acc-4": "new", "acc-5": "late", "acc-6": "late"}
+
+
+def test_files_do_not_grow_in_number_with_companies(spark, tmp_path):
+    """3,000 companies are at most 64 folders a sheet; some are rewritten, all others stay, also ones that share a folder with them."""
+    path = f"file://{tmp_path}/report"
+    cik = F.lpad(F.col("id").cast("string"), 10, "0").alias("cik")
+    made = lambda ids, word: {"schema": report.schema_sheet(spark, 1), "company_overview": ids.select(cik, F.lit("ticker").alias("field"), F.lit(word).alias("value")), "filing_index": ids.where("id % 2 = 0").select(cik, F.lit(word).alias("accession"))}
+    report.write_report(made(spark.range(3000), "a"), path)
+    report.write_report(made(spark.range(10), "b") | {"filing_index": spark.range(1).select(cik, F.lit("b").alias("accession"))}, path)
+    files = list((tmp_path / "report").rglob("*.parquet"))
+    assert len(files) <= 2 * report.BUCKETS + 10
+    back = report.import_report(spark, path)
+    assert {(r.value, r.n) for r in back["company_overview"].groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()} == {("a", 2990), ("b", 10)}
+    assert {(r.accession, r.n) for r in back["filing_index"].groupBy("accession").agg(F.count(F.lit(1)).alias("n")).collect()} == {("a", 1495), ("b", 1)}
+    old = f"file://{tmp_path}/report/company_overview/cik=0000009999"
+    spark.createDataFrame([("ticker", "old")], "field string, value string").write.parquet(old)
+    report.write_report(made(spark.range(1), "c"), path)  # a company folder of an older report is taken along
+    assert {(r.value, r.n) for r in report.import_report(spark, path)["company_overview"].groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()} == {("a", 2990), ("b", 9), ("c", 1), ("old", 1)}
