@@ -14,6 +14,7 @@ from ledgerloom.functions import text as X
 from ledgerloom.functions.registry import metric_registry
 from ledgerloom.operators import inline, narrative, tables
 from ledgerloom.sources import documents as D
+from ledgerloom.sources.scratch import written
 
 COLUMNS = ["cik", "accession", "form_type", "metric_id", "segment_name", "period_start", "period_end", "amount", "unit_kind", "unit_code", "scale", "row_label", "filing_label", "section_name", "table_name", "xbrl_tag", "source", "source_type", "source_method", "pos"]
 
@@ -45,22 +46,44 @@ def extract_document_values(parsed: DataFrame, filings: DataFrame) -> DataFrame:
     A union of all extractors; a zero revolver balance from prose only for filings without any other revolver value. Documents
     without a filing and ones that could not be parsed give nothing here; the latter are issues of review.documents_skipped.
     """
+    parts = list(value_parts(parsed, filings))
+    drawn = parts[0].unionByName(parts[1]).select("accession", "metric_id")
+    return reduce(DataFrame.unionByName, [*parts, undrawn_values(parsed, filings, drawn)])
+
+
+def value_parts(parsed: DataFrame, filings: DataFrame):
+    """The values of each extractor but undrawn_values, one table at a time: of labelled rows, of debt notes and funding tables, and
+    of each kind of embedded fact."""
     grid = D.document_tables(parsed)
     facts, contexts = D.inline_facts(parsed), D.inline_contexts(parsed)
     names = F.broadcast(metric_registry(parsed.sparkSession).select("metric_id", F.col("metric_name").alias("filing_label")))
     typed = {"source_type": F.lit("xbrl"), "source_method": F.lit("filing_html")}
     generic = tables.extract_table_values(grid, filings).withColumns({"source_method": F.lit("filing_html"), "filing_label": F.col("row_label")})
-    notes = note_values(grid, filings)
-    parts = [_shaped(generic, 1, _padded("table_no", "row_no")), _shaped(notes, 2, _padded("table_no", "row_no"))]
+    yield _shaped(generic, 1, _padded("table_no", "row_no"))
+    yield _shaped(note_values(grid, filings), 2, _padded("table_no", "row_no"))
     for k, values in enumerate([inline.core_revenue_values, inline.segment_values, inline.share_issuance_values]):
         found = values(facts, contexts, filings).withColumnRenamed("pos", "fact_no").join(names, "metric_id").withColumns(typed)
-        parts.append(_shaped(found, 3 + k, _padded("fact_no")))
+        yield _shaped(found, 3 + k, _padded("fact_no"))
     summed = inline.derivative_gain_loss(facts, contexts, filings).join(names, "metric_id").withColumns(typed | {"unit_kind": F.lit("currency"), "section_name": F.lit("inline_xbrl_derivative"), "table_name": F.lit("inline_xbrl_derivative")})
-    parts.append(_shaped(summed, 6, F.col("period_end").cast("string")))
-    drawn = generic.select("accession", "metric_id").unionByName(notes.select("accession", "metric_id"))
+    yield _shaped(summed, 6, F.col("period_end").cast("string"))
+
+
+def undrawn_values(parsed: DataFrame, filings: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Zero revolver balances from prose, of filings that have no revolver value among drawn(accession, metric_id)."""
     zero = tables.undrawn_revolver(D.facility_mentions(parsed), filings, drawn)
     zero = zero.withColumns({"unit_kind": F.lit("currency"), "scale": F.lit("raw"), "filing_label": F.lit("Undrawn revolving credit facility")})
-    return reduce(DataFrame.unionByName, [*parts, _shaped(zero, 7, F.lit("0"))])
+    return _shaped(zero, 7, F.lit("0"))
+
+
+def written_values(parsed: DataFrame, filings: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """extract_document_values as a written table. Each extractor is a job of its own, so the driver plans one of them at a time, and
+    the values of tables are found once for both their rows and the check of revolver values."""
+    parts = []
+    for part in value_parts(parsed, filings):
+        parts.append(written(part, "document-values", held=held))
+    drawn = parts[0].unionByName(parts[1]).select("accession", "metric_id")
+    parts.append(written(undrawn_values(parsed, filings, drawn), "document-values", held=held))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def document_narratives(parsed: DataFrame, filings: DataFrame) -> DataFrame:

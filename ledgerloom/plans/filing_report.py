@@ -92,7 +92,7 @@ class FilingReport:
 
     @cached_property
     def html(self) -> DataFrame:
-        return written(document_values.extract_document_values(self.parsed, self.filings), "document-values", held=self.held)
+        return document_values.written_values(self.parsed, self.filings, self.held)
 
     @cached_property
     def narratives(self) -> DataFrame | None:

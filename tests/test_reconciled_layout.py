@@ -2,6 +2,7 @@
 
 from ledgerloom.operators import reconcile
 from ledgerloom.plans.filing_report import FilingReport
+from ledgerloom.queries import _filing_documents, _filings
 from ledgerloom.sources import views
 
 
@@ -20,3 +21,11 @@ def test_tasks_grow_with_the_values(spark, sf, monkeypatch):
     ranked = reconcile.ranked_values(html, 1950)
     assert ranked.rdd.getNumPartitions() == 20
     assert sorted(map(str, ranked.collect())) == sorted(map(str, reconcile.ranked_values(html).collect()))
+
+
+def test_extractors_are_jobs_of_their_own(spark, sf):
+    """What is read of document values is the written parts, each planned by itself."""
+    docs = _filing_documents(spark, sf).select("accession", "html")
+    with FilingReport(views.issuers(spark, sf), _filings(spark, sf), views.facts(spark, sf), documents=docs) as run:
+        plan = run.html._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and len([p for p in run.held if "document-values" in p]) == 7
