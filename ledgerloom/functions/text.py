@@ -133,7 +133,7 @@ def period_key(start: Column, end: Column) -> Column:
 
 def canonical_segment(name: Column) -> Column:
     fixed = F.replace(F.replace(F.replace(name, F.lit("Healthc Care"), F.lit("Healthcare")), F.lit("healthc care"), F.lit("healthcare")), F.lit("&"), F.lit(" and "))
-    words = F.split(F.trim(F.regexp_replace(ascii_lower(fixed), "[^a-z0-9]+", " ")), " ")
+    words = F.split(normalize_label(fixed), " ")
     return F.array_join(F.filter(words, lambda w: ~w.isin("reportable", "member", "segment", "")), " ")
 
 
@@ -146,7 +146,8 @@ def segment_display_name(name: Column) -> Column:
 
 
 def normalize_label(x: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(x), "[^a-z0-9]+", " "))
+    """Lower-cased words of A-Z, a-z and 0-9: what else there is goes first, so lower() meets ASCII only."""
+    return F.trim(F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", " ")))
 
 
 def let(value: Column, steps) -> Column:

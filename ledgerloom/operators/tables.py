@@ -45,12 +45,12 @@ def in_filings(grid: DataFrame, filings: DataFrame) -> DataFrame:
 
 
 def with_contexts(grid: DataFrame) -> DataFrame:
-    """Tables with header_context, the texts of the first three rows without digits-only and unit cells, bare, whether there is no
-    caption, and context, the caption or else the header context."""
+    """Tables with bare, whether there is no caption, header_context, for these the texts of the first three rows without digits-only
+    and unit cells, and context, the caption or else the header context."""
     wanted = lambda c: X.let(X.normalize_label(c["text"]), lambda n: (n != "") & ~n.rlike("^[0-9]+$") & ~X.has_any(n, "in millions", "in thousands"))
     texts = F.transform(F.slice("rows", 1, 3), lambda r: F.transform(F.filter(r["cells"], wanted), lambda c: c["text"]))
-    out = evaluated(grid.withColumn("caption", F.coalesce("caption", F.lit(""))), header_context=F.array_join(F.flatten(texts), " "))
     bare = F.trim("caption") == ""
+    out = evaluated(grid.withColumn("caption", F.coalesce("caption", F.lit(""))), header_context=F.when(bare, F.array_join(F.flatten(texts), " ")).otherwise(""))
     return out.withColumns({"bare": bare, "context": F.when(bare, F.col("header_context")).otherwise(F.col("caption"))})
 
 
@@ -138,9 +138,10 @@ def extract_table_values(grid: DataFrame, filings: DataFrame) -> DataFrame:
 # debt notes and funding
 
 
-def _first_column(cells: Column, wanted) -> Column:
-    """Where the first cell starts whose normalized text is wanted."""
-    return F.get(F.filter(cells, lambda c: X.let(X.normalize_label(c["text"]), wanted)), 0)["col_start"]
+def _first_column(cells: Column, word: str, wanted) -> Column:
+    """Where the first cell starts whose normalized text is wanted; only texts with a word that all wanted ones hold are normalized."""
+    named = lambda c: F.contains(F.lower(c["text"]), F.lit(word)) & X.let(X.normalize_label(c["text"]), wanted)
+    return F.get(F.filter(cells, named), 0)["col_start"]
 
 
 def with_debt_columns(tables: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def with_debt_columns(tables: DataFrame) -> DataFrame:
     wide = F.flatten(F.transform(F.slice(F.filter("rows", lambda r: F.size(r["cells"]) >= 2), 1, 3), lambda r: r["cells"]))
     rate = lambda n: F.contains(n, F.lit("effective interest rate")) | (n == "interest rate")
     out = evaluated(tables, wide=wide)
-    out = evaluated(out, rate_column=_first_column(F.col("wide"), rate), value_column=_first_column(F.col("wide"), lambda n: F.contains(n, F.lit("carrying value"))))
+    out = evaluated(out, rate_column=_first_column(F.col("wide"), "interest", rate), value_column=_first_column(F.col("wide"), "carrying", lambda n: F.contains(n, F.lit("carrying value"))))
     return out.where("rate_column is not null or value_column is not null").drop("wide")
 
 
@@ -235,7 +236,7 @@ def secured_funding_flow_values(grid: DataFrame) -> DataFrame:
     """Secured funding tables: issuance and maturities stand in two columns that the first three rows name."""
     wanted = with_contexts(grid).where(F.contains(X.normalize_label(F.col("context")), F.lit("long term secured funding")))
     head = F.flatten(F.transform(F.slice("rows", 1, 3), lambda r: r["cells"]))
-    columns = {"issuance_column": _first_column(head, lambda n: X.has_any(n, "issuance")), "maturities_column": _first_column(head, lambda n: X.has_any(n, "maturities", "redemptions"))}
+    columns = {"issuance_column": _first_column(head, "issuance", lambda n: X.has_any(n, "issuance")), "maturities_column": _first_column(head, "", lambda n: X.has_any(n, "maturities", "redemptions"))}
     rows = labelled_rows(wanted.withColumns(columns)).where((F.col("row_no") > 0) & (debt_detail(F.col("n")) == f"{DEBT}detail_secured_borrowings"))
     flows = F.array(*[F.struct(F.lit(f"{DEBT}detail_secured_borrowings_{c}").alias("metric_id"), number_in_column(F.col("cells"), F.col(f"{c}_column")).alias("amount")) for c in ("issuance", "maturities")])
     return rows.select(*TABLE, F.explode(flows).alias("x"), "row_label", "row_no").select(*TABLE, "x.*", "row_label", "row_no").where("amount is not null")

@@ -1,8 +1,8 @@
 """Reconciled values are ranked and chosen in one pass, in tasks of bounded size, and read without a shuffle."""
 
-from ledgerloom.operators import reconcile
+from ledgerloom.operators import reconcile, tables
 from ledgerloom.plans.filing_report import FilingReport
-from ledgerloom.queries import _filing_documents, _filings
+from ledgerloom.queries import QUERIES, _filing_documents, _filings
 from ledgerloom.sources import views
 
 
@@ -29,3 +29,16 @@ def test_extractors_are_jobs_of_their_own(spark, sf):
     with FilingReport(views.issuers(spark, sf), _filings(spark, sf), views.facts(spark, sf), documents=docs) as run:
         plan = run.html._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and len([p for p in run.held if "document-values" in p]) == 7
+
+
+def test_document_values_are_found_once(spark, sf):
+    """The query reads written values: nothing of the extractors is in its plan."""
+    plan = QUERIES["document_values"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_only_tables_without_a_caption_read_their_header(spark):
+    """Cells of captioned tables aren't normalized for a context that nobody reads."""
+    grid = spark.sql("select 'a' accession, n table_no, if(n = 0, 'Debt', ' ') caption, array(struct(array(struct('Rate' text, 0 col_start, 0 col_end)) cells)) rows from values 0, 1 v(n)")
+    got = {r.table_no: (r.header_context, r.context) for r in tables.with_contexts(grid).collect()}
+    assert got == {0: ("", "Debt"), 1: ("Rate", "Rate")}
