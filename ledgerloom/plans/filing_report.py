@@ -11,7 +11,7 @@ from ledgerloom.functions.registry import known_tags
 from ledgerloom.functions.text import normalize_cik
 from ledgerloom.operators import derive, discovery, document_values, facts, reconcile, report, review
 from ledgerloom.sources import payloads, views
-from ledgerloom.sources.documents import parsed_files, parsed_once
+from ledgerloom.sources.documents import parsed_files, parsed_once, scan_archive
 from ledgerloom.sources.scratch import discard, scratch_path, written
 
 
@@ -39,14 +39,18 @@ class FilingReport:
         return cls(views.issuers(spark, sf_dir), discovery.describe_filings(views.filings(spark, sf_dir)), views.facts(spark, sf_dir), views.html_candidates(spark, sf_dir), **how)
 
     @classmethod
-    def from_folders(cls, spark: SparkSession, submissions: str, company_facts: str, documents: str, history: str | None = None, years: int = 10, currency: str = "USD", **how) -> FilingReport:
+    def from_folders(cls, spark: SparkSession, submissions: str, company_facts: str, documents: str, history: str | None = None, years: int = 10, currency: str = "USD", archived: bool = False, **how) -> FilingReport:
         """A run over files: submission payloads, company fact payloads, filing documents, and history payloads in a folder.
 
         History is read in a second scan, and only of companies whose recent list doesn't span `years`: their files (their names
         hold CIK) are opened by name, others aren't. Payloads are read once into written tables, so a file that changes meanwhile can't split a run.
+
+        archived: the four paths are archives (payloads.read_archive) instead of folders of files. History payloads then meet the
+        list of those wanted by name, and documents their filings by accession, in joins: no list passes through the driver.
         """
         held: list[str] = []
-        read = written(payloads.read_payloads(spark, submissions), "submissions", held=held)
+        read_all = payloads.read_archive if archived else payloads.read_payloads
+        read = written(read_all(spark, submissions), "submissions", held=held)
         headers = payloads.submission_headers(read)
         recent = payloads.scan_submissions(read).where("status = 'ok'").drop("status")
         all_filings, opened = recent, []
@@ -54,15 +58,20 @@ class FilingReport:
             files = payloads.history_files(headers)
             coverage = discovery.history_coverage(discovery.original_filings(discovery.describe_filings(recent)), years)
             listed = discovery.historical_files_to_fetch(coverage, files)
-            names = [r.name for r in listed.select("name").distinct().toLocalIterator()]
-            opened = [f"{history.rstrip('/')}/{name}" for name in names]
-            of_file = F.regexp_extract("path", r"/([^/]*CIK[^/]*)(?:/[^/]*)?$", 1)  # a file, or a folder of one
-            lists = payloads.read_files(spark, opened).withColumn("name", of_file).join(listed, "name")
+            if archived:
+                named = payloads.read_archive(spark, history).withColumnRenamed("path", "name")
+            else:
+                names = [r.name for r in listed.select("name").distinct().toLocalIterator()]
+                opened = [f"{history.rstrip('/')}/{name}" for name in names]
+                of_file = F.regexp_extract("path", r"/([^/]*CIK[^/]*)(?:/[^/]*)?$", 1)  # a file, or a folder of one
+                named = payloads.read_files(spark, opened).withColumn("name", of_file)
+            lists = named.join(listed, "name")
             older = payloads.scan_historical_submissions(lists).where("status = 'ok'").drop("status")
             all_filings = written(discovery.merge_filings(recent, older), "filings", held=held)
         identity = discovery.company_identity(headers).withColumns({"cik": normalize_cik(F.col("cik")), "reported_currency": F.lit(currency)})
-        facts_of = written(payloads.scan_company_facts(payloads.read_payloads(spark, company_facts), tags=known_tags()), "facts", held=held)
-        run = cls(identity.select("cik", "ticker", "issuer_name", "exchange", "reported_currency"), discovery.describe_filings(all_filings), facts_of, years=years, document_folder=documents, **how)
+        facts_of = written(payloads.scan_company_facts(read_all(spark, company_facts), tags=known_tags()), "facts", held=held)
+        pages = {"documents": scan_archive(spark, documents)} if archived else {"document_folder": documents}
+        run = cls(identity.select("cik", "ticker", "issuer_name", "exchange", "reported_currency"), discovery.describe_filings(all_filings), facts_of, years=years, **pages, **how)
         run.held, run.history_opened = held, opened
         return run
 

@@ -27,6 +27,16 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("path"))
 
 
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """As read_payloads, of an archive: a Parquet dataset of name and payload, many payloads a file, as bulk data come. path is a name."""
+    return spark.read.parquet(path).select("payload", F.col("name").alias("path"))
+
+
+def write_archive(payloads: DataFrame, path: str) -> None:
+    """payloads(name, payload) as an archive."""
+    payloads.select("name", "payload").write.parquet(path)
+
+
 def _date(x):
     return F.try_to_date(x, "yyyy-MM-dd")
 

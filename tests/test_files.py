@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import report
 from ledgerloom.plans.filing_report import FilingReport
-from ledgerloom.sources import documents
+from ledgerloom.sources import documents, payloads
 
 
 def submission(cik, filings, files=()):
@@ -81,6 +81,19 @@ def test_report_from_folders(spark, folders):
     assert held and not any(os.path.exists(p) for p in held)
 
 
+def test_archives_give_what_files_give(spark, folders, tmp_path):
+    """The same payloads as archives, many a file: the same run, and no list of files in the driver."""
+    packed = {}
+    for kind, folder in folders.items():
+        files = [(os.path.relpath(os.path.join(at, n), folder), open(os.path.join(at, n)).read()) for at, _, names in os.walk(folder) for n in names if not n.endswith(".crc")]
+        packed[kind] = f"file://{tmp_path}/packed-{kind}"
+        payloads.write_archive(spark.createDataFrame(files, "name string, payload string"), packed[kind])
+    with run_of(spark, folders) as one, run_of(spark, packed, archived=True) as other:
+        for found in (lambda run: run.filings, lambda run: run.parsed.where("kind = 'table'").select("accession", "no", "text", "rows")):
+            assert sorted(map(str, found(one).collect())) == sorted(map(str, found(other).collect()))
+        assert other.history_opened == [] and other.filings.count() == 6 and other.fact_rows.count() == 6
+
+
 def test_without_history_and_without_documents(spark, folders, tmp_path):
     (tmp_path / "none").mkdir()
     with FilingReport.from_folders(spark, folders["submissions"], folders["facts"], str(tmp_path / "none"), years=3) as run:
