@@ -152,9 +152,9 @@ def metric_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), "metric_id string, metric_name string, domain string, statement string, subdomain string, sort_order int, position int, tags array<string>, unit_hint string")
 
 
-def known_tags() -> list[str]:
-    """All tags of the registry."""
-    return sorted({t for r in rows() for t in r[7]})
+def known_tags(metrics: list[str] | None = None) -> list[str]:
+    """All tags of the registry, or those of the metrics given."""
+    return sorted({t for r in rows() if metrics is None or r[0] in metrics for t in r[7]})
 
 
 def metric_tags(spark: SparkSession) -> DataFrame:
@@ -176,6 +176,11 @@ def metrics_of_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(named.items()), "alias string, metrics array<struct<position: int, metric_id: string, metric_name: string, domain: string, subdomain: string, unit_hint: string>>")
 
 
+def domain_metrics(domain: str) -> list[str]:
+    """The metrics of a domain, known without a job."""
+    return [r[0] for r in rows() if r[2] == domain]
+
+
 def metrics_by_domain(spark: SparkSession, domain: str) -> DataFrame:
     return metric_registry(spark).where(F.col("domain") == domain)
 

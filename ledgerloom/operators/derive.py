@@ -11,6 +11,8 @@ SHARES, CHANGE = "shareholders_equity.shares_outstanding", "equity_compensation.
 REQUIRED_OWNERS = {"net_income": "income_statement.net_income", "depreciation": "cash_flow.depreciation_and_amortization", "capex": "cash_flow.capital_expenditures"}
 REQUIRED_RATIO = {"net_income": "income_statement.net_income", "stock_comp": "equity_compensation.stock_based_comp_expense"}
 OPTIONAL_RATIO = {"tax_effects": "equity_compensation.tax_effects", "repurchases": "cash_flow.stock_repurchases", "shares_repurchased": "equity_compensation.shares_repurchased", "share_change": CHANGE}
+#: What formulas read, and what their inputs are derived from.
+FORMULA_METRICS = sorted({*REQUIRED_OWNERS.values(), *REQUIRED_RATIO.values(), *OPTIONAL_RATIO.values(), SHARES, CHANGE})
 OWNERS, RATIO = "valuation.owners_earnings_placeholder", "valuation.adjusted_earnings_ratio_placeholder"
 
 

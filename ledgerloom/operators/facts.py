@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.registry import metric_tags
+from ledgerloom.functions.registry import known_tags, metric_tags
 
 
 def fact_match_score(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """Facts with the filings they may belong to. score: 0 own accession, 1 same form, 2 an instant, each for the filing's report
     date; 3 own accession where the filing has no report date.
 
-    Two equi-joins (on company and date, and on accession), so either is a hash or sort-merge join however large a company is.
+    Both sides are dealt by company once, each company's filings as one row of lists by report date and by accession, which its
+    facts look up: one equi-join, after which windows over companies need no shuffle.
     """
-    f = facts.where("period_end is not null and val is not null")
-    keys = filings.select(F.col("cik").alias("f_cik"), "accession", "form_type", F.col("period_end").alias("report_end"))
-    dated = f.join(keys.where("report_end is not null"), (F.col("cik") == F.col("f_cik")) & (F.col("period_end") == F.col("report_end")))
-    score = F.when(F.col("accn") == F.col("accession"), 0).when(F.col("form") == F.col("form_type"), 1).when(F.col("period_start").isNull(), 2)
-    own = f.join(keys.where("report_end is null"), (F.col("cik") == F.col("f_cik")) & (F.col("accn") == F.col("accession"))).withColumn("score", F.lit(3))
-    return dated.withColumn("score", score).where("score is not null").unionByName(own).drop("f_cik", "report_end")
+    f = facts.where("period_end is not null and val is not null").repartition("cik")
+    keys = filings.select(F.col("cik").alias("f_cik"), "accession", "form_type", F.col("period_end").alias("report_end")).repartition("f_cik")
+    dated = F.col("report_end").isNotNull()
+    lists = keys.groupBy("f_cik", "report_end", F.when(~dated, F.col("accession")).alias("own")).agg(F.collect_list(F.struct("accession", "form_type", dated.alias("dated"))).alias("l"))
+    by = lambda key: F.map_from_entries(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(key, "l"))))
+    companies = lists.groupBy("f_cik").agg(by("report_end").alias("_dates"), by("own").alias("_accessions"))
+    met = f.join(companies, F.col("cik") == F.col("f_cik"))
+    met = met.withColumns({"_dated": F.try_element_at("_dates", F.col("period_end")), "_own": F.try_element_at("_accessions", F.col("accn"))})
+    found = F.when(F.col("_own").isNull(), F.col("_dated")).when(F.col("_dated").isNull(), F.col("_own")).otherwise(F.concat("_dated", "_own"))
+    each = met.withColumn("_f", F.explode(found))
+    score = F.when(~F.col("_f.dated"), 3).when(F.col("accn") == F.col("_f.accession"), 0).when(F.col("form") == F.col("_f.form_type"), 1).when(F.col("period_start").isNull(), 2)
+    scored = each.withColumns({"score": score, "accession": F.col("_f.accession"), "form_type": F.col("_f.form_type")}).where("score is not null")
+    return scored.select(*facts.columns, "accession", "form_type", "score")
+
+
+def segment_of_fact() -> Column:
+    return F.coalesce(X.segment_from_frame(F.col("frame")), "frame", F.lit("__default__"))
 
 
 def best_facts(scored: DataFrame, by_segment: bool = False, match_order: str = "as_coded") -> DataFrame:
-    """The best fact for each filing, metric, tag, taxonomy and unit (and segment). match_order 'as_coded' prefers the highest
-    score, 'exact_first' the lowest."""
+    """The best fact for each filing, metric, tag, taxonomy and unit (and segment; with a segment_key given, that). match_order
+    'as_coded' prefers the highest score, 'exact_first' the lowest."""
     best = F.desc("score") if match_order == "as_coded" else F.asc("score")
-    key = ["accession", "metric_id", "tag", "taxonomy", "unit"]
+    key = ["cik", "accession", "metric_id", "tag", "taxonomy", "unit"]
     if by_segment:
-        scored = scored.withColumn("segment_key", F.coalesce(X.segment_from_frame(F.col("frame")), "frame", F.lit("__default__")))
+        scored = scored if "segment_key" in scored.columns else scored.withColumn("segment_key", segment_of_fact())
         key.append("segment_key")
     w = Window.partitionBy(*key).orderBy(best, F.desc_nulls_last("filed"), F.desc_nulls_last("period_end"), "accn", "pos")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
@@ -37,20 +49,20 @@ def best_facts(scored: DataFrame, by_segment: bool = False, match_order: str = "
 
 def tag_fallback(found: DataFrame) -> DataFrame:
     """Of each filing's metric the first tag that matched, and of that the first taxonomy."""
-    w = Window.partitionBy("accession", "metric_id")
-    first = found.withColumn("first_tag", F.min("tag_priority").over(w)).where("tag_priority = first_tag")
-    return first.withColumn("first_taxonomy", F.min("taxonomy").over(w)).where("taxonomy = first_taxonomy").drop("first_tag", "first_taxonomy")
+    first = F.min(F.struct("tag_priority", F.col("taxonomy").isNull().alias("no_taxonomy"), "taxonomy")).over(Window.partitionBy("cik", "accession", "metric_id"))
+    return found.withColumn("_first", first).where("tag_priority = _first.tag_priority and taxonomy = _first.taxonomy").drop("_first")
 
 
-def extract_facts(facts: DataFrame, filings: DataFrame, match_order: str = "as_coded") -> DataFrame:
-    """Candidate values of all registry metrics for all filings. The registry's tags are a fixed small table and broadcast;
-    facts are narrowed to known tags before they meet filings."""
+def extract_facts(facts: DataFrame, filings: DataFrame, match_order: str = "as_coded", metrics: list[str] | None = None) -> DataFrame:
+    """Candidate values of all registry metrics, or of those given, for all filings. Facts are narrowed to known tags before they meet filings; the
+    registry's tags are a fixed small table, broadcast to the matches, so that no shuffle carries what it says of them. Segment
+    metrics are ranked by segment, others as a whole, in one pass."""
     tags = metric_tags(facts.sparkSession).select(F.lower("tag").alias("known_tag"), "metric_id", "metric_name", "domain", "subdomain", "tag_priority")
-    known = facts.join(F.broadcast(tags), F.lower("tag") == F.col("known_tag")).drop("known_tag")
-    scored = fact_match_score(known, filings).repartition("accession", "metric_id")  # for the windows of best_facts and tag_fallback
-    plain = best_facts(scored.where("domain <> 'segment_data'"), match_order=match_order).withColumn("segment_key", F.lit(None).cast("string"))
-    best = plain.unionByName(best_facts(scored.where("domain = 'segment_data'"), by_segment=True, match_order=match_order))
-    return as_candidates(tag_fallback(best))
+    tags = tags if metrics is None else tags.where(F.col("metric_id").isin(metrics))
+    known = facts.where(F.lower("tag").isin(sorted({t.lower() for t in known_tags(metrics)})))
+    scored = fact_match_score(known, filings).join(F.broadcast(tags), F.lower("tag") == F.col("known_tag")).drop("known_tag")
+    scored = scored.withColumn("segment_key", F.when(F.col("domain") == "segment_data", segment_of_fact()))
+    return as_candidates(tag_fallback(best_facts(scored, by_segment=True, match_order=match_order)))
 
 
 def as_candidates(found: DataFrame) -> DataFrame:

@@ -58,11 +58,14 @@ def duplicate_flags(ranked: DataFrame) -> DataFrame:
     v = v.withColumns({"top_amount": F.max("same_amount").over(w), "best": F.min("history").over(w), "best_total": F.min(F.when(F.col("total_no") == 1, F.col("history"))).over(w)})
     total = F.col("total_no") == 1
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one_of = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))  # noqa: E731  # a second distinct count would copy each row
+    unit = F.when(F.col("unit_kind").isNotNull() & F.col("scale").isNotNull(), F.struct("unit_kind", F.coalesce("unit_code", F.lit("")).alias("code"), "scale"))
     g = v.groupBy(*GROUP, "source").agg(
         F.count(F.lit(1)).alias("n"),
         (F.max("amount") - F.min("amount")).alias("spread"),
-        F.count_distinct("unit_kind", F.coalesce("unit_code", F.lit("")), "scale").alias("units"),
-        F.count_distinct("accession").alias("accessions"),
+        one_of(unit).alias("one_unit"),
+        one_of(F.col("accession")).alias("one_accession"),
+        F.max("accession").isNotNull().alias("any_accession"),
         F.count_distinct("set").alias("sets"),
         F.max("top_amount").alias("top"),
         count(F.col("same_amount") == F.col("top_amount")).alias("at_top"),
@@ -76,11 +79,11 @@ def duplicate_flags(ranked: DataFrame) -> DataFrame:
         (F.max(F.when(total, F.col("amount"))) - F.min(F.when(total, F.col("amount")))).alias("total_spread"),
         count(total & (F.col("history") == F.col("best_total"))).alias("totals_at_best"),
     )
-    n, one, first, second = F.col("n"), F.col("accessions") == 1, F.col("largest"), F.col("next_largest")
+    n, one, first, second = F.col("n"), F.col("one_accession"), F.col("largest"), F.col("next_largest")
     rules = {
         "segment_total": is_segment() & (F.col("totals") > 0) & ((F.col("totals") == 1) | (F.col("total_spread") <= TOLERANCE) | (F.col("totals_at_best") == 1)),
         "segment_one_filing": is_segment() & (n >= 2) & one,
-        "segment_repeated_sets": is_segment() & (n >= 4) & (F.col("accessions") >= 2) & (F.col("sets") == 1),
+        "segment_repeated_sets": is_segment() & (n >= 4) & F.col("any_accession") & ~one & (F.col("sets") == 1),
         "debt_repeated": metric_is(DEBT) & (n >= 3) & (F.col("top") >= 3) & ((F.col("at_top") == n) | ((F.col("at_top") + 1 == n) & (n >= 4))),
         "revenue_pair": metric_is(REVENUE) & (n == 2) & one & (F.col("tagged") == 1),
         "cogs_pair": metric_is(COGS) & (n == 2) & one & (first >= 1000) & (second <= first * 0.5),
@@ -90,7 +93,7 @@ def duplicate_flags(ranked: DataFrame) -> DataFrame:
         "other_funds_pair": metric_is(OTHER_FUNDS) & (n == 2) & one,
         "history": (is_segment() | metric_is(NOTES, DEBT)) & (n >= 2) & (F.col("at_best") == 1),
     }
-    alike = (F.col("spread") <= TOLERANCE) & (F.col("units") == 1)
+    alike = (F.col("spread") <= TOLERANCE) & F.col("one_unit")
     return g.withColumns({"identical": alike, **{f"rule_{k}": F.coalesce(c, F.lit(False)) for k, c in rules.items()}}).withColumn("suppressed", reduce(or_, [F.col(f"rule_{k}") for k in rules]))
 
 

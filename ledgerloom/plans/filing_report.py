@@ -22,11 +22,21 @@ class FilingReport:
     What several tables read is written once to the shared folder: the parse of the documents, candidates of both sides, and
     ranked values. A lost executor loses nothing of it, and nothing stays in memory after a run. close(), or leaving a `with`,
     deletes these tables.
+
+    keep says what of ranked values is written: 'all' source values, for runs that read many tables; 'primary' values with few
+    columns, for runs that read nothing else; None, nothing, for one table that is read once. only: metrics to reconcile, all by
+    default; a metric's values never depend on another's. n_values: about how many values both sides have; counted if not given.
     """
 
-    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame | None = None, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04, documents: DataFrame | None = None, document_folder: str | None = None) -> None:
+    #: Columns of primary values that are kept without source values.
+    PRIMARY = ["cik", "metric_id", "period_key", "segment_key", "segment_name", "period_start", "period_end", "source", "accession", "amount"]
+
+    def __init__(self, issuers: DataFrame, filings: DataFrame, fact_rows: DataFrame, html: DataFrame | None = None, years: int = 10, html_policy: str = "fallback_only", treasury_yield: float = 0.04, documents: DataFrame | None = None, document_folder: str | None = None, keep: str | None = "all", only: list[str] | None = None, n_values: int | None = None) -> None:
         if sum(x is not None for x in (html, documents, document_folder)) != 1:
             raise ValueError("give one of documents, a folder of them, and document-side candidates")
+        if keep not in ("all", "primary", None):
+            raise ValueError("keep is 'all', 'primary' or None")
+        self.keep, self.only, self.n_values = keep, only, n_values
         self.held: list[str] = []
         self.document_folder = document_folder
         self.issuers, self.all_filings, self.fact_rows, self.documents = issuers, filings, fact_rows, documents
@@ -36,7 +46,8 @@ class FilingReport:
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str, **how) -> FilingReport:
-        return cls(views.issuers(spark, sf_dir), discovery.describe_filings(views.filings(spark, sf_dir)), views.facts(spark, sf_dir), views.html_candidates(spark, sf_dir), **how)
+        lines = views.read(spark, sf_dir, "lineitem").count()  # each gives a fact and a document value; no job reads rows for it
+        return cls(views.issuers(spark, sf_dir), discovery.describe_filings(views.filings(spark, sf_dir)), views.facts(spark, sf_dir), views.html_candidates(spark, sf_dir), n_values=2 * lines, **how)
 
     @classmethod
     def from_folders(cls, spark: SparkSession, submissions: str, company_facts: str, documents: str, history: str | None = None, years: int = 10, currency: str = "USD", archived: bool = False, **how) -> FilingReport:
@@ -91,7 +102,8 @@ class FilingReport:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return written(facts.extract_facts(self.fact_rows, self.filings), "candidates", held=self.held)
+        found = facts.extract_facts(self.fact_rows, self.filings, metrics=self.only)
+        return written(found, "candidates", held=self.held) if self.keep == "all" else found
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -107,14 +119,30 @@ class FilingReport:
     def narratives(self) -> DataFrame | None:
         return None if self.documents is None and self.document_folder is None else document_values.document_narratives(self.parsed, self.filings)
 
+    @cached_property
+    def both_sides(self) -> DataFrame:
+        html = self.html if self.only is None else self.html.where(F.col("metric_id").isin(self.only))
+        return self.candidates.unionByName(html, allowMissingColumns=True)
+
+    def _deal(self) -> dict:
+        n_values = self.candidates.count() + self.html.count() if self.n_values is None else self.n_values
+        return {"n_values": n_values, "uncovered": self.html_policy == "fallback_only"}
+
     @cached_property
     def reconciled(self) -> DataFrame:
-        """Source values with alternative_amount, written: ranking and choosing are windows over the same groups, so they cost one
-        shuffle together, and what reads them needs none."""
-        html = reconcile.drop_covered_html(self.candidates, self.html) if self.html_policy == "fallback_only" else self.html
-        n_values = self.candidates.count() + self.html.count()
-        ranked = reconcile.ranked_values(self.candidates.unionByName(html, allowMissingColumns=True), n_values)
-        return written(reconcile.with_alternatives(reconcile.choose_primary(ranked)), "reconciled", held=self.held)
+        """Source values with alternative_amount: ranking and choosing are windows over the same groups, so they cost one shuffle
+        together, also telling which document values facts cover. Written, if all is kept: what reads them then needs no shuffle."""
+        if self.keep == "primary":
+            raise ValueError("the run keeps primary values only")
+        ranked = reconcile.ranked_values(self.both_sides, **self._deal())
+        chosen = reconcile.with_alternatives(reconcile.choose_primary(ranked))
+        return written(chosen, "reconciled", held=self.held) if self.keep == "all" else chosen
+
+    @cached_property
+    def best(self) -> DataFrame:
+        """The best value of each group and source, without its rivals (of runs that don't keep all)."""
+        columns = [c for c in [*self.PRIMARY, "source_type"] if c in self.both_sides.columns or c in reconcile.GROUP]
+        return reconcile.best_values(self.both_sides, **self._deal(), columns=columns)
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -132,7 +160,10 @@ class FilingReport:
 
     @cached_property
     def primary(self) -> DataFrame:
-        return self.reconciled.where("selected_as_primary")
+        if self.keep == "all":
+            return self.reconciled.where("selected_as_primary")
+        chosen = reconcile.primary_of(self.best)
+        return chosen if self.keep is None else written(chosen, "primary", held=self.held)
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -199,6 +230,6 @@ class FilingReport:
 
 def owners_earnings_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per company and period with both formulas: the flagship query."""
-    run = FilingReport.over(spark, sf_dir)
+    run = FilingReport.over(spark, sf_dir, keep="primary", only=derive.FORMULA_METRICS)
     wide = derive.adjusted_earnings_ratio(derive.owners_earnings(derive.formula_inputs(run.metrics)))
     return wide.select("cik", "period_key", "net_income", "owners_status", F.round("owners_earnings", 2).alias("owners_earnings"), "ratio_status", F.round("earnings_ratio", 6).alias("earnings_ratio"))
