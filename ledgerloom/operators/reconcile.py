@@ -221,8 +221,8 @@ def collapse_same_accession(ranked: DataFrame) -> DataFrame:
     return v.withColumn("_best", best).where("value_rank = _best").drop("_best", "cluster")
 
 
-#: Values that one task ranks: each rule's sort holds the task's rows, some 8 KB for each value over the whole chain.
-TASK_VALUES = 80_000
+#: Values that one task ranks: each of some seven sorts holds the task's rows, a few hundred bytes each.
+TASK_VALUES = 120_000
 
 
 def dealt(candidates: DataFrame, n_values: int | None = None, uncovered: bool = False) -> DataFrame:

@@ -51,12 +51,11 @@ def duplicate_flags(ranked: DataFrame) -> DataFrame:
     v = v.withColumns({
         "same_amount": F.count(F.lit(1)).over(Window.partitionBy(*GROUP, "source", "alike")),
         "set": F.struct(F.count(F.lit(1)).over(own).alias("n"), part(1).alias("a"), part(2).alias("b")),
-        "size_no": F.row_number().over(Window.partitionBy(*GROUP, "source").orderBy(F.desc("size"))),
         "history": F.struct("delta", "accession"),
-        "total_no": F.when(F.col("segment_total"), F.row_number().over(Window.partitionBy(*GROUP, "source", "accession", "segment_total").orderBy("value_rank"))),
+        "total": F.col("segment_total") & (F.col("value_rank") == F.min(F.when(F.col("segment_total"), F.col("value_rank"))).over(own)),
     })
-    v = v.withColumns({"top_amount": F.max("same_amount").over(w), "best": F.min("history").over(w), "best_total": F.min(F.when(F.col("total_no") == 1, F.col("history"))).over(w)})
-    total = F.col("total_no") == 1
+    v = v.withColumns({"top_amount": F.max("same_amount").over(w), "best": F.min("history").over(w), "best_total": F.min(F.when(F.col("total"), F.col("history"))).over(w), "top_size": F.max("size").over(w)})
+    total, top = F.col("total"), F.col("size") == F.col("top_size")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     one_of = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))  # noqa: E731  # a second distinct count would copy each row
     unit = F.when(F.col("unit_kind").isNotNull() & F.col("scale").isNotNull(), F.struct("unit_kind", F.coalesce("unit_code", F.lit("")).alias("code"), "scale"))
@@ -71,7 +70,7 @@ def duplicate_flags(ranked: DataFrame) -> DataFrame:
         count(F.col("same_amount") == F.col("top_amount")).alias("at_top"),
         F.count("xbrl_tag").alias("tagged"),
         F.max("size").alias("largest"),
-        F.max(F.when(F.col("size_no") == 2, F.col("size"))).alias("next_largest"),
+        F.when(count(top) >= 2, F.max("size")).otherwise(F.max(F.when(~top, F.col("size")))).alias("next_largest"),
         F.min("segment_name").alias("segment_name"),
         F.max(F.lower(F.coalesce("row_label", F.lit(""))).startswith("total ").cast("int")).alias("has_total"),
         count(F.col("history") == F.col("best")).alias("at_best"),
