@@ -6,11 +6,12 @@ Each stage works on all that the one before it kept, which is written as Parquet
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, langid, linededup, packing, simhash
-from ledgerloom.llm._common import SLICE_BYTES, materialize, table
+from ledgerloom.llm._common import SLICE_BYTES, materialize, setting, table
 
 
 def _send_little(spark: SparkSession) -> None:
@@ -24,7 +25,9 @@ def _send_little(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the model knows (op 10); the model learns from the folds that are not held out."""
     _send_little(spark)
-    return langid.accepted(docs, langid.fit(langid.learnable(docs)))
+    model = langid.fit(langid.learnable(docs))
+    pa.default_memory_pool().release_unused()  # the sample's n-gram counts, which the driver would hold on to through all later stages
+    return langid.accepted(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each class of near copies (op 8): five-word shingles, similarity of 0.8 or more.
-    Then drops long lines that another kept document holds (op 7): not before, as a near copy would lose what shows it is one."""
-    return linededup.without_repeated_passages(docs, among=simhash.first_copies(docs))
+    Then drops long lines that another kept document holds (op 7): not before, as a near copy would lose what shows it is one.
+    Its many jobs join by shuffles only: each small side would else be built into a hash table in the driver."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        first = simhash.first_copies(docs)
+    return linededup.without_repeated_passages(docs, among=first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,18 @@ def test_stages(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
     spark.catalog.clearCache()
+
+
+def test_near_dedup_builds_no_hash_tables_in_the_driver(spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    docs, before, plans = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), spark.conf.get(key), []
+
+    def first_copies(docs):
+        joined = docs.join(spark.range(3).withColumnRenamed("id", "doc_id"), "doc_id")
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+        return docs.select("doc_id", corpus_pipeline.F.xxhash64("text"))
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "first_copies", first_copies)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2
+    assert plans and "Broadcast" not in plans[0]
+    assert spark.conf.get(key) == before
