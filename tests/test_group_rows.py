@@ -39,7 +39,7 @@ def test_no_shuffle_carries_a_row_for_each_metric(spark, sf):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-@pytest.mark.parametrize("name, kept", [("coverage", "groups"), ("coverage_sheet", None), ("missing_metrics", None), ("issue_messages", "groups"), ("issue_counts", "groups"), ("run_summary", "groups"), ("formula_inputs_sheet", "primary")])
+@pytest.mark.parametrize("name, kept", [("coverage", "groups"), ("coverage_sheet", None), ("missing_metrics", None), ("issue_messages", "groups"), ("issue_counts", "groups"), ("run_summary", "groups"), ("formula_inputs_sheet", "primary"), ("domain_positions", "primary")])
 def test_queries_write_no_source_values(spark, sf, monkeypatch, name, kept):
     labels, write = [], filing_report.written
     monkeypatch.setattr(filing_report, "written", lambda df, label, *a, **k: (labels.append(label), write(df, label, *a, **k))[1])
