@@ -42,3 +42,11 @@ def test_only_tables_without_a_caption_read_their_header(spark):
     grid = spark.sql("select 'a' accession, n table_no, if(n = 0, 'Debt', ' ') caption, array(struct(array(struct('Rate' text, 0 col_start, 0 col_end)) cells)) rows from values 0, 1 v(n)")
     got = {r.table_no: (r.header_context, r.context) for r in tables.with_contexts(grid).collect()}
     assert got == {0: ("", "Debt"), 1: ("Rate", "Rate")}
+
+
+def test_parts_of_document_values_are_one_table(spark, sf):
+    """What reads document values is planned once, not for each extractor."""
+    docs = _filing_documents(spark, sf).select("accession", "html")
+    with FilingReport(views.issuers(spark, sf), _filings(spark, sf), views.facts(spark, sf), documents=docs) as run:
+        plan = run.html._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and run.html.count() == run.html.dropDuplicates(["pos"]).count() > 0
