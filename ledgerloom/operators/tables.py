@@ -64,7 +64,7 @@ def with_periods(tables: DataFrame) -> DataFrame:
     def named(c: Column) -> Column:
         n = X.normalize_label(c["text"])
         month = X.let(n, lambda x: x.rlike("(^| )(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|^[0-9]{4}$"))
-        dated = c["text"].rlike("[0-9]") & month  # others have no period
+        dated = c["text"].rlike("[0-9]") & c["text"].rlike("[A-Za-z]|[0-9]{4}") & month  # others have no period; most amounts aren't normalized
         period = X.header_period(c["text"], F.col("form_type"), F.col("report_end"), F.col("allowed"))
         return F.struct(c["col_start"].alias("from_col"), c["col_end"].alias("to_col"), F.when(dated & ~X.is_reference_header(c["text"]), period).alias("p"))
 
